@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_classifier, toxicity
+from . import packing, quality_classifier, token_store, toxicity
 from .base import read
 
+#: Folder of the tokenizer files; by default that of the package that carries them.
+TOKENIZERS: str | None = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,12 +19,28 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def tokenizer(name: str) -> str:
+    if TOKENIZERS:
+        return f"{TOKENIZERS}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.encode(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_toxicity, op7_quality_classifier)}
+    return {f.__name__: f for f in (op4_toxicity, op5_wavelet_tokens, op7_quality_classifier, op10_best_fit_packing)}
 
 
 #: DuckDB SQL where SQL can express the operator.
