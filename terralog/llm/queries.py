@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_classifier, token_store, toxicity
+from . import packing, quality_classifier, quality_rules, token_store, toxicity
 from .base import read
 
 #: Folder of the tokenizer files; by default that of the package that carries them.
@@ -15,6 +15,10 @@ TOKENIZERS: str | None = None
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -40,7 +44,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_toxicity, op5_wavelet_tokens, op7_quality_classifier, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_toxicity, op5_wavelet_tokens, op7_quality_classifier, op10_best_fit_packing)}
 
 
 #: DuckDB SQL where SQL can express the operator.
