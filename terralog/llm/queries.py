@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_classifier, quality_rules, token_store, toxicity
+from . import packing, quality_classifier, quality_rules, token_store, toxicity, warc
 from .base import read
 
 #: Folder of the tokenizer files; by default that of the package that carries them.
@@ -35,6 +35,10 @@ def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read(spark, sf_dir, "pages"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -44,8 +48,18 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_toxicity, op5_wavelet_tokens, op7_quality_classifier, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_toxicity, op5_wavelet_tokens, op7_quality_classifier, op9_warc_segments, op10_best_fit_packing)}
 
 
 #: DuckDB SQL where SQL can express the operator.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc_segments": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+            FROM pages WHERE page_id IS NOT NULL),
+        q AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS last_page FROM p)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+               CASE WHEN last_page = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN last_page <> page_id THEN last_page END AS refers_to
+        FROM q""",
+}
