@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_classifier, quality_rules, token_store, toxicity, warc
+from . import decontaminate, packing, quality_classifier, quality_rules, token_store, toxicity, warc
 from .base import read
 
 #: Folder of the tokenizer files; by default that of the package that carries them.
@@ -35,6 +35,10 @@ def op5_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.encode(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(read(spark, sf_dir, "pages"))
 
@@ -48,11 +52,22 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_toxicity, op5_wavelet_tokens, op7_quality_classifier, op9_warc_segments, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_toxicity, op5_wavelet_tokens, op7_quality_classifier, op8_decontamination, op9_warc_segments, op10_best_fit_packing)}
 
 
 #: DuckDB SQL where SQL can express the operator.
 ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
+        ds AS (SELECT DISTINCT doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+               FROM d, (SELECT DISTINCT least(len(w), 5) AS k FROM b) kk, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+        bs AS (SELECT DISTINCT item_id, least(len(w), 5) AS k, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s
+               FROM b, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i) WHERE len(w) > 0),
+        n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id),
+        m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (k, s) GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, n_shared, n_shingles, n_shared / n_shingles AS containment
+        FROM m JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_shingles""",
     "op9_warc_segments": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
