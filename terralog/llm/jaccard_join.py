@@ -9,8 +9,8 @@ its size leaves to spare a document omits its smallest segments; both sides orde
 
 Rows that meet by a segment are candidates and are verified exactly. Documents with one set are one node. A segment's
 nodes are first compared with its least node; links merge nodes to components; then only nodes of different components
-that still share a segment are compared with each other, until every such pair is decided. There each document omits its
-keys that most components share, as many as its band writes beyond need; both sides order keys alike, so again one is left.
+that still share a segment are compared with each other, until every such pair is decided. The join that pairs them
+compares parity sketches, so pairs that differ too much for a link never leave it, however many share a segment.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import base
@@ -31,32 +31,25 @@ from .hashing import mix, steps, words
 SHINGLE = 5
 #: Rows that a document may write rather than one key of at most one element.
 SMALL_KEY_COST = 4.0
-#: One key in so many is written beyond need, so that as many common ones can be omitted.
-COMMON_SHARE = 4
+#: Longs of the parity sketch.
+SKETCH = 16
 _ALL = (1 << 64) - 1
 
 
 @lru_cache(maxsize=100_000)
-def band(number: int) -> tuple[int, int, int, int, int]:
-    """Least and largest size of a band, its segments, how many of them (the first) have one-deletion neighbourhoods, and
-    how many keys more than needed its documents write, to omit as many common ones later (none with neighbourhoods)."""
+def band(number: int) -> tuple[int, int, int, int]:
+    """Least and largest size of a band, its segments, and how many of them (the first) have one-deletion neighbourhoods."""
     lo = 1
     for _ in range(number):
         lo = max(lo + 4, -(-8 * lo // 5)) if lo < 9 else -(-8 * lo // 5)
     hi = max(lo + 3, -(-8 * lo // 5) - 1) if lo < 9 else -(-8 * lo // 5) - 1
-    need, size = 2 * hi // 9 + 1, (lo * hi) ** 0.5
-    best = None
-    for m in sorted({need - d for d in range(min(need, 12))} | {need + 1 + need * k // 20 for k in range(0, 31)} | {(need + 1) // 2}):
-        d = max(0, need - m)
-        if m < 1 or d > m:
-            continue
-        mean, more = size / m, 0 if d else 1 + need // COMMON_SHARE
-        if m + d < need + more:
-            continue
-        tiny = max(0.0, (m - d) * exp(-mean) * (1 + mean) - (m + d - need - more)) + d * exp(-mean) * (1 + mean + mean * mean / 2) if m > 1 else 0.0
-        cost = (need + more if not d else m - d + d * (1 + mean)) + SMALL_KEY_COST * tiny
+    need, size, best = 2 * hi // 9 + 1, (lo * hi) ** 0.5, None
+    for m in sorted({*range((need + 1) // 2, need + 1)} | {need + need * k // 20 for k in range(21)}):
+        d, mean = max(0, need - m), size / m
+        tiny = max(0.0, (m - d) * exp(-mean) * (1 + mean) - (m + d - need)) + d * exp(-mean) * (1 + mean + mean * mean / 2)
+        cost = need - 2 * d + d * (1 + mean) + SMALL_KEY_COST * tiny
         if best is None or cost < best[0]:
-            best = (cost, m, d, more)
+            best = (cost, m, d)
     return lo, hi, *best[1:]
 
 
@@ -75,33 +68,33 @@ def keys(h: np.ndarray) -> np.ndarray:
     sums = np.r_[np.uint64(0), np.cumsum(mixed, dtype=np.uint64)]
     out = []
     for b in bands_of(n):
-        _, hi, m, d, more = band(b)
-        mine = len(out)
+        _, hi, m, d = band(b)
         segment = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         count = np.bincount(segment.astype(np.int64), minlength=m)
         end = np.cumsum(count)
         place = (np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64((b + 1) * 0xD6E8FEB86659FD93 & _ALL)
         key = mix(sums[end] - sums[end - count] + place)
-        spare = m + d - 1 - more - (n + min(hi, 5 * n // 4)) // 9
+        spare = m + d - 1 - (n + min(hi, 5 * n // 4)) // 9
         order = d + np.lexsort((key[d:], count[d:]))
         out.append(key[order[min(len(order), max(0, spare)) :]])
         out.append(key[:d])
         for i in range(d):
             first, last = int(end[i] - count[i]), int(end[i])
             out.append(mix((sums[last : last + 1] - sums[first : first + 1]) + place[i : i + 1] - mixed[first:last]))
-        out[mine:] = [k & np.uint64(_ALL - 1) | np.uint64(b & 1) for k in out[mine:]]
     return np.unique(np.concatenate(out))
 
 
-def spare_keys(n: Column, key: Column) -> Column:
-    """How many keys a set of ``n`` may omit in the key's band; a key's last bit is the parity of its band."""
-    out, b = F.lit(0), 0
-    while band(b)[0] < 1 << 31:
-        lo, hi, _, _, more = band(b)
-        own = key.bitwiseAND(F.lit(1)) == b % 2
-        out = F.when(own & (n <= hi) & (5 * n >= 4 * lo), F.lit(more)).otherwise(out)
-        b += 1
-    return out
+def sketch(h: np.ndarray) -> list[int]:
+    """Parity of the number of elements hashed to each of 64 * ``SKETCH`` bits. Sets that differ in d elements have
+    sketches that differ in at most d bits."""
+    odd = np.bincount((mix(h) >> np.uint64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def near(a: str, b: str, n_a: str, n_b: str) -> Column:
+    """False only for pairs that cannot link: linked sets differ in at most a ninth of their sizes' sum."""
+    bits = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH)), F.lit(0))
+    return (9 * bits <= F.col(n_a) + F.col(n_b)) & (5 * F.col(n_a) >= 4 * F.col(n_b)) & (5 * F.col(n_b) >= 4 * F.col(n_a))
 
 
 def sets_of(texts: list[str]) -> Iterator[np.ndarray]:
@@ -117,7 +110,7 @@ def _identity(h: np.ndarray) -> tuple[int, int]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, node, twin, keys``: node and twin are two hashes of the set; no keys for an empty set."""
+    """``doc_id, n_shingles, node, twin, sketch, keys``: node and twin are two hashes of the set; no keys for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,9 +121,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 k = [keys(h).view(np.int64) if len(h) else np.zeros(0, np.int64) for h in found]
                 both = [_identity(h) for h in found]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, k)]), pa.int32()), pa.array(np.concatenate(k)))
-                yield pa.RecordBatch.from_arrays([part, pa.array([len(h) for h in found], pa.int64()), pa.array([b[0] for b in both], pa.int64()), pa.array([b[1] for b in both], pa.int64()), lists], ["doc_id", "n_shingles", "node", "twin", "keys"])
+                yield pa.RecordBatch.from_arrays([part, pa.array([len(h) for h in found], pa.int64()), pa.array([b[0] for b in both], pa.int64()), pa.array([b[1] for b in both], pa.int64()), pa.array([sketch(h) for h in found], pa.list_(pa.int64())), lists], ["doc_id", "n_shingles", "node", "twin", "sketch", "keys"])
 
-    return base.documents(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, twin long, keys array<long>")
+    return base.documents(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, twin long, sketch array<long>, keys array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -154,6 +147,8 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
+    of = {x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "uv"}
+    pairs = base.stored(pairs.join(of["u"], "u").join(of["v"], "v").where(near("sketch_u", "sketch_v", "n_u", "n_v")).select("u", "v"))
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     chosen = base.stored(nodes.join(wanted, "node").select("node", "doc_id"))
     s = docs.join(chosen, "doc_id").select("node", "text").mapInArrow(sets, "node long, hashes binary")
@@ -187,7 +182,7 @@ def join(docs: DataFrame) -> DataFrame:
     docs = base.documents(docs)
     prints = base.stored(fingerprints(docs))
     known = prints.where("n_shingles > 0 and doc_id is not null")
-    nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by("n_shingles", "doc_id").alias("n_shingles"), (F.min("twin") == F.max("twin")).alias("one_set"))
+    nodes = known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), (F.min("twin") == F.max("twin")).alias("one_set"))
     nodes = base.stored(nodes.withColumn("node", F.when(F.col("one_set"), F.col("node")).otherwise(F.raise_error(F.lit("two sets have one hash")))).drop("one_set"))
     rows = known.select("node", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub < other").drop("other")
@@ -203,13 +198,11 @@ def join(docs: DataFrame) -> DataFrame:
     tested = tested.unionByName(pairs)
 
     open_keys = _labelled(rows, labels)
-    several = open_keys.select("key", "root").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_roots")).where("n_roots > 1")
-    sized = open_keys.join(several, "key").join(nodes.select("node", "n_shingles"), "node")
-    common = Window.partitionBy("node", F.col("key").bitwiseAND(F.lit(1))).orderBy(F.desc("n_roots"), "key")
-    sized = sized.withColumn("nth", F.row_number().over(common)).where(F.col("nth") > spare_keys(F.col("n_shingles"), F.col("key"))).where("node <> hub")
-    x, y = (sized.select("key", F.col("node").alias(s), F.col("root").alias(f"root_{s}"), F.col("n_shingles").alias(f"n_{s}")) for s in ("u", "v"))
-    pairs = x.join(y, "key").where("u > v and root_u <> root_v and 5 * n_u >= 4 * n_v and 5 * n_v >= 4 * n_u").select("u", "v").distinct()
-    pairs = base.stored(pairs.join(tested, ["u", "v"], "left_anti"))
+    several = open_keys.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
+    sized = base.stored(open_keys.join(several, "key").where("node <> hub").join(nodes, "node").select("key", "node", "root", "n_shingles", "sketch"))
+    x, y = (sized.select(F.col("key").alias(f"key_{s}"), F.col("node").alias(s), F.col("root").alias(f"root_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "uv")
+    pairs = x.join(y, (F.col("key_u") == F.col("key_v")) & (F.col("u") > F.col("v")) & (F.col("root_u") != F.col("root_v")) & near("sketch_u", "sketch_v", "n_u", "n_v"))
+    pairs = base.stored(pairs.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"))
     labels = _merge(labels, verified(pairs, docs, nodes))
 
     rooted = prints.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(labels, "node", "left")
