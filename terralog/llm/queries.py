@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, packing, quality_classifier, quality_rules, token_store, toxicity, warc
+from . import decontaminate, jaccard_join, packing, quality_classifier, quality_rules, secret_scan, token_store, toxicity, warc
 from .base import read
 
 #: Folder of the tokenizer files; by default that of the package that carries them.
@@ -23,6 +23,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(read(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -56,7 +60,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op4_toxicity, op5_wavelet_tokens, op7_quality_classifier, op8_decontamination, op9_warc_segments, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_secret_scan, op4_toxicity, op5_wavelet_tokens, op7_quality_classifier, op8_decontamination, op9_warc_segments, op10_best_fit_packing)}
 
 
 #: DuckDB SQL where SQL can express the operator.
