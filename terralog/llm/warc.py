@@ -5,11 +5,12 @@ continuation records, which may land in other files. Pages whose payload another
 ``LEAST_REVISIT`` bytes, become revisit records that name the page with the largest id. Reading parses records by their
 Content-Length, groups segments by origin, orders them by number, verifies the total length and undoes the chunking.
 
-Archive files are UTF-8 text written by Spark, one row a record, so blocks are cut only between characters.
+Archive files are UTF-8 text in gzip, written by Spark, one row a record, so blocks are cut only between characters.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -106,7 +107,7 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk
     if not unique.groupBy("page_id").count().where("count > 1").isEmpty():
         html = F.coalesce(F.col("html").cast("string"), F.lit(""))
         unique = unique.groupBy("page_id").agg(F.max_by(F.struct("url", "html"), F.struct(F.sha1(html.cast("binary")), "url")).alias("row")).select("page_id", "row.url", "row.html")
-    prepared(unique).mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    prepared(unique).mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -154,7 +155,7 @@ def records(spark, path: str) -> DataFrame:
         for batch in batches:
             for raw in batch.column(0):
                 rows = [[], [], [], [], [], [], []]
-                for h, block in parse(raw.as_py()):
+                for h, block in parse(gzip.decompress(raw.as_py())):
                     number = h.get("warc-segment-number")
                     values = (_page(h.get("warc-segment-origin-id") or h["warc-record-id"]), h["warc-type"], _page(h.get("warc-refers-to")), h.get("warc-payload-digest", "").removeprefix("sha1:"), number and int(number), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, block)
                     for column, v in zip(rows, values, strict=True):
