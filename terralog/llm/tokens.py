@@ -24,7 +24,18 @@ JOINED = 1000
 #: A word of Latin letters, then punctuation that no tokenizer rule joins to letters.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!*$&%#;:?|]*)")
 ODD_SPACE = re.compile(r"[^\S \n\t\r]")
-NOT_SINGLE = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
+
+
+def _spaces_drop(text: str) -> bool:
+    """Whether all white space is of the kinds on which Python and the tokenizer agree; printable text has no other."""
+    return text.replace("\n", "").isprintable() or not ODD_SPACE.search(text)
+
+
+def _single_spaces(text: str) -> bool:
+    """Whether all white space is single spaces and line ends between other characters."""
+    if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in ("  ", "\n\n", " \n", "\n ")):
+        return False
+    return text.replace("\n", "").isprintable() or not (ODD_SPACE.search(text) or "\t" in text or "\r" in text)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,17 +63,21 @@ class Encoder:
             self.kind = "dropped"
         self.words = Tokenizer(self.whole.model)  # for single words, already in byte letters
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        if hasattr(self.words.model, "_resize_cache"):  # words come once, and keeping them costs more than it saves
+            self.words.model._resize_cache(0)
         self.table = _byte_letters()
         self.memory: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.line_end = self._encode(["\n"])[0] if self.kind == "spaced" else b""
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Words of letters, in byte letters; many to a call, as each call costs more than a word. Line ends stand between."""
+    def _encode_words(self, words: list[str], space: str) -> list[bytes]:
+        """Words of letters, each after ``space``; many to a call, as each call costs more than a word. Line ends stand between."""
         stop = self.table[10]
-        between = f" {stop} "
         (mark,) = self.words.encode(stop, add_special_tokens=False).ids
-        joined = [between.join(words[i : i + JOINED]) + between for i in range(0, len(words), JOINED)]
+        joined = []
+        for i in range(0, len(words), JOINED):
+            raw = space + f"\n{space}".join(words[i : i + JOINED]) + "\n"
+            joined.append(raw.encode().decode("latin-1").translate(self.table).replace(stop, f" {stop} "))
         out: list[bytes] = []
         for e in self.words.encode_batch_fast(joined, add_special_tokens=False):
             ids = np.array(e.ids, dtype="<u4")
@@ -80,36 +95,40 @@ class Encoder:
     def _learn(self, words: set[str]) -> None:
         """Adds words to the memory. One that starts with a line end stands first in its line, the others after a space."""
         space = " " if self.kind == "spaced" else ""
-        fold = str.lower if self.kind == "dropped" else str
-        plain: dict[str, str] = {}
+        match, memory = PLAIN.fullmatch, self.memory
+        plain: tuple[set[str], set[str]] = set(), set()  # after a space, after a line end
         split: list[tuple[str, str, str]] = []
         other: list[str] = []
         for w in words:
-            head = w[:1] if w[:1] == "\n" else ""
-            if m := PLAIN.fullmatch(w, len(head)):
-                core, tail = head + m[1], m[2]
-                if tail:
+            line = w[0] == "\n"
+            if m := match(w, line):
+                if tail := m[2]:
+                    core = w[: m.end(1)]
                     split.append((w, core, tail))
-                if core not in self.memory and core not in plain:
-                    plain[core] = (fold(m[1]) if head else space + fold(m[1])).encode().decode("latin-1").translate(self.table)
+                    if core not in memory:
+                        plain[line].add(core)
+                else:
+                    plain[line].add(w)
             else:
                 other.append(w)
-        for core, ids in zip(plain, self._encode_words(list(plain.values())), strict=True):
-            self.memory[core] = self.line_end + ids if core[0] == "\n" else ids
-        self.memory.update(zip(other, self._encode([w if w[:1] == "\n" else space + w for w in other]), strict=True))
+        for line in (False, True):
+            cores = list(plain[line])
+            bare = [c[1:] for c in cores] if line else [c.lower() for c in cores] if self.kind == "dropped" else cores
+            ids = self._encode_words(bare, "" if line else space)
+            memory.update(zip(cores, (self.line_end + i for i in ids) if line else ids, strict=True))
+        memory.update(zip(other, self._encode([w if w[:1] == "\n" else space + w for w in other]), strict=True))
         new = {t for *_, t in split if t not in self.tails}
         self.tails.update(zip(new, self._encode(list(new)), strict=True))
-        self.memory.update((w, self.memory[c] + self.tails[t]) for w, c, t in split)
+        memory.update((w, memory[c] + self.tails[t]) for w, c, t in split)
 
     def _by_words(self, texts: list[str]) -> Iterator[bytes]:
-        spaced, get = self.kind == "spaced", self.memory.get
+        spaced = self.kind == "spaced"
         lists = [f"\n{t}".replace("\n", " \n").split(" ")[1:] if spaced else t.split() for t in texts]
-        found = [list(map(get, ws)) for ws in lists]
-        if new := {w for ws, ids in zip(lists, found, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}:
+        if new := set().union(*(set(ws).difference(self.memory) for ws in lists)):
             self._learn(new)
-        skip = len(self.line_end) if spaced else 0
-        for ws, ids in zip(lists, found, strict=True):
-            yield b"".join([self.memory[w] if x is None else x for w, x in zip(ws, ids, strict=True)] if None in ids else ids)[skip:]
+        skip, get = len(self.line_end) if spaced else 0, self.memory.__getitem__
+        for ws in lists:
+            yield b"".join(map(get, ws))[skip:]
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
@@ -121,8 +140,8 @@ class Encoder:
                 at += 1
             if len(self.memory) > MOST_WORDS:
                 self.memory.clear()
-            odd = {"spaced": NOT_SINGLE, "dropped": ODD_SPACE}.get(self.kind)
-            fast = [i for i, t in enumerate(step) if odd and t and not odd.search(t)]
+            by_words = {"spaced": _single_spaces, "dropped": _spaces_drop}.get(self.kind, lambda _: False)
+            fast = [i for i, t in enumerate(step) if t and by_words(t)]
             slow = sorted({i for i, t in enumerate(step) if t} - set(fast))
             out = [b""] * len(step)
             for i, x in zip(fast, self._by_words([step[i] for i in fast]), strict=True):
