@@ -46,9 +46,12 @@ class WaveletMatrix:
         seq = (np.cumsum(seen) - 1).astype(kind)[ids] if len(ids) else np.zeros(0, kind)
         planes = []
         for level in reversed(range(max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 1)):
-            bit = (seq >> kind(level)) & kind(1) != 0
+            bit = (seq & kind(1 << level)).astype(bool)
             planes.append(np.packbits(bit))
-            seq = np.concatenate([seq[~bit], seq[bit]])
+            parted, zeros = np.empty_like(seq), len(seq) - int(np.count_nonzero(bit))
+            np.compress(~bit, seq, out=parted[:zeros])
+            np.compress(bit, seq, out=parted[zeros:])
+            seq = parted
         return WaveletMatrix(alphabet, planes, len(ids))
 
     def _bits(self, level: int) -> np.ndarray:
@@ -62,8 +65,10 @@ class WaveletMatrix:
             bit = self._bits(level)
             zeros = self.n - int(np.count_nonzero(bit))
             before = np.empty_like(seq)
-            before[~bit] = seq[:zeros]
-            before[bit] = seq[zeros:] | kind(1 << (len(self.planes) - 1 - level))
+            if zeros:
+                np.place(before, ~bit, seq[:zeros])
+            if zeros < self.n:
+                np.place(before, bit, seq[zeros:] | kind(1 << (len(self.planes) - 1 - level)))
             seq = before
         return self.alphabet[seq]
 
