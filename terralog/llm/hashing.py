@@ -13,8 +13,8 @@ import numpy as np
 
 STEP_BYTES = 2_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Also takes all ASCII other than letters and digits for white space.
-LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: Also takes all ASCII other than letters, digits and line ends for spaces.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or b == 10 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -41,13 +41,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Of a batch: word hashes, the first word of each text (and one past the last), and each word's bytes."""
+    """Of a batch: word hashes, the first word of each text (and one past the last), each word's bytes, each text's first byte."""
 
     hashes: np.ndarray
     starts: np.ndarray
     text: bytes
     begin: np.ndarray
     end: np.ndarray
+    offset: np.ndarray
 
     def ngrams(self, k: int, whole_if_short: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all n-grams in order, repeated ones too, and the first of each text (and one past the last).
@@ -84,7 +85,7 @@ def words(texts: list[str], table: bytes = LOWER) -> Words:
     sums = np.r_[np.uint64(0), np.cumsum(_BYTE[buf] * _power(_BASE, len(buf)), dtype=np.uint64)]
     hashes = mix((sums[end] - sums[begin]) * _power(_UNBASE, len(buf))[begin])
     at = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    return Words(hashes, np.searchsorted(begin, at), text, begin, end)
+    return Words(hashes, np.searchsorted(begin, at), text, begin, end, at)
 
 
 def steps(texts: list[str]) -> Iterator[tuple[int, int]]:
