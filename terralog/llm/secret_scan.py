@@ -1,6 +1,6 @@
 """Secret scan with a random forest against false positives (operator 3). DataFrame functions only.
 
-Candidates are long tokens with a digit. Each is described by its length, the changes between kinds of characters along it,
+Candidates are long tokens with a digit, and longer ones of capitals alone. Each is described by its length, the changes between kinds of characters along it,
 how much of it common words cover, whether it lies in a path, and its neighbouring words; a random forest trained on
 labelled findings tells secrets from ids, numbers and paths. Candidates are few, so they are written once and read for both
 training and scoring.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import base
 
 PER_CLASS = 3000
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}={0,2}|[A-Z]{16,}(?![A-Za-z0-9_+/-]))"
 CONTEXT = 80
 MASK = "[SECRET]"
 
