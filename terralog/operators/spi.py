@@ -43,7 +43,7 @@ def _inverse(z: pd.Series, q: pd.Series, a: pd.Series, b: pd.Series) -> pd.Serie
     p, share = special.normal_cdf(z.fillna(0).to_numpy()), q.fillna(0.5).to_numpy()
     rest = np.clip((p - share) / np.maximum(1 - share, 1e-9), 1e-9, 1 - 1e-9)
     x = special.gamma_ppf(a.fillna(1).to_numpy(), rest) * b.fillna(1).to_numpy()
-    return pd.Series(np.where(ok, np.where(p <= share, 0.0, x), np.nan))
+    return pd.Series(np.where(ok, np.where(p <= share + 1e-9, 0.0, x), np.nan))
 
 
 def scored(parted: DataFrame, value: str) -> DataFrame:
