@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from terralog.plans import catalogue
@@ -27,7 +28,7 @@ def plain(df):
         return str(v)[:10] if hasattr(v, "year") else str(v)
 
     columns = sorted(df.columns)
-    return columns, sorted(tuple(text(v) if v is not None and v == v else "" for v in row) for row in df[columns].astype(object).itertuples(index=False))
+    return columns, sorted(tuple("" if pd.isna(v) else text(v) for v in row) for row in df[columns].astype(object).itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
