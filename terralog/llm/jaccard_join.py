@@ -126,8 +126,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return base.documents(docs).mapInArrow(run, "doc_id long, n_shingles long, node long, twin long, sketch array<long>, keys array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of ``pairs`` (``u, v``) those whose documents' sets have 100 * intersection >= 80 * union."""
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, sketched: bool = False) -> DataFrame:
+    """Of ``pairs`` (``u, v``) those whose documents' sets have 100 * intersection >= 80 * union.
+
+    ``sketched``: their sketches have been compared already.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,8 +150,9 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["u", "v"])
 
-    of = {x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "uv"}
-    pairs = base.stored(pairs.join(of["u"], "u").join(of["v"], "v").where(near("sketch_u", "sketch_v", "n_u", "n_v")).select("u", "v"))
+    if not sketched:
+        of = {x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "uv"}
+        pairs = base.stored(pairs.join(of["u"], "u").join(of["v"], "v").where(near("sketch_u", "sketch_v", "n_u", "n_v")).select("u", "v"))
     wanted = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     chosen = base.stored(nodes.join(wanted, "node").select("node", "doc_id"))
     s = docs.join(chosen, "doc_id").select("node", "text").mapInArrow(sets, "node long, hashes binary")
@@ -203,7 +207,7 @@ def join(docs: DataFrame) -> DataFrame:
     x, y = (sized.select(F.col("key").alias(f"key_{s}"), F.col("node").alias(s), F.col("root").alias(f"root_{s}"), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "uv")
     pairs = x.join(y, (F.col("key_u") == F.col("key_v")) & (F.col("u") > F.col("v")) & (F.col("root_u") != F.col("root_v")) & near("sketch_u", "sketch_v", "n_u", "n_v"))
     pairs = base.stored(pairs.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"))
-    labels = _merge(labels, verified(pairs, docs, nodes))
+    labels = _merge(labels, verified(pairs, docs, nodes, sketched=True))
 
     rooted = prints.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")).join(labels, "node", "left")
     roots = _labelled(nodes.select("node", "doc_id"), labels).groupBy("root").agg(F.min("doc_id").alias("component_id"))
