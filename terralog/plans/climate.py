@@ -43,12 +43,25 @@ def monthly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parts_monthly(spark: SparkSession, sf: str) -> DataFrame:
-    """Monthly sums of each part brand's lines; months without lines are 0."""
+    """Monthly sums of each brand's lines of parts of size 3 at most (some 6 % of all lines); months without lines are 0."""
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).where("p_size <= 3")
     m = series.resample(rows.select(F.col("p_brand").alias("entity_id"), "l_shipdate", "l_extendedprice"), "l_shipdate", "l_extendedprice")
     return series.densify(m.select("entity_id", "month", F.round("value_sum", 2).alias("value"))).withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
+def brand_sizes_monthly(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly sums of all lines by part brand and size, which are sparse at small scale; months without lines are 0."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    m = series.resample(rows.select(F.concat_ws(" ", "p_brand", "p_size").alias("entity_id"), "l_shipdate", "l_extendedprice"), "l_shipdate", "l_extendedprice")
+    return series.densify(m.select("entity_id", "month", F.round("value_sum", 2).alias("value"))).withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+def customers_monthly(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly sums of each customer's orders; months without orders are null."""
+    m = series.resample(table(spark, sf, "orders").select(F.col("o_custkey").alias("entity_id"), "o_orderdate", "o_totalprice"), "o_orderdate", "o_totalprice")
+    return series.densify(m.select("entity_id", "month", F.round("value_sum", 2).alias("value")))
+
+
 def daily(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     return rows.groupBy(F.col("n_name").alias("entity_id"), F.to_date("l_shipdate").alias("day")).agg((F.max("l_extendedprice") / 1000).alias("value"))
@@ -72,6 +85,11 @@ B = """
             FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 3 GROUP BY 1, 2),
     grid AS (SELECT entity_id, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM raw GROUP BY 1),
     m AS (SELECT entity_id, month, coalesce(value, 0.0) AS value FROM grid LEFT JOIN raw USING (entity_id, month))"""
+BS = B.replace("p_brand AS entity_id", "concat_ws(' ', p_brand, p_size) AS entity_id").replace(" WHERE p_size <= 3", "")
+C = """
+    raw AS (SELECT o_custkey AS entity_id, date_trunc('month', o_orderdate)::DATE AS month, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2),
+    grid AS (SELECT entity_id, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM raw GROUP BY 1),
+    m AS (SELECT entity_id, month, value FROM grid LEFT JOIN raw USING (entity_id, month))"""
 D = """
     d AS (SELECT n_name AS entity_id, l_shipdate::DATE AS day, max(l_extendedprice) / 1000 AS value
           FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2)"""
@@ -110,6 +128,12 @@ def series_interpolated(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(series.interpolated(monthly(spark, sf).withColumn("value", F.when(keep, F.col("value"))), "value"))
 
 
+@query(SQL["series_interpolated"].replace(M, C).replace(GAPS, "g AS (SELECT * FROM m)"))
+def series_interpolated_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders, by customer, with the gaps that these series have."""
+    return rounded(series.interpolated(customers_monthly(spark, sf), "value"))
+
+
 @query(f"""WITH {B}, q AS (SELECT entity_id, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM m WHERE year(month) BETWEEN 1995 AND 1998 GROUP BY 1),
     w AS (SELECT *, (SELECT quantile_cont(x.value, 0.5) FROM m x WHERE x.entity_id = m.entity_id AND x.month < m.month AND x.month >= m.month - INTERVAL 12 MONTH) AS med FROM m JOIN q USING (entity_id))
     SELECT entity_id, month, value, coalesce((value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) AND med IS NOT NULL, false) AS replaced,
@@ -118,6 +142,11 @@ def series_causal_outliers(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(series.causal_outliers(parts_monthly(spark, sf), "value", 1995, 1998, 1.5))
 
 
+@query(SQL["series_causal_outliers"].replace(B, BS))
+def series_causal_outliers_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(series.causal_outliers(brand_sizes_monthly(spark, sf), "value", 1995, 1998, 1.5))
+
+
 @query(f"""WITH {M}, {P} SELECT split_id, entity_id, month(month) AS cal_month, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, count(value) AS n_train FROM p WHERE part = 'train' GROUP BY 1, 2, 3""")
 def series_month_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(series.month_stats(parted(monthly(spark, sf)), "value"))
@@ -206,6 +235,11 @@ def heat_zero_inflation(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(heat.zero_inflation(parts_monthly(spark, sf), "value"))
 
 
+@query(SQL["heat_zero_inflation"].replace(B, BS))
+def heat_zero_inflation_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(heat.zero_inflation(brand_sizes_monthly(spark, sf), "value"))
+
+
 @query(f"""WITH {FLAGS}, c AS (SELECT entity_id, date_trunc('month', day)::DATE AS month, count_if(heat_day)::BIGINT AS heat_days, count_if(severe_day)::BIGINT AS severe_days, count_if(in_spell) > 0 AS had_spell, max(value) AS max_value FROM r GROUP BY 1, 2),
     s AS (SELECT entity_id, min(month) AS a, max(month) AS b FROM c GROUP BY 1),
     q AS (SELECT n_name AS entity_id, CASE n_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN DATE '1997-06-01' ELSE DATE '2031-01-01' END AS month FROM nation)
@@ -224,6 +258,11 @@ def spi_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spi.statistics(parted(parts_monthly(spark, sf)), "value"))
 
 
+@query(SQL["spi_statistics"].replace(B, BS))
+def spi_statistics_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(spi.statistics(parted(brand_sizes_monthly(spark, sf)), "value"))
+
+
 @query()
 def spi_scores(spark: SparkSession, sf: str) -> DataFrame:
     """No SQL: DuckDB has no incomplete gamma function. Tested against tabulated values and by the way back."""

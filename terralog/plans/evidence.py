@@ -232,8 +232,13 @@ def decision_missing_data(spark: SparkSession, sf: str) -> DataFrame:
 DAYS = "SELECT event_type AS entity_id, ts::DATE AS day, value, event_id AS seq FROM events"
 
 
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("event_type").alias("entity_id"), F.to_date("ts").alias("day"), F.round("value", 4).alias("value"), F.col("event_id").alias("seq"))
+
+
 def event_layers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    e = table(spark, sf, "events").select(F.col("event_type").alias("entity_id"), F.to_date("ts").alias("day"), F.round("value", 4).alias("value"), F.col("event_id").alias("seq"))
+    """Without every third event from 2024-01-20 on; see ``source_live_union_whole`` for all."""
+    e = events(spark, sf)
     return e.where("seq % 3 = 0 and day < date'2024-01-20'"), e.where("seq % 3 <> 0")
 
 
@@ -243,6 +248,14 @@ def source_live_union(spark: SparkSession, sf: str) -> DataFrame:
     return layers.live(*event_layers(spark, sf), ["entity_id", "day"], ["seq"])
 
 
+@query(SQL["source_live_union"].replace("CASE WHEN seq % 3 = 0 THEN", "CASE WHEN seq % 3 = 0 AND day < DATE '2024-01-20' THEN").replace(" WHERE seq % 3 <> 0 OR day < DATE '2024-01-20'", ""))
+def source_live_union_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event is in one of the layers: what the archive lacks is in the recent one."""
+    e = events(spark, sf)
+    archived = F.coalesce((F.col("seq") % 3 == 0) & (F.col("day") < F.lit("2024-01-20").cast("date")), F.lit(False))
+    return layers.live(e.where(archived), e.where(~archived), ["entity_id", "day"], ["seq"])
+
+
 @query("""WITH d AS (SELECT 'all' AS entity_id, o_orderdate::DATE AS day, max(o_orderkey) AS seq, max(o_totalprice) AS value FROM orders GROUP BY 1, 2),
     m AS (SELECT entity_id, date_trunc('month', day)::DATE AS month, round(avg(value), 6) AS mean, count(value) AS n_days FROM d GROUP BY 1, 2)
     SELECT entity_id, month, mean, n_days FROM m WHERE month >= DATE '1999-06-01' AND n_days >= day(last_day(month))""")
