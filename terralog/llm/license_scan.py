@@ -4,10 +4,15 @@ A unit is a line, a paragraph (lines without a blank one between) of several lin
 paragraphs. Units and templates are lower-cased words of letters and digits. Their Dice coefficient is twice the common
 distinct bigrams over the sum of both numbers. It can only reach the threshold t if the smaller has at least t / (2 - t)
 of the larger's bigrams, and if the unit has that share of the template's: these bounds prune templates and units.
+
+A notice that is none of these, as it has several paragraphs in a longer text or prose on its own lines, is a window: a
+run of words of the whole text, over line ends, of at most (2 - t) / t of a template's length. The most alike window
+begins and ends with a bigram of the template, so only those are compared.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +58,11 @@ class Templates:
         hashes = [words([t], LETTERS).ngrams(2)[0] for t in templates.values()]
         self.hashes = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
         self.least_hits = min((int(np.ceil(self.least * len(s) - 1e-9)) for s in self.sets.values()), default=1)
+        self.member, self.longest = {}, {}
+        for name in self.sets:
+            own = words([templates[name]], LETTERS).ngrams(2)[0]
+            self.member[name] = np.isin(self.hashes, own)
+            self.longest[name] = int(len(own) / self.least + 1e-9)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
@@ -64,6 +74,71 @@ class Templates:
         out[maybe] = self.hashes[at] == h[maybe] if len(self.hashes) else False
         return out
 
+    def need(self, name: str) -> int:
+        """The common bigrams that a unit like the template has at least."""
+        return max(1, int(np.ceil(self.least * len(self.sets[name]) - 1e-9)))
+
+    def places(self, h: np.ndarray, known: np.ndarray, first: np.ndarray) -> dict[int, dict[str, np.ndarray]]:
+        """Of each text, by template, where a window like it may begin: enough of its bigrams follow in a window's length."""
+        at = np.flatnonzero(known)
+        of, text = np.searchsorted(self.hashes, h[at]), np.searchsorted(first, at, side="right") - 1
+        out: dict[int, dict[str, np.ndarray]] = {}
+        for name in self.sets:
+            here = self.member[name][of] if len(at) else np.zeros(0, bool)
+            p, d, last = at[here], text[here], self.need(name) - 1
+            if len(p) <= last:
+                continue
+            n = len(p) - last
+            ok = (p[last:] - p[:n] < self.longest[name]) & (d[last:] == d[:n])
+            begins, own = p[:n][ok], d[:n][ok]
+            for t in np.unique(own).tolist():
+                out.setdefault(t, {})[name] = begins[own == t] - first[t]
+        return out
+
+    def windows(self, h: np.ndarray, begins: dict[str, np.ndarray]) -> list[tuple[int, int, str]]:
+        """First word, one past the last, and template of the windows of a text with these bigrams.
+
+        Of windows of one template that overlap the most alike is taken, and the words around it are compared anew. Where
+        windows of several templates share over half of the words of one, the one with the most common bigrams stays.
+        """
+        order = np.argsort(h, kind="stable")
+        same, before = h[order][1:] == h[order][:-1], np.full(len(h), -1)
+        before[order[1:][same]] = order[:-1][same]
+        found = []
+        for name, starts in begins.items():
+            n, reach = len(self.sets[name]), self.longest[name]
+            hit = np.isin(h, self.hashes[self.member[name]])
+            taken = np.zeros(len(h) + 1, bool)
+
+            def alike(s: int, end: int, n=n, hit=hit, name=name) -> tuple[float, int, int, int] | None:
+                """Minus the coefficient, first and last bigram, and common bigrams of the most alike window from ``s`` to before ``end``."""
+                fresh = before[s:end] < s
+                common = np.cumsum(fresh & hit[s:end])
+                dice = 2 * common / (np.cumsum(fresh) + n)
+                e = int(np.argmax(dice)) if len(dice) else -1
+                return (-float(dice[e]), s, s + e, int(common[e])) if e >= 0 and dice[e] >= self.threshold - 1e-9 else None
+
+            queue = [w for s in starts.tolist() if (w := alike(s, min(len(h), s + reach)))]
+            heapq.heapify(queue)
+            while queue:
+                dice, s, e, common = heapq.heappop(queue)
+                clash = np.flatnonzero(taken[s : e + 2])
+                if not len(clash):
+                    taken[s : e + 2] = True
+                    found.append((-common, dice, name, s, e + 2))
+                elif clash[0] and (w := alike(s, s + int(clash[0]) - 1)):
+                    heapq.heappush(queue, w)
+        covered, out = np.zeros(len(h) + 1, bool), []
+        for _, _, name, x, y in sorted(found):
+            if 2 * covered[x:y].sum() <= y - x:
+                covered[x:y] = True
+                out.append((x, y, name))
+        return sorted(out)
+
+    def dice(self, unit: list[bytes], name: str) -> float:
+        a, b = bigrams(unit), self.sets[name]
+        return 2 * len(a & b) / (len(a) + len(b))
+
     def best(self, unit: list[bytes]) -> tuple[str, float] | None:
         """The template of highest Dice coefficient, by name among equals, if that reaches the threshold."""
         a, found = bigrams(unit), None
@@ -89,7 +164,7 @@ def _units(line: np.ndarray) -> Iterator[tuple[str, int, int]]:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, unit, first_line, license, dice``: a row for each unit of each row's whole text that is like a template.
 
-    ``first_line`` counts from 0. Null and empty texts have no units; repeated rows give their rows again. Units of one
+    A window is left out if a line, paragraph or the text is on most of the same words with the same license. ``first_line`` counts from 0. Null and empty texts have no units; repeated rows give their rows again. Units of one
     word have no bigrams and are like nothing. ``templates`` (name to text) is a small table by its nature, sent to all tasks.
     """
     chosen = dict(TEMPLATES if templates is None else templates)
@@ -101,14 +176,21 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             for lo, hi in steps(texts):
                 w = words(texts[lo:hi], LETTERS)
                 h, first = w.ngrams(2)
-                hits = np.r_[0, np.cumsum(t.known(h))]
+                known = t.known(h)
+                hits, places = np.r_[0, np.cumsum(known)], t.places(h, known, first)
                 ends = np.flatnonzero(np.frombuffer(w.text, np.uint8) == 10)
                 for d in np.flatnonzero(hits[first[1:]] - hits[first[:-1]] >= t.least_hits).tolist():
                     line = np.searchsorted(ends, w.begin[w.starts[d] : w.starts[d + 1]]) - np.searchsorted(ends, w.offset[d])
-                    own, mine = hits[first[d] : first[d + 1] + 1], w.bytes_of(d)
+                    own, mine, got = hits[first[d] : first[d + 1] + 1], w.bytes_of(d), []
                     for kind, x, y in _units(line):
                         if y - x >= 2 and own[y - 1] - own[x] >= t.least_hits and (best := t.best(mine[x:y])):
                             rows.append((ids[lo + d], kind, int(line[x]), *best))
+                            got.append((x, y, best[0]))
+                    for x, y, name in t.windows(h[first[d] : first[d + 1]], places[d]) if d in places else ():
+                        if any(name == k and 5 * (min(y, b) - max(x, a)) > 3 * (max(y, b) - min(x, a)) for a, b, k in got):
+                            continue
+                        if (dice := t.dice(mine[x:y], name)) >= threshold:
+                            rows.append((ids[lo + d], "window", int(line[x]), name, dice))
             columns = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.float64())], ["doc_id", "unit", "first_line", "license", "dice"])
 
