@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import base
@@ -19,6 +19,7 @@ from . import base
 PER_CLASS = 3000
 CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}={0,2}|[A-Z]{16,}(?![A-Za-z0-9_+/-]))"
 CONTEXT = 80
+NEIGHBOURS = 7
 MASK = "[SECRET]"
 
 # Words whose presence in or beside a candidate tells something.
@@ -32,12 +33,27 @@ FEATURES = ["length", "transitions", "case_transitions", "digit_share", "upper_s
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, candidate, start, before, after``: each distinct candidate of a document at its first place (from 0)."""
-    d = base.documents(docs).select("doc_id", "text", F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).alias("found"))
-    d = d.where(F.size("found") > 0).select("doc_id", "text", F.explode("found").alias("candidate"))
-    d = d.withColumn("start", F.expr("locate(candidate, text) - 1"))
-    before = F.substring("text", F.greatest(F.lit(1), F.col("start") - CONTEXT + 1), F.least(F.col("start"), F.lit(CONTEXT)))
-    return d.select("doc_id", "candidate", F.col("start").cast("long").alias("start"), before.alias("before"), F.substring("text", F.col("start") + F.length("candidate") + 1, F.lit(CONTEXT)).alias("after"))
+    """``doc_id, candidate, start, before, after``: every occurrence of a candidate in each row, at its place (from 0).
+
+    The pieces of text between matches tell the places and, with the matches, the characters around each. A match has 12
+    characters at least, so ``NEIGHBOURS`` of them hold ``CONTEXT``. Texts leave the row before the windows, which order
+    a row's own matches.
+    """
+    d = base.documents(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"))
+    pieces = F.split("text", CANDIDATE, -1)
+    d = d.where(F.size("found") > 0).select("row", "doc_id", F.posexplode(F.arrays_zip(pieces.alias("piece"), F.col("found").alias("candidate"))).alias("nth", "part"))
+    piece, match = F.col("part.piece"), F.col("part.candidate")
+    none, size = F.lit(""), F.lit(CONTEXT)
+    d = d.select(
+        "row", "doc_id", "nth", match.alias("candidate"), F.length(piece).cast("long").alias("gap"), F.right(piece, size).alias("tail"),
+        F.right(F.concat(F.right(piece, size), F.coalesce(match, none)), size).alias("left_part"), F.left(F.concat(F.left(piece, size), F.coalesce(match, none)), size).alias("right_part"),
+    )
+    w = Window.partitionBy("row").orderBy("nth")
+    through = F.sum(F.col("gap") + F.coalesce(F.length("candidate"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    left = F.array_join(F.collect_list("left_part").over(w.rowsBetween(-NEIGHBOURS, -1)), "")
+    right = F.array_join(F.collect_list("right_part").over(w.rowsBetween(1, NEIGHBOURS)), "")
+    d = d.select("doc_id", "candidate", (through - F.length("candidate")).alias("start"), F.right(F.concat(left, "tail"), size).alias("before"), F.left(right, size).alias("after"))
+    return d.where(F.col("candidate").isNotNull())
 
 
 def _share(text: Column, pattern: str, of: Column) -> Column:
@@ -100,7 +116,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     """``doc_id, candidate, start, score, is_secret`` for each distinct candidate of each document.
 
     ``labelled``: findings to train on; without it the documents' own candidates, labelled by rule. Null and empty texts
-    and empty tables give no rows. Rows with the same id and candidate give one, at its least start.
+    and empty tables give no rows. Every occurrence is scored; those of the same id and candidate give one row, with the
+    least start and the highest score.
     """
     found = base.stored(candidates(docs))
     scored = score(found, train(labelled if labelled is not None else labelled_by_rule(found)))

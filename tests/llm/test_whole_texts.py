@@ -1,7 +1,10 @@
 """Cases in which an operator must look at the whole text or table."""
 
-from terralog.llm import license_scan
-from tests.llm.test_operators import prose, table
+import random
+import re
+
+from terralog.llm import license_scan, secret_scan
+from tests.llm.test_operators import odd, prose, table  # noqa: F401
 
 
 def brute_windows(text, name):
@@ -30,3 +33,27 @@ def test_windows_are_the_most_alike(spark):
     for k, t in texts:
         want = brute_windows(t, "GPL-2.0-grant")
         assert round(got.get(k, 0.0), 9) == (round(want, 9) if want >= license_scan.THRESHOLD else 0.0)
+
+
+def test_every_occurrence_is_described(spark, odd):
+    key, number = "a1b2c3d4e5f6a7b8", "4929123412341234"
+    filler = ["", "é ", f"x{key}y/ ", f"{number} {number}.", "word " * 40]
+    rows = [(k, f"{a}{b} {key} {c}\n{key},{number}{a}") for k, (a, b, c) in enumerate((a, b, c) for a in filler for b in filler for c in filler)] + [(900, f"{key} {key} " * 300), (901, f"{key}=={key}")]
+    got = sorted((r.doc_id, r.start, r.candidate, r.before, r.after) for r in secret_scan.candidates(table(spark, rows + [(None, f"no id {key}")])).where("doc_id is not null").collect())
+    want = []
+    for i, t in rows:
+        for m in re.finditer(secret_scan.CANDIDATE, t):
+            want.append((i, m.start(), m[0], t[max(0, m.start() - 80) : m.start()], t[m.end() : m.end() + 80]))
+    assert got == sorted(want)
+    assert secret_scan.candidates(odd.limit(0)).count() == 0
+
+
+def test_a_later_place_tells_a_secret(spark):
+    rng = random.Random(4)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    rows = [(k, f'and the token = "{h}" was') for k, h in enumerate(hexes[:30])] + [(100 + k, f"in the commit sha {h} there") for k, h in enumerate(hexes[30:])]
+    rows += [(200, f'in the commit sha {hexes[0]} there, the token = "{hexes[0]}" was')]
+    docs = table(spark, rows)
+    found = {r.doc_id: (r.start, r.is_secret) for r in secret_scan.scan(docs).collect()}
+    assert found[200] == (rows[-1][1].index(hexes[0]), True) and not found[100][1]
+    assert hexes[0] not in {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}[200]
