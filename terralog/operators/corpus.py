@@ -44,8 +44,9 @@ def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def pack(text: str | None) -> list[str]:
     """Paragraphs in order, packed to ``MOST_CHUNK`` characters; each next chunk starts with the end of the one before.
 
-    A paragraph over the limit is cut at sentence ends; what is then still longer is cut to length. The last chunk, and
-    pieces of long paragraphs, need ``LEAST_CHUNK`` characters.
+    A paragraph over the limit that opens a chunk is cut at sentence ends, and a sentence that is still longer into
+    consecutive pieces of at most ``MOST_CHUNK`` and at least ``LEAST_CHUNK`` characters, so none of it is lost (the
+    reference keeps its start only). The last chunk, and the last sentences of a long paragraph, need ``LEAST_CHUNK``.
     """
     out: list[str] = []
     held = ""
@@ -61,7 +62,11 @@ def pack(text: str | None) -> list[str]:
                 if piece and len(piece) + 1 + len(unit) > MOST_CHUNK:
                     out.append(piece)
                     piece = ""
-                piece = f"{piece} {unit}".strip()[:MOST_CHUNK]
+                piece = f"{piece} {unit}".strip()
+                while len(piece) > MOST_CHUNK:
+                    cut = min(MOST_CHUNK, len(piece) - LEAST_CHUNK)
+                    out.append(piece[:cut])
+                    piece = piece[cut:]
             if len(piece) >= LEAST_CHUNK:
                 out.append(piece)
         else:

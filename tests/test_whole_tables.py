@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from terralog.operators import corpus
 from terralog.plans import catalogue, climate
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +30,11 @@ def test_customer_series_hold_all_orders(spark):
 def test_layers_hold_all_days(spark):
     e = climate.table(spark, SF, "events").select("event_type", F.to_date("ts")).distinct().count()
     assert catalogue.queries()["source_live_union_whole"](spark, SF).count() == e
+
+
+@pytest.mark.parametrize("n", [2001, 2100, 2120, 4000, 4001, 285_000])
+def test_long_sentences_are_kept_whole(n):
+    text = "".join(chr(97 + k % 26) for k in range(n))
+    got = corpus.pack(text)
+    assert "".join(got) == text and all(corpus.LEAST_CHUNK <= len(c) <= corpus.MOST_CHUNK for c in got)
+    assert "".join(corpus.pack(f"{text}. {'Next one. ' * 20}")).replace(" ", "") == f"{text}.{'Nextone.' * 20}"
