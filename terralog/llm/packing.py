@@ -1,13 +1,15 @@
 """Best-fit-decreasing packing of tokenised documents into fixed-length sequences (operator 10).
 
-Pieces are dealt by hash over groups of about ``GROUP_DOCS`` documents; within a group each piece goes, longest first,
+Pieces are written once, counted, and dealt by hash over groups of about ``GROUP_SEQUENCES`` full sequences, or fewer
+where pieces are so short that a group would have over ``GROUP_PIECES``. Within a group each piece goes, longest first,
 to the open sequence with the least room that still holds it. A segment tree over the remaining capacities finds that
-sequence in logarithmic time. A group leaves one or two sequences partly filled at its end, of many hundreds.
+sequence in logarithmic time. A group leaves one or two sequences partly filled at its end.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from . import base
 from .tokens import encoder
 
-GROUP_DOCS = 2500
+GROUP_SEQUENCES, GROUP_PIECES = 500, 200_000
 
 
 class Capacities:
@@ -73,30 +75,38 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32``: each document's ids and the end id, cut after every ``size`` ids."""
+    """``doc_id, piece, start, length, ids_crc32, nth``: each document's ids and the end id, cut after every ``size`` ids.
+
+    ``nth`` numbers pieces that are the same in the first five within a batch, so that repeated rows can be dealt apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            out = [[], [], [], [], []]
+            out, again = [[], [], [], [], [], []], Counter()
             for doc, ids in zip(batch.column(0).to_pylist(), enc.ids(batch.column(1).to_pylist()), strict=True):
                 ids += end
                 for k in range(0, len(ids), 4 * size):
                     part = ids[k : k + 4 * size]
-                    for column, v in zip(out, (doc, k // (4 * size), k // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                    one = (doc, k // (4 * size), k // 4, len(part) // 4, zlib.crc32(part))
+                    for column, v in zip(out, (*one, again[one]), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    again[one] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
 
-    return base.documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return base.documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, nth long")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096, group_sequences: int = GROUP_SEQUENCES) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Every row of ``docs`` is packed, repeated ones too; null and empty texts are one piece of the end id. Only documents
-    of over ``size`` ids are cut. Memory is bounded by the pieces of one group; the number of groups grows with the rows.
+    of over ``size`` ids are cut. Memory is bounded by the pieces of one group; the number of groups grows with the ids.
+    Rows that repeat an id, or have none, are dealt over all groups like others.
     """
-    groups = max(1, -(-docs.count() // group_docs))
+    p = base.stored(pieces(docs, tokenizer, end_id, size))
+    ids, count = p.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    groups = max(1, -(-ids // (group_sequences * size)), -(-count // GROUP_PIECES))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
@@ -104,7 +114,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096, gro
         rows["sequence_id"] = number * groups + int(key[0])
         return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    p = pieces(docs, tokenizer, end_id, size).withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    p = p.withColumn("packing_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "nth"), F.lit(groups)))
     return p.groupBy("packing_group").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

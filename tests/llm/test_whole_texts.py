@@ -3,7 +3,8 @@
 import random
 import re
 
-from terralog.llm import license_scan, secret_scan
+from terralog.llm import license_scan, packing, secret_scan
+from terralog.llm.queries import tokenizer
 from tests.llm.test_operators import odd, prose, table  # noqa: F401
 
 
@@ -57,3 +58,17 @@ def test_a_later_place_tells_a_secret(spark):
     found = {r.doc_id: (r.start, r.is_secret) for r in secret_scan.scan(docs).collect()}
     assert found[200] == (rows[-1][1].index(hexes[0]), True) and not found[100][1]
     assert hexes[0] not in {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}[200]
+
+
+def test_repeated_ids_are_dealt_over_groups(spark):
+    for rows in ([(None, f"word{k} and more") for k in range(400)], [(7, "the same few words")] * 400):
+        p = packing.pack(table(spark, rows), tokenizer("word_bpe_49k.json"), size=64, group_sequences=3).toPandas()
+        ids = int(p.length.sum())
+        groups = max(1, -(-ids // (3 * 64)))
+        of = (p.sequence_id % groups).value_counts()
+        assert len(p) == 400 and groups >= 8 and len(of) > groups / 2 and of.max() < 100
+
+
+def test_groups_of_short_documents_fill_many_sequences(spark):
+    p = packing.pack(table(spark, [(k, f"word{k} and more") for k in range(6000)]), tokenizer("word_bpe_49k.json"), size=64).toPandas()
+    assert p.sequence_id.nunique() <= 1.01 * -(-int(p.length.sum()) // 64)
