@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def reports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Claims: all documents. Sources of a claim: the documents of the next id and of the same id modulo 7 block."""
+    """Claims: all documents. Source of a claim: the document of the next id, one a report."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("report_id"), "text")
     shifted = d.select((F.col("report_id") - 1).alias("report_id"), "text")
     return d, shifted
