@@ -168,4 +168,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, broad
 
 def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, of documents that hold no benchmark item. Rows without an id stay."""
-    return docs.join(matches(docs, benchmark, percent).select(F.col("doc_id").alias("leaked_doc")).distinct(), docs["doc_id"] == F.col("leaked_doc"), "left_anti")
+    leaked = base.unused("leaked_doc", docs)
+    return docs.join(matches(docs, benchmark, percent).select(F.col("doc_id").alias(leaked)).distinct(), docs["doc_id"] == F.col(leaked), "left_anti")

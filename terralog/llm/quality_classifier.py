@@ -56,16 +56,17 @@ def fit(rows: list, counts: dict[int, int]) -> dict:
     return {"good": g, "bad": b, "w": list(base.logistic(np.array(x) * scale, np.array(y), prior) * np.r_[1, np.full(3, scale)])}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``doc_id, score`` for each row; null and empty texts have the features 0."""
+def scorer(model: dict):
+    """Arrow UDF from text to score: only texts go to Python and only numbers come back; null and empty texts have the features 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         good, bad, w = compressor(model["good"]), compressor(model["bad"]), np.array(model["w"])
-        for batch in batches:
-            x = np.array([features(t.as_py(), good, bad) for t in batch.column(1)]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base.sigmoid(w[0] + x @ w[1:]))], ["doc_id", "score"])
+        for texts in batches:
+            x = np.array([features(t.as_py() or "", good, bad) for t in texts]).reshape(-1, 3)
+            yield pa.array(base.sigmoid(w[0] + x @ w[1:]))
 
-    return base.documents(docs).mapInArrow(run, "doc_id long, score double")
+    return score
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held: int = 2, threshold: float = 0.7, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
@@ -75,19 +76,11 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", parts:
     labelled texts a class, each of at most ``max_chars``. Repeated rows are scored alike; a null id is never held out.
     """
     rows, counts = base.labelled_sample(docs, labels, label, base.fold(parts=parts) != held, per_class, max_chars)
-    out = score(docs, fit(rows, counts))
+    out = base.documents(docs).select("doc_id", scorer(fit(rows, counts))("text").alias("score"))
     return out.select("doc_id", F.coalesce(base.fold(parts=parts) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held: int = 2, threshold: float = 0.7, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, that ``classify`` predicts as 1; they stay where they are, nothing is shuffled."""
     model = fit(*base.labelled_sample(docs, labels, label, base.fold(parts=parts) != held, per_class, max_chars))
-    text = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad, w = compressor(model["good"]), compressor(model["bad"]), np.array(model["w"])
-        for batch in batches:
-            x = np.array([features(t.as_py() or "", good, bad) for t in batch.column(text)]).reshape(-1, 3)
-            yield batch.filter(pa.array(base.sigmoid(w[0] + x @ w[1:]) >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(scorer(model)(docs["text"].cast("string")) >= threshold)

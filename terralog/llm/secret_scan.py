@@ -127,7 +127,9 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``docs``, all columns and rows, with each secret in ``text`` replaced by ``MASK`` wherever the document has it."""
-    secrets = scan(docs, labelled).where("is_secret and doc_id is not null").groupBy(F.col("doc_id").alias("secret_doc")).agg(F.sort_array(F.collect_set("candidate"), asc=False).alias("found_secrets"))
-    joined = docs.join(secrets, docs["doc_id"] == F.col("secret_doc"), "left")
-    masked = F.aggregate(F.coalesce("found_secrets", F.array().cast("array<string>")), docs["text"], lambda text, s: F.replace(text, s, F.lit(MASK)))
+    doc, secrets = base.unused("secret_doc", docs), base.unused("found_secrets", docs)
+    longest = F.array_sort(F.collect_set("candidate"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    found = scan(docs, labelled).where("is_secret and doc_id is not null").groupBy(F.col("doc_id").alias(doc)).agg(longest.alias(secrets))
+    joined = docs.join(found, docs["doc_id"] == F.col(doc), "left")
+    masked = F.aggregate(F.coalesce(secrets, F.array().cast("array<string>")), docs["text"], lambda text, s: F.replace(text, s, F.lit(MASK)))
     return joined.select(*(masked.alias(c) if c == "text" else docs[c] for c in docs.columns))
