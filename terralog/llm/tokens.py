@@ -2,7 +2,8 @@
 
 The tokenizers library encodes each distinct word once a worker; a text's ids are its words' ids in order. That is exact
 where words never share a token: after single spaces and line ends in a byte-level tokenizer without a normaliser, and at
-any white space in one that drops it. Other texts, and files of another kind, are encoded whole.
+any white space in one that drops it. Other texts, those with a special token's string, and files of another kind, are
+encoded whole.
 """
 
 from __future__ import annotations
@@ -50,7 +51,6 @@ class Encoder:
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
@@ -61,6 +61,10 @@ class Encoder:
             self.kind = "spaced"
         elif kinds == ["NFC", "Replace", "Lowercase"] and steps == ["Split", "ByteLevel"] and pre["pretokenizers"][0].get("invert") and pre["pretokenizers"][0].get("behavior") == "Removed":
             self.kind = "dropped"
+        added = spec.get("added_tokens") or []
+        self.marks = [t["content"] for t in added]  # the library turns these strings into one id wherever a text has them
+        if any(t.get("normalized") for t in added):
+            self.kind = "whole"
         self.words = Tokenizer(self.whole.model)  # for single words, already in byte letters
         self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         if hasattr(self.words.model, "_resize_cache"):  # words come once, and keeping them costs more than it saves
@@ -141,7 +145,7 @@ class Encoder:
             if len(self.memory) > MOST_WORDS:
                 self.memory.clear()
             by_words = {"spaced": _single_spaces, "dropped": _spaces_drop}.get(self.kind, lambda _: False)
-            fast = [i for i, t in enumerate(step) if t and by_words(t)]
+            fast = [i for i, t in enumerate(step) if t and not any(x in t for x in self.marks) and by_words(t)]
             slow = sorted({i for i, t in enumerate(step) if t} - set(fast))
             out = [b""] * len(step)
             for i, x in zip(fast, self._by_words([step[i] for i in fast]), strict=True):

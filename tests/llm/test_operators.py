@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from terralog.llm import base, boosting, components, decontaminate, hashing, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, token_store, tokens, toxicity, warc
 from terralog.llm.queries import tokenizer
@@ -182,13 +183,14 @@ def test_secrets(spark, odd):
     assert secret_scan.scan(docs, given).count() == len(out)
 
 
+SPECIAL = [(11, "<|endoftext|> x"), (12, "!!! a<|startoftext|>b <|endoftext|>"), (13, "!")]
 TEXTS = [t for _, t in ODD if t] + ["a", " a", "a ", "a\n\nb", "it's 'tis 12 3a4", "x\ty", "<|endoftext|> x", "don't!!! a,b. c*** d's", "\n", "日本 語", "a \n b", "ß ẞ ﬁ"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(name):
     e = tokens.Encoder(tokenizer(name))
-    want = [np.array(x.ids, dtype="<u4").tobytes() for x in e.whole.encode_batch(TEXTS, add_special_tokens=False)]
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in Tokenizer.from_file(tokenizer(name)).encode_batch(TEXTS, add_special_tokens=False)]
     assert list(e.ids(TEXTS)) == want and list(e.ids(TEXTS + [""])) == [*want, b""]
 
 
@@ -201,22 +203,25 @@ def test_wavelet_matrix():
         for i in range(0, n, max(1, n // 20)):
             assert m.access(i) == ids[i] and m.rank(int(ids[i]), i) == int((ids[:i] == ids[i]).sum())
         for t in set(ids[:5].tolist()) | {top + 9}:
+            ends = np.r_[0, rng.integers(0, n + 1, 50), n]
+            assert m.ranks(t, ends).tolist() == [m.rank(t, int(x)) for x in ends] == [int((ids[:x] == t).sum()) for x in ends]
             assert m.occurrences(t) == np.flatnonzero(ids == t).tolist() and m.count(t) == int((ids == t).sum())
     with pytest.raises(ValueError):
         token_store.from_file(token_store.to_file([1], [2], np.array([5, 6], "<u4"))[:-1])
 
 
 def test_token_store(spark, odd):
-    e = tokens.Encoder(tokenizer("byte_bpe_50k.json"))
-    rows = sorted([(i, t or "") for i, t in ODD], key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    odd = odd.unionByName(table(spark, SPECIAL))
+    rows = sorted([(i, t or "") for i, t in ODD + SPECIAL], key=lambda x: (x[0] is not None, x[0] or 0))
     want, at = [], 0
     for i, t in rows:
-        ids = np.array([*e.whole.encode(t, add_special_tokens=False).ids, 0], dtype="<u4")
-        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], dtype="<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes()), int((ids == 0).sum())))
         at += len(ids)
     path = base.work_dir(spark) + "-shards"
     got = token_store.read_back(token_store.write(odd, tokenizer("byte_bpe_50k.json"), path, shard_ids=500), path)
-    assert sorted((r.doc_id or -1, r.start, r.n_tokens, r.ids_crc32) for r in got.collect()) == sorted((i or -1, *x) for i, *x in want)
+    assert sorted((r.doc_id or -1, r.start, r.n_tokens, r.ids_crc32, r.n_end_ids) for r in got.collect()) == sorted((i or -1, *x) for i, *x in want)
     assert token_store.encode(odd.limit(0), tokenizer("byte_bpe_50k.json")).count() == 0
 
 
@@ -280,9 +285,13 @@ def test_capacities_find_the_tightest():
 
 
 def test_packing(spark, odd):
-    p = packing.pack(odd, tokenizer("word_bpe_49k.json")).toPandas()
-    e = tokens.Encoder(tokenizer("word_bpe_49k.json"))
-    total = sum(len(e.whole.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ODD)
+    library = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
+    ids = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in ODD + SPECIAL}
+    p = packing.pack(odd.unionByName(table(spark, SPECIAL)), tokenizer("word_bpe_49k.json")).toPandas()
+    for r in p[p.doc_id.notna()].itertuples():
+        part = ids[int(r.doc_id)][r.start : r.start + 4096]
+        assert (r.length, r.ids_crc32) == (len(part), zlib.crc32(np.array(part, "<u4").tobytes())) and r.start == 4096 * r.piece
+    total = sum(len(ids[i]) for i, _ in ODD + SPECIAL)
     assert p.length.sum() == total and p.sequence_id.nunique() == -(-total // 4096)
     for _, g in p.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 4096
