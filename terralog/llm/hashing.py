@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Also takes all ASCII other than letters, digits and line ends for spaces.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or b == 10 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
