@@ -14,11 +14,14 @@ def compressor(content: bytes, level: int = 3, **params) -> zs.ZstdCompressor:
     return zs.ZstdCompressor(dict_data=d, compression_params=p)
 
 
-def trained(samples: list[bytes], size: int) -> bytes:
-    """Content of a zstandard dictionary trained on ``samples``; the end of the samples where there are too few to train on."""
+def trained(samples: list[bytes], size: int, **params: int) -> bytes:
+    """Content of a zstandard dictionary trained on ``samples``; the end of the samples where there are too few to train on.
+
+    ``params``: ``k`` and ``d``, the bytes of a segment and of a match, where the trainer shall not look for them itself.
+    """
     samples = [s for s in samples if s]
     try:
-        return zs.train_dictionary(size, samples, level=3).as_bytes()[-size:]
+        return zs.train_dictionary(size, samples, **({"level": 3} | params)).as_bytes()[-size:]
     except (zs.ZstdError, ValueError):
         return b"\n".join(samples)[-size:] or b"\n"
 
