@@ -1,9 +1,10 @@
 """Secret scan with a random forest against false positives (operator 3). DataFrame functions only.
 
-Candidates are long tokens with a digit, and longer ones of capitals alone. Each is described by its length, the changes between kinds of characters along it,
-how much of it common words cover, whether it lies in a path, and its neighbouring words; a random forest trained on
-labelled findings tells secrets from ids, numbers and paths. Candidates are few, so they are written once and read for both
-training and scoring.
+Candidates are long tokens with a digit, longer ones of capitals alone, and what is assigned to the name of a secret. Each is
+described by its length, the changes between kinds of characters along it, how much of it common words cover, whether it
+lies in a path, and its neighbouring words; a random forest trained on labelled findings tells secrets from ids, numbers,
+names and paths. The findings are the caller's, or those planted by :mod:`terralog.llm.findings`. Candidates are few, so
+they are written once.
 """
 
 from __future__ import annotations
@@ -11,13 +12,17 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import base
+from . import base, findings
 
 PER_CLASS = 3000
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}={0,2}|[A-Z]{16,}(?![A-Za-z0-9_+/-]))"
+TREES, DEPTH = 30, 8
+CANDIDATE = (
+    r"(?<![A-Za-z0-9_+/-])(?:(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{12,}={0,2}|[A-Z]{16,}(?![A-Za-z0-9_+/-]))"
+    r"|(?<=[\"' =:>])(?<=(?i:passw(?:or)?d|pwd|passphrase|secret|token|api_?key)(?:[\"']?[ ]?[=:][ ]?[\"']?|>))[^\s\"'<>,;&]{6,}"
+)
 CONTEXT = 80
 NEIGHBOURS = 7
 MASK = "[SECRET]"
@@ -26,10 +31,12 @@ MASK = "[SECRET]"
 SECRET_WORDS = "key|token|secret|passw|passwd|pwd|auth|credential|bearer|private|apikey|access"
 PLAIN_WORDS = "commit|sha|hash|md5|checksum|digest|uuid|guid|version|revision|build|order|invoice|card|isbn|phone|page|figure"
 COMMON_WORDS = "about|account|admin|after|also|and|are|base|been|before|build|can|class|client|code|com|config|content|could|data|date|default|demo|dev|doc|error|example|false|file|first|for|from|get|has|have|home|html|http|image|index|info|int|item|key|lib|line|link|list|local|log|main|model|name|new|not|null|object|org|page|part|path|project|public|query|report|result|sample|section|server|set|site|source|string|system|table|temp|test|text|that|the|this|time|title|true|type|url|user|value|version|view|was|web|were|will|with|word|work|www|year|you"
-#: A candidate of a provider's own format, or the value of an assignment to a secret's name, counts as a labelled secret.
 PROVIDER = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[A-Za-z0-9_-]{35}$|^sk_live_[A-Za-z0-9]{16,}$"
 ASSIGNED = rf"(?i)({SECRET_WORDS})[a-z_-]*[\"']?\s*[=:]\s*[\"']?$"
-FEATURES = ["length", "transitions", "case_transitions", "digit_share", "upper_share", "hex_only", "digits_only", "distinct_share", "word_share", "path_marks", "in_path", "secret_words", "plain_words", "assigned", "quoted"]
+FEATURES = [
+    "length", "transitions", "case_transitions", "digit_share", "upper_share", "hex_only", "digits_only", "distinct_share", "word_share", "path_marks", "other_marks", "hyphens", "provider", "in_path", "in_url", "secret_words", "secret_beside", "plain_words", "plain_beside", "assigned",
+    "assigned_secret", "bearer", "tagged", "quoted",
+]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -74,19 +81,35 @@ def described(found: DataFrame) -> DataFrame:
         "digits_only": c.rlike("^[0-9-]+$").cast("int"),
         "distinct_share": F.size(F.array_distinct(F.split(c, ""))) / n,
         "word_share": 1 - F.length(F.regexp_replace(low, COMMON_WORDS, "")) / n,
-        "path_marks": F.regexp_count(c, F.lit("[/_-]")),
+        "path_marks": F.regexp_count(c, F.lit("[/_]")),
+        "other_marks": F.regexp_count(c, F.lit("[^A-Za-z0-9/_-]")),
+        "hyphens": F.regexp_count(c, F.lit("-")),
+        "provider": c.rlike(PROVIDER).cast("int"),
         "in_path": (F.col("before").rlike(r"[/\\.@]$") | F.col("after").rlike(r"^[/\\.@][A-Za-z0-9]")).cast("int"),
+        "in_url": F.col("before").rlike(r"(?i)(https?:|data:)[^\s]*$").cast("int"),
         "secret_words": F.regexp_count(F.lower("before"), F.lit(SECRET_WORDS)),
+        "secret_beside": F.col("before").rlike(rf"(?i)({SECRET_WORDS})[a-z]*[^A-Za-z0-9]*([a-z]+[^A-Za-z0-9]+)?$").cast("int"),
         "plain_words": F.regexp_count(F.lower("before"), F.lit(PLAIN_WORDS)),
+        "plain_beside": F.col("before").rlike(rf"(?i)({PLAIN_WORDS})[a-z]*[^A-Za-z0-9]*([a-z]+[^A-Za-z0-9]+)?$").cast("int"),
         "assigned": F.col("before").rlike(r"[=:]\s*[\"']?$").cast("int"),
+        "assigned_secret": F.col("before").rlike(ASSIGNED).cast("int"),
+        "bearer": F.col("before").rlike(r"(?i)\b(bearer|basic)\s+$").cast("int"),
+        "tagged": F.col("before").rlike(rf"(?i)<[a-z_]*({SECRET_WORDS})[a-z_]*>$").cast("int"),
         "quoted": (F.col("before").rlike(r"[\"']$") & F.col("after").rlike(r"^[\"']")).cast("int"),
     }
     return found.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in values.items()})
 
 
-def labelled_by_rule(found: DataFrame) -> DataFrame:
-    """Findings with ``is_secret``: 1 for provider formats and assignments to a secret's name, else 0."""
-    return found.withColumn("is_secret", (F.col("candidate").rlike(PROVIDER) | F.col("before").rlike(ASSIGNED)).cast("int"))
+def by_rule() -> Column:
+    """What a list of patterns would call a secret: providers' formats and assignments to a secret's name."""
+    return F.col("candidate").rlike(PROVIDER) | F.col("before").rlike(ASSIGNED)
+
+
+def labelled_findings(spark: SparkSession, templates: list[tuple[int, str, str, str]] = findings.TRAINING) -> DataFrame:
+    """``candidate, before, after, is_secret, template`` of the values planted by ``templates``, found like any candidate."""
+    texts = base.stored(findings.planted(spark, templates))
+    found = candidates(texts).join(texts.select("doc_id", "value", "is_secret", "template"), "doc_id")
+    return found.where(F.contains("candidate", "value") | F.contains("value", "candidate")).select("candidate", "before", "after", "is_secret", "template")
 
 
 def train(labelled: DataFrame, per_class: int = PER_CLASS, seed: int = 7):
@@ -101,7 +124,7 @@ def train(labelled: DataFrame, per_class: int = PER_CLASS, seed: int = 7):
     if len(seen) < 2:
         return 1.0 if seen.get(1.0) else 0.0
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    return RandomForestClassifier(numTrees=30, maxDepth=6, seed=seed).fit(vectors.select("features", "label"))
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(vectors.select("features", "label"))
 
 
 def score(found: DataFrame, forest) -> DataFrame:
@@ -115,12 +138,12 @@ def score(found: DataFrame, forest) -> DataFrame:
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """``doc_id, candidate, start, score, is_secret`` for each distinct candidate of each document.
 
-    ``labelled``: findings to train on; without it the documents' own candidates, labelled by rule. Null and empty texts
-    and empty tables give no rows. Every occurrence is scored; those of the same id and candidate give one row, with the
+    ``labelled``: findings to train on; without it those of ``labelled_findings``. Null and empty texts and empty tables
+    give no rows. Every occurrence is scored; those of the same id and candidate give one row, with the
     least start and the highest score.
     """
     found = base.stored(candidates(docs))
-    scored = score(found, train(labelled if labelled is not None else labelled_by_rule(found)))
+    scored = score(found, train(labelled if labelled is not None else labelled_findings(docs.sparkSession)))
     one = scored.groupBy("doc_id", "candidate").agg(F.min("start").alias("start"), F.max("score").alias("score"))
     return one.withColumn("is_secret", F.col("score") >= threshold)
 

@@ -1,7 +1,8 @@
 """Cases in which an operator must look at the whole text or table."""
 
 import random
-import re
+
+import regex
 
 from terralog.llm import license_scan, packing, secret_scan
 from terralog.llm.queries import tokenizer
@@ -43,7 +44,7 @@ def test_every_occurrence_is_described(spark, odd):
     got = sorted((r.doc_id, r.start, r.candidate, r.before, r.after) for r in secret_scan.candidates(table(spark, rows + [(None, f"no id {key}")])).where("doc_id is not null").collect())
     want = []
     for i, t in rows:
-        for m in re.finditer(secret_scan.CANDIDATE, t):
+        for m in regex.finditer(secret_scan.CANDIDATE, t):
             want.append((i, m.start(), m[0], t[max(0, m.start() - 80) : m.start()], t[m.end() : m.end() + 80]))
     assert got == sorted(want)
     assert secret_scan.candidates(odd.limit(0)).count() == 0
@@ -72,3 +73,26 @@ def test_repeated_ids_are_dealt_over_groups(spark):
 def test_groups_of_short_documents_fill_many_sequences(spark):
     p = packing.pack(table(spark, [(k, f"word{k} and more") for k in range(6000)]), tokenizer("word_bpe_49k.json"), size=64).toPandas()
     assert p.sequence_id.nunique() <= 1.01 * -(-int(p.length.sum()) // 64)
+
+
+def test_the_forest_mends_the_rule_on_held_out_findings(spark):
+    """Templates, labels and most of their words are not among those trained on."""
+    held = secret_scan.labelled_findings(spark, secret_scan.findings.HELD_OUT)
+    scored = secret_scan.score(held.withColumn("rule", secret_scan.by_rule()), secret_scan.train(secret_scan.labelled_findings(spark))).toPandas()
+    truth = scored.is_secret == 1
+
+    def ratios(said):
+        return (said & truth).sum() / max(1, said.sum()), (said & truth).sum() / truth.sum()
+
+    rule, forest = ratios(scored.rule), ratios(scored.score >= 0.5)
+    print("rule", rule, "forest", forest, scored.assign(wrong=(scored.score >= 0.5) != truth).groupby("template").wrong.mean().to_dict())
+    assert len(scored) > 0.9 * 60 * len(secret_scan.findings.HELD_OUT)
+    assert forest[0] > rule[0] and forest[1] > rule[1] and min(forest) > 0.8
+
+
+def test_short_values_and_inner_places(spark):
+    rows = [(1, "so password = hunter2 it was"), (2, "password: correct-horse-battery-staple\n"), (3, 'id zzabc123def456 and api_key = "abc123def456" end'), (4, None), (5, "")]
+    found = {(r.doc_id, r.candidate, r.start) for r in secret_scan.candidates(table(spark, rows)).collect()}
+    assert {(1, "hunter2", 14), (2, "correct-horse-battery-staple", 10), (3, "abc123def456", rows[2][1].index('"') + 1)} <= found
+    hit = {r.doc_id for r in secret_scan.scan(table(spark, rows)).where("is_secret").collect()}
+    assert {1, 2} <= hit and secret_scan.scan(table(spark, rows[3:])).count() == 0
