@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from math import lgamma
+from math import erfc, lgamma
 
 import numpy as np
 
-_lgamma = np.vectorize(lgamma, otypes=[float])
+_lgamma, _erfc = np.vectorize(lgamma, otypes=[float]), np.vectorize(erfc, otypes=[float])
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -19,35 +19,65 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - i * (1 / 12 - i * (1 / 120 - i * (1 / 252 - i * (1 / 240 - i / 132))))
 
 
-def gammainc(a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Regularised lower incomplete gamma function: a series below a + 1, a continued fraction above."""
-    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
-    safe = np.maximum(x, 1e-300)
-    front = np.exp(-safe + a * np.log(safe) - _lgamma(a))
-    term = total = 1 / a
-    for n in range(1, 400):
-        term = term * safe / (a + n)
+#: Shapes from here on take the uniform expansion, whose error falls with the shape.
+LARGE = 2e4
+
+
+def _large(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Temme's uniform expansion for large shapes, with its first correction."""
+    mu = (x - a) / a
+    small = np.abs(mu) < 1e-2
+    m = np.where(small, mu, 0.0)
+    series = m * m * (1 / 2 - m * (1 / 3 - m * (1 / 4 - m * (1 / 5 - m * (1 / 6 - m / 7)))))
+    half = np.where(small, series, mu - np.log1p(np.maximum(mu, -1 + 1e-300)))  # half of eta squared
+    eta = np.sign(mu) * np.sqrt(2 * half)
+    safe = np.where(np.abs(eta) < 1e-2, 1.0, eta)
+    first = np.where(np.abs(eta) < 1e-2, -1 / 3 + eta / 12 - 2 * eta**2 / 135, 1 / np.where(mu == 0, 1.0, mu) - 1 / safe)
+    return 0.5 * _erfc(-eta * np.sqrt(a / 2)) - np.exp(-np.minimum(a * half, 700)) / np.sqrt(2 * np.pi * a) * first
+
+
+def _series(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Lower function below a + 1, term by term until the terms no longer count."""
+    term = 1 / a
+    total, n = term.copy(), 0
+    while True:
+        n += 1
+        term = term * x / (a + n)
         total = total + term
-    b = safe + 1 - a
+        if not (term > 1e-17 * total).any():
+            return np.exp(-x + a * np.log(x) - _lgamma(a)) * total
+
+
+def _fraction(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Upper function above a + 1 by its continued fraction, until the factors are 1."""
+    b = x + 1 - a
     c, d = np.full(a.shape, 1e300), 1 / np.where(b == 0, 1e-300, b)
-    h = d
-    for i in range(1, 200):
-        an = -i * (i - a)
-        b = b + 2
+    h, i = d.copy(), 0
+    while True:
+        i += 1
+        an, b = -i * (i - a), b + 2
         d = an * d + b
         d = 1 / np.where(np.abs(d) < 1e-300, 1e-300, d)
         c = b + an / c
         c = np.where(np.abs(c) < 1e-300, 1e-300, c)
         h = h * d * c
-    with np.errstate(over="ignore", invalid="ignore"):
-        out = np.where(x < a + 1, front * total, 1 - front * h)
-    return np.where(x <= 0, 0.0, np.clip(out, 0, 1))
+        if not (np.abs(d * c - 1) > 1e-15).any() or i > 10_000:
+            return np.exp(-x + a * np.log(x) - _lgamma(a)) * h
+
+
+def gammainc(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised lower incomplete gamma function: a series below a + 1, a continued fraction above, an expansion for large a."""
+    a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
+    out = np.where(np.isnan(a) | np.isnan(x), np.nan, 0.0)
+    some = x > 0
+    for part, f in ((some & (a >= LARGE), _large), (some & (a < LARGE) & (x < a + 1), _series), (some & (a < LARGE) & (x >= a + 1), lambda a, x: 1 - _fraction(a, x))):
+        if part.any():
+            out[part] = np.clip(f(a[part], x[part]), 0, 1)
+    return out
 
 
 def normal_cdf(z: np.ndarray) -> np.ndarray:
-    z = np.asarray(z, float)
-    half = gammainc(np.full(z.shape, 0.5), z * z / 2) / 2
-    return np.where(z < 0, 0.5 - half, 0.5 + half)
+    return 0.5 * _erfc(-np.asarray(z, float) / np.sqrt(2))
 
 
 def normal_ppf(p: np.ndarray) -> np.ndarray:
@@ -73,13 +103,21 @@ def gamma_shape(log_mean_minus_mean_log: np.ndarray) -> np.ndarray:
 
 
 def gamma_ppf(a: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Quantile of the unit gamma law by bisection on a growing bracket."""
+    """Quantile of the unit gamma law: Newton steps from Wilson and Hilferty's start, kept in a bracket that they narrow."""
     a, p = np.broadcast_arrays(np.asarray(a, float), np.asarray(p, float))
-    lo, hi = np.zeros(a.shape), a + 1
-    for _ in range(60):
-        hi = np.where(gammainc(a, hi) < p, hi * 2, hi)
-    for _ in range(70):
-        mid = (lo + hi) / 2
-        below = gammainc(a, mid) < p
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    return (lo + hi) / 2
+    guess = a * np.maximum(1 - 1 / (9 * a) + normal_ppf(p) / (3 * np.sqrt(a)), 0) ** 3
+    tail = np.exp((np.log(p) + _lgamma(a + 1)) / a)  # exact as the quantile goes to 0
+    x = np.where((guess > 0) & (a > 0.5), guess, np.minimum(tail, np.maximum(a, 1e-300)))
+    x, lo, hi = np.maximum(x, 1e-300), np.zeros(a.shape), np.full(a.shape, np.inf)
+    for _ in range(200):
+        e = gammainc(a, x) - p
+        lo, hi = np.where(e < 0, x, lo), np.where(e < 0, hi, x)
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+            slope = np.exp((a - 1) * np.log(x) - x - _lgamma(a))
+            step = x - e / slope
+        middle = np.where(np.isfinite(hi), (lo + hi) / 2, 2 * x)
+        new = np.where((step > lo) & (step < hi) & np.isfinite(step), step, middle)
+        if not (np.abs(new - x) > 1e-13 * x).any():
+            break
+        x = new
+    return x

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Characters of a chunk, and of what it shares with the one before; where paragraphs and sentences end.
 LEAST_CHUNK, MOST_CHUNK, OVERLAP = 120, 2000, 200
+PARAGRAPH, UNIT = r"\n\s*\n", r"(?<=[.!?])\s+|\n"
 
 
 def html_text(html: Column) -> Column:
@@ -41,39 +43,52 @@ def sections(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return numbered.groupBy(key, "section").agg(F.max("heading_line").alias("heading"), F.trim(body).alias("body"))
 
 
+def fitting(sizes: list[int], gap: int) -> list[int]:
+    """Places (from 0) at which a new group of consecutive parts begins, so that a group has at most ``MOST_CHUNK`` characters.
+
+    ``gap`` characters stand between parts. A part that is larger is a group of its own.
+    """
+    starts, held = [], 0
+    for k, n in enumerate(sizes):
+        if not starts or held + gap + n > MOST_CHUNK:
+            starts.append(k)
+            held = n
+        else:
+            held += gap + n
+    return starts
+
+
+def split_long(text: str) -> list[str]:
+    """A text over the limit by sentences and lines; a sentence over it in consecutive pieces, so that nothing is lost.
+
+    (The reference keeps the start of such a sentence only.) Pieces under ``LEAST_CHUNK`` are left out.
+    """
+    if len(text) <= MOST_CHUNK:
+        return [text]
+    units = [u[i : i + MOST_CHUNK] for u in re.split(UNIT, text) if u for i in range(0, len(u), MOST_CHUNK)]
+    cuts = [*fitting([len(u) for u in units], 1), len(units)]
+    joined = (" ".join(units[a:b]).strip() for a, b in zip(cuts, cuts[1:], strict=False))
+    return [p for p in joined if len(p) >= LEAST_CHUNK]
+
+
 def pack(text: str | None) -> list[str]:
-    """Paragraphs in order, packed to ``MOST_CHUNK`` characters; each next chunk starts with the end of the one before.
+    """Chunks of whole paragraphs; each begins with the end of the one before, but after a paragraph cut by ``split_long``.
 
-    A paragraph over the limit that opens a chunk is cut at sentence ends, and a sentence that is still longer into
-    consecutive pieces of at most ``MOST_CHUNK`` and at least ``LEAST_CHUNK`` characters, so none of it is lost (the
-    reference keeps its start only). The last chunk, and the last sentences of a long paragraph, need ``LEAST_CHUNK``.
+    Paragraphs end at blank lines. One that is too long is cut where it opens a chunk; after a chunk it follows that
+    one's end whole. The last chunk needs ``LEAST_CHUNK`` characters.
     """
     out: list[str] = []
-    held = ""
-    for par in (p.strip() for p in re.split(r"\n\s*\n|\n", text or "")):
-        if not par:
-            continue
-        if held and len(held) + 2 + len(par) > MOST_CHUNK:
-            out.append(held)
-            held = f"{held[-OVERLAP:]}\n\n{par}"
-        elif not held and len(par) > MOST_CHUNK:
-            piece = ""
-            for unit in re.split(r"(?<=[.!?])\s+", par):
-                if piece and len(piece) + 1 + len(unit) > MOST_CHUNK:
-                    out.append(piece)
-                    piece = ""
-                piece = f"{piece} {unit}".strip()
-                while len(piece) > MOST_CHUNK:
-                    cut = min(MOST_CHUNK, len(piece) - LEAST_CHUNK)
-                    out.append(piece[:cut])
-                    piece = piece[cut:]
-            if len(piece) >= LEAST_CHUNK:
-                out.append(piece)
+    open_chunk = ""
+    for par in filter(None, (p.strip() for p in re.split(PARAGRAPH, text or ""))):
+        longer = f"{open_chunk}\n\n{par}" if open_chunk else par
+        if len(longer) <= MOST_CHUNK:
+            open_chunk = longer
+        elif open_chunk:
+            out.append(open_chunk)
+            open_chunk = f"{open_chunk[-OVERLAP:]}\n\n{par}".strip()
         else:
-            held = f"{held}\n\n{par}" if held else par
-    if len(held) >= LEAST_CHUNK:
-        out.append(held)
-    return out
+            out += split_long(par)
+    return out + [open_chunk] * (len(open_chunk) >= LEAST_CHUNK)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -81,6 +96,17 @@ def _packed(text: pd.Series) -> pd.Series:
     return text.map(pack)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _cut(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: split_long(t) if t is not None and len(t) >= LEAST_CHUNK else [])
+
+
+def section_chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key, section, heading, chunk, body, chars``: sections of at least ``LEAST_CHUNK`` characters, long ones cut; each keeps its heading."""
+    c = sections(docs, key, text).select(key, "section", "heading", F.posexplode(_cut(F.trim("body"))).alias("chunk", "body"))
+    return c.withColumn("chars", F.length("body"))
+
+
 def chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, chunk, chunk_id, body, chars``; the id is of the key and a hash of the text."""
     c = docs.select(key, F.posexplode(_packed(F.col(text))).alias("chunk", "body"))

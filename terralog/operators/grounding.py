@@ -1,7 +1,9 @@
 """Mechanical check that every number of a report occurs in its sources.
 
-Claims and sources become keys that meet by equality: the token itself, the value at the claim's decimals, and tolerance
-buckets; no claim is compared with all numbers of its sources.
+Claims and source numbers become keys that meet by equality: the number as it is written, its value rounded to the claim's
+decimals, and cells of the tolerance's width. Texts are read once, and no claim is compared with all numbers of its sources.
+Sources may be given to a group of reports; their keys are put together before they meet the claims, so a group of any
+size costs its distinct keys only.
 """
 
 from __future__ import annotations
@@ -9,10 +11,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# What is a number, what names things and states no value, which whole numbers are years, and the tolerance.
 NUMBER = r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?%?"
+STRUCTURAL = (
+    r"(?i)\bt\s*\+\s*\d\b",
+    r"(?i)\bSPI-?3\b",
+    r"(?i)\bgemini-embedding-\d+\b",
+    r"(?i)\bgemini-[\d.]+-flash\b",
+    r"(?i)\bMcKee et al\.?,? \d{4}\b",
+    r"(?m)^\s*\d{1,2}[.)]\s",
+    r"(?i)\bERSST[ .]?v?\d*\b",
+    r"(?i)\bHadISST[\d.]*\b",
+    r"\b\d{4}-\d{1,2}(?:-\d{1,2})?\b",
+)
+YEARS = (1900, 2100)
 TOLERANCE = 5e-5
-#: Removed before numbers are read, as they name things and state no value.
-STRUCTURAL = (r"(?i)\bt\s*\+\s*\d+", r"(?i)\bSPI-?\d+", r"(?m)^\s*\d+[.)]\s+", r"\b\d{4}-\d{2}(?:-\d{2})?\b", r"\(\d{4}\)")
+
+CELL = 1e-4
+#: Rounding to more decimals than these is finer than the tolerance.
+DECIMALS = 4
+#: Places of a source at which a number may be read: whole groups of digits, not after a digit or a point.
+_WRITTEN = [rf"(?<![\d.])([-+]?\d+(?:,\d{{3}}){{{k}}}{fraction})(?!\d)" for k in range(4) for fraction in ("", r"\.\d+")]
 
 
 def stripped(text: Column) -> Column:
@@ -21,48 +40,109 @@ def stripped(text: Column) -> Column:
     return text
 
 
+def _value(token: Column) -> Column:
+    return F.regexp_replace(token, "[,%+]", "").try_cast("double")
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
+
+
 def numbers(rows: DataFrame, key: str, text: str, strip: bool) -> DataFrame:
-    """``key, place, token, value, decimals, is_percent`` of each number; whole numbers from 1900 to 2100 are years and left out."""
-    found = rows.select(key, F.posexplode(F.regexp_extract_all(stripped(F.col(text)) if strip else F.col(text), F.lit(NUMBER), F.lit(0))).alias("place", "token"))
-    bare = F.regexp_replace("token", "[,%+]", "")
-    out = found.withColumn("is_percent", F.endswith("token", F.lit("%"))).withColumn("value", bare.try_cast("double")).withColumn("decimals", F.length(F.regexp_extract("token", r"\.(\d+)", 1)))
-    year = (F.col("decimals") == 0) & ~F.col("is_percent") & F.col("value").between(1900, 2100)
+    """``key, place, token, value, decimals, is_percent`` of each number; of claims (``strip``) years are left out."""
+    found = rows.select(key, F.posexplode(_tokens(stripped(F.col(text)) if strip else F.col(text))).alias("place", "token"))
+    out = found.withColumns({"is_percent": F.endswith("token", F.lit("%")), "value": _value(F.col("token")), "decimals": F.length(F.regexp_extract("token", r"\.(\d+)", 1))})
+    year = (F.col("decimals") == 0) & ~F.col("is_percent") & F.abs("value").between(*YEARS) if strip else F.lit(False)
     return out.where(F.col("value").isNotNull() & ~year)
 
 
-def _values(n: DataFrame, key: str) -> DataFrame:
-    """Values that a number stands for: itself, and a hundredth of a percentage, with the decimals that it then has."""
-    v = F.array(F.struct(F.col("value").alias("v"), F.col("decimals").alias("d")))
-    both = F.when(F.col("is_percent"), F.concat(v, F.array(F.struct((F.col("value") / 100).alias("v"), F.col("decimals").alias("d"))))).otherwise(v)
-    return n.withColumn("x", F.explode(both)).withColumns({"v": F.col("x.v"), "d": F.col("x.d")}).drop("x")
-
-
-def unmatched(claims: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:
-    """Numbers of ``claims`` that no source of their report has: verbatim, at the claim's decimals, or within the tolerance."""
-    c = numbers(claims, key, text, True)
-    s = numbers(sources, key, text, False)
-    decimals = c.select(key, "decimals").distinct()
-    given = _values(s, key).select(key, "v").distinct()
-    rounded = given.join(decimals, key).select(key, F.col("decimals").alias("d"), F.expr("round(v * pow(10, decimals))").alias("r")).distinct()
-    want = _values(c, key)
-    a = want.withColumn("r", F.expr("round(v * pow(10, d))")).join(rounded, [key, "d", "r"], "left_semi").select(key, "place")
-    cell = F.round(F.col("v") * 1e4)
-    near = given.select(key, F.col("v").alias("w"), F.explode(F.array(cell - 1.0, cell, cell + 1.0)).alias("cell"))
-    b = want.withColumn("cell", cell).join(near, [key, "cell"]).where(F.abs(F.col("v") - F.col("w")) <= TOLERANCE).select(key, "place")
-    token = s.select(key, F.regexp_replace("token", "^[+]", "").alias("token")).distinct()
-    v = c.withColumn("token", F.regexp_replace("token", "^[+]", "")).join(token, [key, "token"], "left_semi").select(key, "place")
-    return c.join(a.unionByName(b).unionByName(v).distinct(), [key, "place"], "left_anti")
-
-
-def check(claims: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:
-    """Per report: numbers checked, unverified tokens in order, source numbers, and its status; an empty one is never grounded."""
-    total = numbers(claims, key, text, True).groupBy(key).agg(F.count(F.lit(1)).alias("n_checked"))
-    bad = unmatched(claims, sources, key, text).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda x: x["token"]), " ").alias("unverified"), F.count(F.lit(1)).alias("n_unverified"))
-    given = numbers(sources, key, text, False).groupBy(key).agg(F.count_distinct("value").alias("n_source_numbers"))
-    out = claims.select(key, F.trim(F.coalesce(text, F.lit(""))).alias("body")).join(total, key, "left").join(bad, key, "left").join(given, key, "left")
+def _key(kind: str, number: Column) -> Column:
+    return F.concat(F.lit(f"{kind}:"), (number + F.lit(0.0)).cast("string"))  # adding 0 makes one zero of both
+
+
+def _cell(value: Column) -> Column:
+    return F.round(value / CELL)
+
+
+def _source_keys(text: Column) -> Column:
+    """Array of ``key, v`` of all numbers of a source: v is the value for keys of cells, else null."""
+    written = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in _WRITTEN))))
+    unsigned = F.transform(written, lambda t: F.regexp_replace(t, "^[-+]", ""))
+    none = F.lit(None).cast("double")
+    verbatim = F.transform(F.array_union(written, unsigned), lambda t: F.struct(F.concat(F.lit("v:"), t).alias("key"), none.alias("v")))
+    values = F.flatten(F.transform(_tokens(text), lambda t: F.when(F.endswith(t, F.lit("%")), F.array(_value(t), _value(t) / 100)).otherwise(F.array(_value(t)))))
+    values = F.array_distinct(F.filter(values, lambda v: v.isNotNull()))
+    each = lambda v: F.array(*(F.struct(_key(f"r{d}", F.bround(v, d)).alias("key"), none.alias("v")) for d in range(DECIMALS + 1)), *(F.struct(_key("t", _cell(v) + k).alias("key"), v.alias("v")) for k in (-1.0, 0.0, 1.0)))
+    return F.concat(verbatim, F.flatten(F.transform(values, each)))
+
+
+def _claim_keys() -> Column:
+    """Array of ``key, v`` under which a number of a claim may meet a source."""
+    none = F.lit(None).cast("double")
+    verbatim = F.struct(F.concat(F.lit("v:"), F.rtrim(F.col("token"), F.lit("%"))).alias("key"), none.alias("v"))
+    rounded = lambda v: F.coalesce(*(F.when(F.col("decimals") == d, _key(f"r{d}", F.bround(v, d))) for d in range(DECIMALS + 1)))
+    both = lambda v: [F.struct(rounded(v).alias("key"), none.alias("v")), F.struct(_key("t", _cell(v)).alias("key"), v.alias("v"))]
+    plain, percent = F.array(verbatim, *both(F.col("value"))), F.array(*both(F.col("value") / 100))
+    return F.filter(F.when(F.col("is_percent"), F.concat(plain, percent)).otherwise(plain), lambda x: x["key"].isNotNull())
+
+
+def matched(claims: DataFrame, sources: DataFrame, key: str, text: str, group: str | None = None) -> DataFrame:
+    """``key, place, token, found`` of each number of the claims: whether a source has it.
+
+    It has it if it is written there, or has a value equal at the claim's decimals (ties to even) or within the
+    tolerance; a percentage also counts as its hundredth. Sources are those of the same ``key``. With ``group``, a column
+    of both, they are those of the same group and another ``key``.
+    """
+    given = sources.select(group or key, F.col(key).alias("origin"), F.explode(_source_keys(F.col(text))).alias("k"))
+    given = given.groupBy(group or key, F.col("k.key").alias("key_"), F.col("k.v").alias("w")).agg(F.min("origin").alias("lo"), F.max("origin").alias("hi"))
+    own = claims.select(key, *([group] if group else []), text)
+    found = numbers(own, key, text, True)
+    if group:
+        found = found.join(own.select(key, group), key)
+    want = found.select("*", F.explode(_claim_keys()).alias("k")).select(key, *([group] if group else []), "place", F.col("k.key").alias("key_"), F.col("k.v").alias("v"))
+    near = F.col("v").isNull() | (F.abs(F.col("v") - F.col("w")) <= TOLERANCE)
+    others = (F.col("lo") != F.col(key)) | (F.col("hi") != F.col(key)) if group else F.lit(True)
+    hits = want.join(given, [group or key, "key_"]).where(near & others).select(key, "place").distinct().withColumn("found", F.lit(True))
+    return found.join(hits, [key, "place"], "left").select(key, "place", "token", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def check(claims: DataFrame, sources: DataFrame, key: str, text: str, group: str | None = None) -> DataFrame:
+    """Per report: numbers checked, unverified tokens in order, and its status; an empty one is never grounded.
+
+    Without ``group`` also how many different values its sources have.
+    """
+    bad = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("found"), F.struct("place", "token")))), lambda x: x["token"]), " ")
+    total = matched(claims, sources, key, text, group).groupBy(key).agg(F.count(F.lit(1)).alias("n_checked"), F.count_if(~F.col("found")).alias("n_unverified"), bad.alias("unverified"))
+    out = claims.select(key, F.trim(F.coalesce(text, F.lit(""))).alias("body")).join(total, key, "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    status = F.when(F.col("body") == "", "not_generated").when(F.col("unverified").isNull(), "clean").otherwise("warning")
-    return out.select(key, n("n_checked"), n("n_unverified"), n("n_source_numbers"), F.coalesce("unverified", F.lit("")).alias("unverified"), status.alias("status"))
+    status = F.when(F.col("body") == "", "not_generated").when(F.coalesce("n_unverified", F.lit(0)) == 0, "clean").otherwise("warning")
+    columns = [key, n("n_checked"), n("n_unverified"), F.coalesce("unverified", F.lit("")).alias("unverified"), status.alias("status")]
+    if not group:
+        v = numbers(sources, key, text, False)
+        value = F.explode(F.when(F.col("is_percent"), F.array("value", F.col("value") / 100)).otherwise(F.array("value")))
+        given = v.select(key, value.alias("v")).groupBy(key).agg(F.count_distinct("v").alias("n_source_numbers"))
+        out, columns = out.join(given, key, "left"), [*columns, n("n_source_numbers")]
+    return out.select(*columns)
+
+
+def confusion(flagged: Column, fabricated: Column, grounded: Column) -> dict[str, Column]:
+    """Counts of a case from its sets of tokens; a token that was extracted but has no label is an error of the case."""
+    return {
+        "tp": F.size(F.array_intersect(flagged, fabricated)),
+        "fp": F.size(F.array_except(flagged, fabricated)),
+        "fn": F.size(F.array_except(fabricated, flagged)),
+        "tn": F.size(F.array_except(grounded, flagged)),
+    }
+
+
+def case_scores(cases: DataFrame, sources: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, tp, fp, fn, tn, unlabelled, passed`` of labelled reports (columns ``fabricated`` and ``grounded``, arrays of tokens)."""
+    tokens = matched(cases, sources, key, text).groupBy(key).agg(F.collect_set(F.when(~F.col("found"), F.col("token"))).alias("flagged"), F.collect_set("token").alias("extracted"))
+    none = F.array().cast("array<string>")
+    joined = cases.join(tokens, key, "left").withColumns({c: F.coalesce(c, none) for c in ("flagged", "extracted")})
+    counts = confusion(F.col("flagged"), F.array_distinct("fabricated"), F.array_distinct("grounded"))
+    out = joined.withColumns({**counts, "unlabelled": F.array_sort(F.array_except("extracted", F.array_union("fabricated", "grounded")))})
+    return out.select(key, "tp", "fp", "fn", "tn", "unlabelled", ((F.col("fp") == 0) & (F.col("fn") == 0)).alias("passed"))
 
 
 def ratios(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:

@@ -42,19 +42,30 @@ def monthly_counts(days: DataFrame) -> DataFrame:
     return days.groupBy("entity_id", F.trunc("day", "MM").alias("month")).agg(n("heat_day").alias("heat_days"), n("severe_day").alias("severe_days"), n("in_spell").alias("spell_days"), F.max("value").alias("max_value"), (n("in_spell") > 0).alias("had_spell"), F.avg("departure").alias("mean_departure"))
 
 
-def distribution(frame: DataFrame, value: str) -> DataFrame:
-    """Moments and quantiles of each entity beside those of a normal law, with two verdicts."""
+def distribution(parted: DataFrame, value: str) -> DataFrame:
+    """Whether a standardised series is normal: moments and quantiles of its train rows, by split and entity, with two verdicts.
+
+    ``approximately_normal`` is about the shape, ``approximately_standard_normal`` about place and scale too.
+    """
     p = [0.05, 0.25, 0.75, 0.95]
     z = [-1.6448536269514722, -0.6744897501960817, 0.6744897501960817, 1.6448536269514722]
-    a = frame.where(F.col(value).isNotNull()).groupBy("entity_id").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurtosis"), F.percentile(value, F.array(*map(F.lit, p))).alias("q"))
-    gap = F.array_max(F.array(*(F.abs((F.col("q")[i] - F.col("mean")) / F.nullif("std", F.lit(0.0)) - z[i]) for i in range(4))))
-    return a.withColumn("largest_gap", gap).withColumn("shape_ok", (F.abs("skew") < 0.5) & (F.abs("kurtosis") < 1.0)).withColumn("approximately_normal", F.col("shape_ok") & (F.col("largest_gap") < 0.25)).select("entity_id", "n", "mean", "std", "lo", "hi", "skew", "kurtosis", *(F.col("q")[i].alias(f"p{int(100 * x):02d}") for i, x in enumerate(p)), "largest_gap", "shape_ok", "approximately_normal")
-
-
-def zero_inflation(frame: DataFrame, value: str, months: tuple[int, ...] = (4, 5, 6)) -> DataFrame:
+    v = F.col(value)
+    a = parted.where((F.col("part") == "train") & v.isNotNull()).groupBy("split_id", "entity_id").agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurtosis"), F.percentile(v, F.array(*map(F.lit, p))).alias("q")
+    )
+    gap = F.array_max(F.array(*(F.abs(F.col("q")[i] - z[i]) for i in range(4))))
+    shape = (F.abs("skew") < 0.5) & (F.abs("kurtosis") < 1.0)
+    place = (F.abs("mean") < 0.25) & (F.col("std") > 0.75) & (F.col("std") < 1.33)
+    quantiles = [F.col("q")[i].alias(f"p{int(100 * x):02d}") for i, x in enumerate(p)]
+    return a.select("split_id", "entity_id", "n", "mean", "std", "lo", "hi", "skew", "kurtosis", *quantiles, gap.alias("largest_gap"), shape.alias("approximately_normal"), (shape & place).alias("approximately_standard_normal"))
+
+
+def zero_inflation(parted: DataFrame, value: str, months: tuple[int, ...] = (4, 5, 6)) -> DataFrame:
+    """Share of zeros and mean of train rows, over all months and a cut of them, by split and entity."""
     cut = F.month("month").isin(*months)
     zero = F.when(F.col(value) == 0, 1.0).otherwise(0.0)
-    return frame.groupBy("entity_id").agg(F.avg(zero).alias("zero_share"), F.avg(value).alias("mean"), F.avg(F.when(cut, zero)).alias("zero_share_cut"), F.avg(F.when(cut, F.col(value))).alias("mean_cut"), F.max(value).alias("most"))
+    rows = parted.where((F.col("part") == "train") & F.col(value).isNotNull())
+    return rows.groupBy("split_id", "entity_id").agg(F.count(value).alias("n"), F.avg(zero).alias("zero_share"), F.avg(value).alias("mean"), F.avg(F.when(cut, zero)).alias("zero_share_cut"), F.avg(F.when(cut, F.col(value))).alias("mean_cut"), F.max(value).alias("most"))
 
 
 def month_record(counts: DataFrame, requests: DataFrame) -> DataFrame:

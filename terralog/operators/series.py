@@ -54,7 +54,7 @@ def anomaly(frame: DataFrame, value: str, lo: int, hi: int) -> DataFrame:
 def with_parts(frame: DataFrame, splits: DataFrame) -> DataFrame:
     """Each row once for each split, with its part: train, val, test or null. ``splits`` is a table of a few rows."""
     part = F.when(in_years(F.col("train_lo"), F.col("train_hi")), "train").when(in_years(F.col("val_lo"), F.col("val_hi")), "val").when(in_years(F.col("test_lo"), F.col("test_hi")), "test")
-    return frame.crossJoin(F.broadcast(splits)).withColumn("part", part)
+    return frame.crossJoin(splits).withColumn("part", part)
 
 
 def month_stats(parted: DataFrame, value: str) -> DataFrame:
@@ -103,12 +103,12 @@ def complete_months(daily: DataFrame) -> DataFrame:
 def attach_index(frame: DataFrame, index: DataFrame) -> DataFrame:
     """Adds the index of the month and of the calendar month before. ``index``: one row a month, so at most some thousands."""
     now, before = index.withColumnRenamed("value", "index_value"), index.select(F.add_months("month", 1).alias("month"), F.col("value").alias("index_lag1"))
-    return frame.join(F.broadcast(now), "month", "left").join(F.broadcast(before), "month", "left")
+    return frame.join(now, "month", "left").join(before, "month", "left")
 
 
 def currency(frame: DataFrame, index: DataFrame, today: str) -> DataFrame:
     """Per entity: last month of the series and of the index, the earlier of both, and how many months it lies behind."""
-    ends = frame.groupBy("entity_id").agg(F.max("month").alias("series_end")).crossJoin(F.broadcast(index.agg(F.max("month").alias("index_end"))))
+    ends = frame.groupBy("entity_id").agg(F.max("month").alias("series_end")).crossJoin((index.agg(F.max("month").alias("index_end"))))
     anchor = F.least("series_end", "index_end")
     t = F.to_date(F.lit(today))
     behind = (F.year(t) - F.year("anchor")) * 12 + F.month(t) - F.month("anchor")

@@ -43,8 +43,8 @@ def monthly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parts_monthly(spark: SparkSession, sf: str) -> DataFrame:
-    """Monthly sums of each brand's lines of parts of size 3 at most (some 6 % of all lines); months without lines are 0."""
-    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).where("p_size <= 3")
+    """Monthly sums of all lines by part brand; months without lines are 0."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     m = series.resample(rows.select(F.col("p_brand").alias("entity_id"), "l_shipdate", "l_extendedprice"), "l_shipdate", "l_extendedprice")
     return series.densify(m.select("entity_id", "month", F.round("value_sum", 2).alias("value"))).withColumn("value", F.coalesce("value", F.lit(0.0)))
 
@@ -82,10 +82,10 @@ M = """
     m AS (SELECT entity_id, month, value FROM grid LEFT JOIN raw USING (entity_id, month))"""
 B = """
     raw AS (SELECT p_brand AS entity_id, date_trunc('month', l_shipdate)::DATE AS month, round(sum(l_extendedprice), 2) AS value
-            FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 3 GROUP BY 1, 2),
+            FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
     grid AS (SELECT entity_id, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM raw GROUP BY 1),
     m AS (SELECT entity_id, month, coalesce(value, 0.0) AS value FROM grid LEFT JOIN raw USING (entity_id, month))"""
-BS = B.replace("p_brand AS entity_id", "concat_ws(' ', p_brand, p_size) AS entity_id").replace(" WHERE p_size <= 3", "")
+BS = B.replace("p_brand AS entity_id", "concat_ws(' ', p_brand, p_size) AS entity_id")
 C = """
     raw AS (SELECT o_custkey AS entity_id, date_trunc('month', o_orderdate)::DATE AS month, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2),
     grid AS (SELECT entity_id, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM raw GROUP BY 1),
@@ -117,18 +117,25 @@ def series_lags_and_trailing(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(m.withColumn("roll3_mean", series.trailing("value", 3, F.avg)).withColumn("roll12_sum", series.trailing("value", 12, F.sum)))
 
 
-GAPS = "g AS (SELECT entity_id, month, CASE WHEN (year(month) * 12 + month(month)) % 7 >= 3 OR year(month) = 1996 AND month(month) BETWEEN 3 AND 4 THEN value END AS value FROM m)"
+def priorities_monthly(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly sums of all orders by nation, market segment and priority; months without orders are null."""
+    rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    m = series.resample(rows.select(F.concat_ws(" ", "c_nationkey", "c_mktsegment", "o_orderpriority").alias("entity_id"), "o_orderdate", "o_totalprice"), "o_orderdate", "o_totalprice")
+    return series.densify(m.select("entity_id", "month", F.round("value_sum", 2).alias("value")))
+
+
+O = C.replace("o_custkey AS entity_id", "concat_ws(' ', c_nationkey, c_mktsegment, o_orderpriority) AS entity_id").replace("FROM orders GROUP BY 1, 2)", "FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)")  # noqa: E741
+GAPS = "g AS (SELECT * FROM m)"
 
 
-@query(f"""WITH {M}, {GAPS}, k AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN month END) {W}) AS m0, min(CASE WHEN value IS NOT NULL THEN month END) {W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m1 FROM g)
+@query(f"""WITH {O}, {GAPS}, k AS (SELECT *, max(CASE WHEN value IS NOT NULL THEN month END) {W}) AS m0, min(CASE WHEN value IS NOT NULL THEN month END) {W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m1 FROM g)
     SELECT k.entity_id, k.month, k.value, round(coalesce(k.value, CASE WHEN datediff('month', m0, k.month) <= 2 THEN a.value + (b.value - a.value) * datediff('day', m0, k.month) / datediff('day', m0, m1) END), 4) AS filled
     FROM k LEFT JOIN g a ON a.entity_id = k.entity_id AND a.month = m0 LEFT JOIN g b ON b.entity_id = k.entity_id AND b.month = m1""")
 def series_interpolated(spark: SparkSession, sf: str) -> DataFrame:
-    keep = ((F.year("month") * 12 + F.month("month")) % 7 >= 3) | ((F.year("month") == 1996) & F.month("month").between(3, 4))
-    return rounded(series.interpolated(monthly(spark, sf).withColumn("value", F.when(keep, F.col("value"))), "value"))
+    return rounded(series.interpolated(priorities_monthly(spark, sf), "value"))
 
 
-@query(SQL["series_interpolated"].replace(M, C).replace(GAPS, "g AS (SELECT * FROM m)"))
+@query(SQL["series_interpolated"].replace(O, C))
 def series_interpolated_whole(spark: SparkSession, sf: str) -> DataFrame:
     """All orders, by customer, with the gaps that these series have."""
     return rounded(series.interpolated(customers_monthly(spark, sf), "value"))
@@ -219,25 +226,27 @@ def heat_monthly_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(heat.monthly_counts(hot_days(spark, sf)), 8)
 
 
-@query(f"""WITH {M}, a AS (SELECT entity_id, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS lo, max(value) AS hi,
-        (avg(value ** 3) - 3 * avg(value) * avg(value ** 2) + 2 * avg(value) ** 3) / var_pop(value) ** 1.5 AS skew, kurtosis_pop(value) AS kurtosis,
-        quantile_cont(value, [0.05, 0.25, 0.75, 0.95]) AS q FROM m WHERE value IS NOT NULL GROUP BY 1),
-    g AS (SELECT *, greatest(abs((q[1] - mean) / std + 1.6448536269514722), abs((q[2] - mean) / std + 0.6744897501960817), abs((q[3] - mean) / std - 0.6744897501960817), abs((q[4] - mean) / std - 1.6448536269514722)) AS gap FROM a)
-    SELECT entity_id, n, round(mean, 3) AS mean, round(std, 3) AS std, lo, hi, round(skew, 3) AS skew, round(kurtosis, 3) AS kurtosis, round(q[1], 3) AS p05, round(q[2], 3) AS p25, round(q[3], 3) AS p75, round(q[4], 3) AS p95,
-           round(gap, 3) AS largest_gap, abs(skew) < 0.5 AND abs(kurtosis) < 1 AS shape_ok, abs(skew) < 0.5 AND abs(kurtosis) < 1 AND gap < 0.25 AS approximately_normal FROM g""")
+@query(f"""WITH {M}, {P}, s AS (SELECT split_id, entity_id, month(month) AS k, avg(value) AS mean, stddev_samp(value) AS std FROM p WHERE part = 'train' GROUP BY 1, 2, 3),
+    t AS (SELECT p.split_id, p.entity_id, (value - mean) / nullif(std, 0) AS z FROM p JOIN s ON s.split_id = p.split_id AND s.entity_id = p.entity_id AND k = month(month) WHERE part = 'train'),
+    a AS (SELECT split_id, entity_id, count(z) AS n, avg(z) AS mean, stddev_samp(z) AS std, min(z) AS lo, max(z) AS hi, (avg(z ** 3) - 3 * avg(z) * avg(z ** 2) + 2 * avg(z) ** 3) / var_pop(z) ** 1.5 AS skew, kurtosis_pop(z) AS kurtosis,
+          quantile_cont(z, [0.05, 0.25, 0.75, 0.95]) AS q FROM t WHERE z IS NOT NULL GROUP BY 1, 2),
+    g AS (SELECT *, greatest(abs(q[1] + 1.6448536269514722), abs(q[2] + 0.6744897501960817), abs(q[3] - 0.6744897501960817), abs(q[4] - 1.6448536269514722)) AS gap FROM a)
+    SELECT split_id, entity_id, n, round(mean, 3) + 0 AS mean, round(std, 3) AS std, round(lo, 3) AS lo, round(hi, 3) AS hi, round(skew, 3) + 0 AS skew, round(kurtosis, 3) AS kurtosis, round(q[1], 3) AS p05, round(q[2], 3) AS p25, round(q[3], 3) AS p75, round(q[4], 3) AS p95,
+           round(gap, 3) AS largest_gap, abs(skew) < 0.5 AND abs(kurtosis) < 1 AS approximately_normal, abs(skew) < 0.5 AND abs(kurtosis) < 1 AND abs(mean) < 0.25 AND std > 0.75 AND std < 1.33 AS approximately_standard_normal FROM g""")
 def heat_distribution_check(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(heat.distribution(monthly(spark, sf), "value"), 3)
+    d = rounded(heat.distribution(series.standardised(parted(monthly(spark, sf)), "value"), "z"), 3)
+    return d.withColumns({c: F.col(c) + 0.0 for c in ("mean", "skew")})
 
 
-@query(f"""WITH {B} SELECT entity_id, round(avg((value = 0)::INT), 4) AS zero_share, round(avg(value), 4) AS mean, round(avg((value = 0)::INT) FILTER (month(month) IN (4, 5, 6)), 4) AS zero_share_cut,
-    round(avg(value) FILTER (month(month) IN (4, 5, 6)), 4) AS mean_cut, max(value) AS most FROM m GROUP BY 1""")
+@query(f"""WITH {B}, {P} SELECT split_id, entity_id, count(value) AS n, round(avg((value = 0)::INT), 4) AS zero_share, round(avg(value), 4) AS mean, round(avg((value = 0)::INT) FILTER (month(month) IN (4, 5, 6)), 4) AS zero_share_cut,
+    round(avg(value) FILTER (month(month) IN (4, 5, 6)), 4) AS mean_cut, max(value) AS most FROM p WHERE part = 'train' GROUP BY 1, 2""")
 def heat_zero_inflation(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(heat.zero_inflation(parts_monthly(spark, sf), "value"))
+    return rounded(heat.zero_inflation(parted(parts_monthly(spark, sf)), "value"))
 
 
 @query(SQL["heat_zero_inflation"].replace(B, BS))
 def heat_zero_inflation_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(heat.zero_inflation(brand_sizes_monthly(spark, sf), "value"))
+    return rounded(heat.zero_inflation(parted(brand_sizes_monthly(spark, sf)), "value"))
 
 
 @query(f"""WITH {FLAGS}, c AS (SELECT entity_id, date_trunc('month', day)::DATE AS month, count_if(heat_day)::BIGINT AS heat_days, count_if(severe_day)::BIGINT AS severe_days, count_if(in_spell) > 0 AS had_spell, max(value) AS max_value FROM r GROUP BY 1, 2),
@@ -282,7 +291,7 @@ def backtest_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 def ridge_predictions(spark: SparkSession, sf: str, features: list[str]) -> DataFrame:
     frame = series.lags(series.season(series.attach_index(monthly(spark, sf), index(spark, sf))), "value", (12,))
-    p = series.scaled(parted(frame.withColumn("value_lag12", F.coalesce("value_lag12", "value"))), ["value", "index_value"])
+    p = series.scaled(parted(frame.na.drop(subset=["value_lag12"])), ["value", "index_value"])
     scaled_parts = p.withColumn("target", F.col("value_scaled"))
     return backtest.with_climatology(backtest.ridge(backtest.windows(scaled_parts, features, "target", 12, 3)), scaled_parts, "target")
 
@@ -309,7 +318,7 @@ T = f"""{M}, {P}, t0 AS (SELECT split_id, entity_id, value AS persistence, month
           FROM t0 a, (VALUES (1), (2), (3)) AS hs(h), p b WHERE b.split_id = a.split_id AND b.entity_id = a.entity_id AND b.month = a.month + to_months(h) AND pred IS NOT NULL AND b.value IS NOT NULL AND b.part IS NOT NULL),
     c AS (SELECT split_id, entity_id, month(month) AS k, avg(value) AS climatology FROM p WHERE part = 'train' GROUP BY 1, 2, 3),
     u AS (SELECT t.*, climatology FROM t LEFT JOIN c ON c.split_id = t.split_id AND c.entity_id = t.entity_id AND c.k = month(target_month)),
-    s AS (SELECT part, split_id, entity_id, lookback, horizon, count(*) AS n, sqrt(avg((y - pred) ** 2)) AS rmse, avg(abs(y - pred)) AS mae, sqrt(avg((y - climatology) ** 2)) AS rmse_climatology, sqrt(avg((y - persistence) ** 2)) AS rmse_persistence
+    s AS (SELECT part, split_id, entity_id, lookback, horizon, count(*) AS n, sqrt(avg((y - pred) ** 2)) AS rmse, avg(abs(y - pred)) AS mae, sqrt(avg((y - climatology) ** 2)) AS rmse_climatology, sqrt(avg((y - persistence) ** 2)) AS rmse_persistence, 1 - sum((y - pred) ** 2) / nullif(var_pop(y) * count(y), 0) AS r2
           FROM u GROUP BY GROUPING SETS ((part, split_id, entity_id, lookback, horizon), (part, split_id, entity_id, lookback))),
     sc AS (SELECT *, round(1 - rmse / nullif(rmse_climatology, 0), 4) + 0 AS skill, round(1 - rmse / nullif(rmse_persistence, 0), 4) + 0 AS skill_persistence FROM s)"""
 
@@ -319,9 +328,9 @@ def trailing_scores(spark: SparkSession, sf: str) -> DataFrame:
     return backtest.scores(backtest.with_climatology(backtest.trailing_mean_forecasts(p, "value", LOOKBACKS, 3), p, "value"), ["part", "split_id", "entity_id", "lookback"])
 
 
-@query(f"WITH {T} SELECT part, split_id, entity_id, lookback, horizon, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(rmse_climatology, 4) AS rmse_climatology, round(rmse_persistence, 4) AS rmse_persistence, skill, skill_persistence FROM sc")
+@query(f"WITH {T} SELECT part, split_id, entity_id, lookback, horizon, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(rmse_climatology, 4) AS rmse_climatology, round(rmse_persistence, 4) AS rmse_persistence, round(r2, 4) AS r2, skill, skill_persistence, CASE WHEN skill >= 0.1 THEN 'validated' WHEN skill > 0 THEN 'weak/directional' ELSE 'no skill' END AS label FROM sc")
 def backtest_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(trailing_scores(spark, sf).drop("r2"))
+    return rounded(trailing_scores(spark, sf)).withColumn("label", backtest.label(F.col("skill")))
 
 
 BEST = f"""{T}, v AS (SELECT entity_id, horizon, lookback, round(avg(skill), 6) AS mean_skill FROM sc WHERE part = 'val' AND horizon IS NOT NULL GROUP BY 1, 2, 3),

@@ -31,46 +31,90 @@ def reports(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 NUM = r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?%?"
-N = rf"""
-    strip AS (SELECT doc_id AS report_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\bt\s*\+\s*\d+', ' ', 'gi'), '\bSPI-?\d+', ' ', 'gi'), '(?m)^\s*\d+[.)]\s+', ' ', 'g'), '\b\d{{4}}-\d{{2}}(?:-\d{{2}})?\b', ' ', 'g'), '\(\d{{4}}\)', ' ', 'g') AS text, text AS raw FROM documents),
-    c0 AS (SELECT report_id, unnest(list_zip(range(len(x)), x)) AS z FROM (SELECT report_id, regexp_extract_all(text, '{NUM}') AS x FROM strip)),
-    c1 AS (SELECT report_id, z[1]::INT AS place, z[2] AS token FROM c0),
-    c2 AS (SELECT *, try_cast(regexp_replace(token, '[,%+]', '', 'g') AS DOUBLE) AS value, length(regexp_extract(token, '\.(\d+)', 1)) AS decimals, ends_with(token, '%') AS is_percent FROM c1),
-    c AS (SELECT * FROM c2 WHERE value IS NOT NULL AND NOT (decimals = 0 AND NOT is_percent AND value BETWEEN 1900 AND 2100)),
-    s0 AS (SELECT report_id - 1 AS report_id, unnest(regexp_extract_all(raw, '{NUM}')) AS token FROM strip),
-    s1 AS (SELECT *, try_cast(regexp_replace(token, '[,%+]', '', 'g') AS DOUBLE) AS value, length(regexp_extract(token, '\.(\d+)', 1)) AS decimals, ends_with(token, '%') AS is_percent FROM s0),
-    s AS (SELECT * FROM s1 WHERE value IS NOT NULL AND NOT (decimals = 0 AND NOT is_percent AND value BETWEEN 1900 AND 2100))"""
-
-
-@query(f"WITH {N} SELECT report_id, place, token, value, decimals::INT AS decimals, is_percent FROM c")
+
+
+def strip_sql(text: str) -> str:
+    """The text without what names things and states no value."""
+    patterns = [
+        (r"\bt\s*\+\s*\d\b", "gi"), (r"\bSPI-?3\b", "gi"), (r"\bgemini-embedding-\d+\b", "gi"), (r"\bgemini-[\d.]+-flash\b", "gi"), (r"\bMcKee et al\.?,? \d{4}\b", "gi"),
+        (r"(?m)^\s*\d{1,2}[.)]\s", "g"), (r"\bERSST[ .]?v?\d*\b", "gi"), (r"\bHadISST[\d.]*\b", "gi"), (r"\b\d{4}-\d{1,2}(?:-\d{1,2})?\b", "g"),
+    ]
+    for p, flags in patterns:
+        text = f"regexp_replace({text}, '{p}', ' ', '{flags}')"
+    return text
+
+
+PARSED = r"""try_cast(regexp_replace(token, '[,%+]', '', 'g') AS DOUBLE) AS value, length(regexp_extract(token, '\.(\d+)', 1))::INT AS decimals, ends_with(token, '%') AS is_percent"""
+
+
+def claims_sql(name: str, rows: str, text: str) -> str:
+    """Table ``name`` of the numbers of ``text`` of the table ``rows``, without years, by ``report_id`` and ``place``."""
+    return rf"""{name}_0 AS (SELECT report_id, unnest(list_zip(range(len(x)), x)) AS z FROM (SELECT report_id, regexp_extract_all({strip_sql(text)}, '{NUM}') AS x FROM {rows})),
+    {name}_1 AS (SELECT report_id, z[1]::INT AS place, z[2] AS token FROM {name}_0), {name}_2 AS (SELECT *, {PARSED} FROM {name}_1),
+    {name} AS (SELECT * FROM {name}_2 WHERE value IS NOT NULL AND NOT (decimals = 0 AND NOT is_percent AND abs(value) BETWEEN 1900 AND 2100))"""
+
+
+def hits_sql(claims: str, sources: str, on: str) -> str:
+    """Table ``hit`` of the numbers that a source (``raw``) has: as written, at the claim's decimals, or within the tolerance.
+
+    ``on`` joins claims ``c`` and sources ``s``.
+    """
+    return rf"""src AS (SELECT * FROM {sources} WHERE regexp_matches(raw, '\d')),
+    sv_0 AS (SELECT * EXCLUDE raw, unnest(regexp_extract_all(raw, '{NUM}')) AS token FROM src), sv_1 AS (SELECT * EXCLUDE token, {PARSED} FROM sv_0),
+    sv AS (SELECT * EXCLUDE (value, decimals, is_percent), value AS v FROM sv_1 UNION SELECT * EXCLUDE (value, decimals, is_percent), value / 100 FROM sv_1 WHERE is_percent),
+    cv AS (SELECT *, value AS v FROM {claims} UNION ALL SELECT *, value / 100 FROM {claims} WHERE is_percent),
+    hit AS (SELECT DISTINCT c.report_id, c.place FROM {claims} c JOIN src s ON {on} WHERE regexp_matches(s.raw, '(^|[^0-9.])' || regexp_escape(rtrim(c.token, '%')) || '($|[^0-9])')
+            UNION SELECT c.report_id, c.place FROM cv c JOIN sv s ON {on} WHERE round_even(c.v, c.decimals) = round_even(s.v, c.decimals) OR abs(c.v - s.v) <= 5e-5)"""
+
+
+SUMMED = """bad AS (SELECT report_id, string_agg(token, ' ' ORDER BY place) AS unverified, count(*) AS n_unverified FROM c ANTI JOIN hit USING (report_id, place) GROUP BY 1),
+    n AS (SELECT report_id, count(*) AS n_checked FROM c GROUP BY 1)"""
+STATUS = "coalesce(n_checked, 0) AS n_checked, coalesce(n_unverified, 0) AS n_unverified, coalesce(unverified, '') AS unverified, CASE WHEN trim(coalesce(raw, '')) = '' THEN 'not_generated' WHEN unverified IS NULL THEN 'clean' ELSE 'warning' END AS status"
+DOCS = "docs AS (SELECT doc_id AS report_id, source, text AS raw FROM documents)"
+
+
+@query(f"WITH {DOCS}, {claims_sql('c', 'docs', 'raw')} SELECT report_id, place, token, value, decimals, is_percent FROM c")
 def grounding_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return grounding.numbers(reports(spark, sf)[0], "report_id", "text", True).select("report_id", "place", "token", "value", "decimals", "is_percent")
 
 
-@query(f"""WITH {N}, sv AS (SELECT report_id, value AS v FROM s UNION SELECT report_id, value / 100 FROM s WHERE is_percent),
-    cv AS (SELECT report_id, place, value AS v, decimals FROM c UNION ALL SELECT report_id, place, value / 100, decimals FROM c WHERE is_percent),
-    hit AS (SELECT DISTINCT cv.report_id, place FROM cv JOIN sv USING (report_id) WHERE round(cv.v * pow(10, decimals)) = round(sv.v * pow(10, decimals)) OR abs(cv.v - sv.v) <= 5e-5
-            UNION SELECT c.report_id, c.place FROM c JOIN s ON s.report_id = c.report_id AND ltrim(s.token, '+') = ltrim(c.token, '+')),
-    bad AS (SELECT report_id, string_agg(token, ' ' ORDER BY place) AS unverified, count(*) AS n_unverified FROM c ANTI JOIN hit USING (report_id, place) GROUP BY 1),
-    n AS (SELECT report_id, count(*) AS n_checked FROM c GROUP BY 1), g AS (SELECT report_id, count(DISTINCT value) AS n_source_numbers FROM s GROUP BY 1)
-    SELECT report_id, coalesce(n_checked, 0) AS n_checked, coalesce(n_unverified, 0) AS n_unverified, coalesce(n_source_numbers, 0) AS n_source_numbers, coalesce(unverified, '') AS unverified,
-           CASE WHEN trim(raw) = '' THEN 'not_generated' WHEN unverified IS NULL THEN 'clean' ELSE 'warning' END AS status
-    FROM strip LEFT JOIN n USING (report_id) LEFT JOIN bad USING (report_id) LEFT JOIN g USING (report_id)""")
+@query(f"""WITH {DOCS}, nxt AS (SELECT report_id - 1 AS report_id, raw FROM docs), {claims_sql('c', 'docs', 'raw')}, {hits_sql('c', 'nxt', 'c.report_id = s.report_id')}, {SUMMED},
+    g AS (SELECT report_id, count(DISTINCT v) AS n_source_numbers FROM sv GROUP BY 1)
+    SELECT report_id, {STATUS}, coalesce(n_source_numbers, 0) AS n_source_numbers FROM docs LEFT JOIN n USING (report_id) LEFT JOIN bad USING (report_id) LEFT JOIN g USING (report_id)""")
 def grounding_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document against the document of the next id, its only source."""
     claims, sources = reports(spark, sf)
     return grounding.check(claims, sources, "report_id", "text")
 
 
-@query("""WITH c AS (SELECT lang, count(*) FILTER (l.quality = 1 AND length(text) >= 500) AS tp, count(*) FILTER (l.quality = 0 AND length(text) >= 500) AS fp, count(*) FILTER (l.quality = 1 AND length(text) < 500) AS fn FROM documents d JOIN labels l USING (doc_id) GROUP BY 1),
-    p AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0::DOUBLE ELSE tp / (tp + fn) END AS r FROM c)
-    SELECT lang, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 4) AS f1 FROM p""")
+@query(f"""WITH {DOCS}, {claims_sql('c0', 'docs', 'raw')}, c AS (SELECT c0.*, source FROM c0 JOIN docs USING (report_id)), {hits_sql('c', 'docs', 's.source = c.source AND s.report_id <> c.report_id')}, {SUMMED}
+    SELECT report_id, {STATUS} FROM docs LEFT JOIN n USING (report_id) LEFT JOIN bad USING (report_id)""")
+def grounding_source_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document against all other documents of its source."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("report_id"), "source", "text")
+    return grounding.check(d, d, "report_id", "text", "source")
+
+
+@query(rf"""WITH {DOCS}, t AS (SELECT report_id, list_distinct(regexp_extract_all(raw, '{NUM}')) AS grounded FROM docs),
+    l AS (SELECT report_id, grounded, list_distinct(list_transform(grounded, lambda x: replace(rtrim(x, '%'), ',', '') || '7')) AS fabricated FROM t WHERE len(grounded) > 0),
+    r AS (SELECT report_id, array_to_string(list_concat(grounded, fabricated), ' ') AS body FROM l), {claims_sql('c', 'r', 'body')}, {hits_sql('c', 'docs', 'c.report_id = s.report_id')},
+    f AS (SELECT report_id, list_distinct(list(token)) AS flagged FROM c ANTI JOIN hit USING (report_id, place) GROUP BY 1),
+    k AS (SELECT l.*, coalesce(flagged, []) AS flagged FROM l LEFT JOIN f USING (report_id)),
+    n AS (SELECT lang, sum(len(list_intersect(flagged, fabricated)))::BIGINT AS tp, sum(len(list_filter(flagged, lambda x: NOT list_contains(fabricated, x))))::BIGINT AS fp, sum(len(list_filter(fabricated, lambda x: NOT list_contains(flagged, x))))::BIGINT AS fn,
+          sum(len(list_filter(grounded, lambda x: NOT list_contains(flagged, x))))::BIGINT AS tn FROM k JOIN documents ON doc_id = report_id GROUP BY 1),
+    p AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 1.0::DOUBLE ELSE tp / (tp + fn) END AS r FROM n)
+    SELECT lang, tp, fp, fn, tn, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 4) AS f1 FROM p""")
 def grounding_checker_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of a yes/no check against labels: here whether a length gate finds good documents."""
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").withColumn("said", F.length("text") >= 500)
-    n = lambda y, s, a: F.count_if((F.col("quality") == y) & (F.col("said") == s)).alias(a)
-    c = d.groupBy("lang").agg(n(1, True, "tp"), n(0, True, "fp"), n(1, False, "fn"))
-    p, r, f1 = grounding.ratios(F.col("tp").cast("double"), F.col("fp").cast("double"), F.col("fn").cast("double"))
-    return rounded(c.select("lang", "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1.alias("f1")))
+    """The checker's scores, by language, on reports of a document's numbers and as many fabricated ones (a digit longer)."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("report_id"), "lang", "text")
+    found = F.array_distinct(F.regexp_extract_all("text", F.lit(grounding.NUMBER), F.lit(0)))
+    longer = F.array_distinct(F.transform("grounded", lambda x: F.concat(F.replace(F.rtrim(x, F.lit("%")), F.lit(","), F.lit("")), F.lit("7"))))
+    cases = d.withColumn("grounded", found).where(F.size("grounded") > 0).withColumn("fabricated", longer)
+    cases = cases.select("report_id", "lang", "grounded", "fabricated", F.array_join(F.concat("grounded", "fabricated"), " ").alias("text"))
+    each = grounding.case_scores(cases, d.select("report_id", "text"), "report_id", "text").join(d.select("report_id", "lang"), "report_id")
+    c = each.groupBy("lang").agg(*(F.sum(x).alias(x) for x in ("tp", "fp", "fn", "tn")))
+    p, r, f1 = grounding.ratios(*(F.col(x).cast("double") for x in ("tp", "fp", "fn")))
+    return rounded(c.select("lang", "tp", "fp", "fn", "tn", p.alias("precision"), r.alias("recall"), f1.alias("f1")))
 
 
 HTML = r"""
@@ -151,7 +195,7 @@ def retrieval_pending(spark: SparkSession, sf: str) -> DataFrame:
 
 SIGNALS = climate.FLAGS + """, cnt AS (SELECT entity_id, date_trunc('month', day)::DATE AS month, count_if(heat_day) AS heat_days, count_if(severe_day) AS severe_days, round(avg(departure), 8) AS mean_departure FROM r GROUP BY 1, 2),
     hs0 AS (SELECT *, CASE WHEN heat_days >= 3 AND severe_days > 0 THEN 2 WHEN heat_days >= 3 THEN 1 ELSE 0 END AS a, CASE WHEN mean_departure >= 4 THEN 2 WHEN mean_departure >= 3 THEN 1 ELSE 0 END AS b FROM cnt),
-    hs AS (SELECT entity_id, month, (['none', 'moderate', 'severe'])[greatest(a, b) + 1] AS heat_severity, CASE WHEN b > a THEN 'departure' ELSE 'days' END AS heat_basis FROM hs0)"""
+    hs AS (SELECT entity_id, month, true AS heat_available, ([NULL, 'moderate', 'severe'])[greatest(a, b) + 1] AS heat_severity, CASE WHEN b > a THEN 'departure' WHEN a > 0 THEN 'days' END AS heat_basis FROM hs0)"""
 
 
 def heat_signals(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,36 +221,77 @@ def drought_forecasts(spark: SparkSession, sf: str) -> DataFrame:
     return z.select("entity_id", F.col("month").alias("horizon"), F.round((F.col("value") - F.col("mean")) / F.nullif("std", F.lit(0.0)), 6).alias("predicted"), lab.alias("label"), F.lit(None).cast("double").alias("skill"))
 
 
-DS = "ds AS (SELECT entity_id, month, CASE WHEN predicted < -1.5 THEN 'severe' WHEN predicted < -1 THEN 'moderate' ELSE 'none' END AS drought_severity, label = 'validated' AS decisive, label LIKE 'weak%' AS corroborating, CASE WHEN label LIKE 'no skill%' THEN 'forecast without skill' WHEN predicted IS NULL THEN 'no forecast' END AS drought_reason FROM z)"
+DS = """ds AS (SELECT entity_id, month, predicted IS NOT NULL AS drought_available, CASE WHEN predicted < -1.5 THEN 'severe' WHEN predicted < -1 THEN 'moderate' END AS drought_severity,
+    predicted IS NOT NULL AND label = 'validated' AS decisive, predicted IS NOT NULL AND label = 'weak/directional' AS corroborating, predicted IS NOT NULL AND label LIKE 'no skill%' AS no_skill, CASE WHEN predicted IS NULL THEN 'no forecast' END AS drought_reason FROM z)"""
 
 
-@query(f"WITH {Z}, {DS} SELECT entity_id, month AS horizon, drought_severity, decisive, corroborating, drought_reason FROM ds")
+@query(f"WITH {Z}, {DS} SELECT entity_id, month AS horizon, drought_available, drought_severity, decisive, corroborating, no_skill, drought_reason FROM ds")
 def decision_drought_signal(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.drought_signal(drought_forecasts(spark, sf))
 
 
-@query(f"""WITH {SIGNALS}, {Z.replace("raw AS", "raw_m AS").replace("FROM raw ", "FROM raw_m ").replace("LEFT JOIN raw ", "LEFT JOIN raw_m ")}, {DS},
-    x AS (SELECT coalesce(ds.entity_id, hs.entity_id) AS entity_id, coalesce(ds.month, hs.month) AS month, drought_severity, decisive, heat_severity FROM ds FULL JOIN hs ON ds.entity_id = hs.entity_id AND ds.month = hs.month),
-    yy AS (SELECT *, month(month) IN (1, 2, 3, 6, 7) AS in_season, CASE WHEN coalesce(decisive, false) THEN CASE drought_severity WHEN 'severe' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END ELSE 0 END AS d, CASE heat_severity WHEN 'severe' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END AS h FROM x)
-    SELECT entity_id, month, CASE WHEN NOT in_season THEN 'none' WHEN drought_severity IS NULL AND heat_severity IS NULL THEN 'insufficient data' WHEN d > 0 AND d > h THEN 'drought' WHEN h > 0 THEN 'heat' ELSE 'none' END AS dominant,
-           CASE WHEN NOT in_season THEN 'outside the sensitive months' WHEN drought_severity IS NULL AND heat_severity IS NULL THEN 'no signal' WHEN d > 0 AND h > 0 THEN CASE WHEN d > h THEN 'both, drought is higher' WHEN d = h THEN 'both, equal' ELSE 'both, heat is higher' END
-                WHEN d > 0 THEN 'drought alone' WHEN h > 0 THEN 'heat alone' ELSE 'no decisive risk' END AS reason FROM yy""")
+RULES = """ranks AS (SELECT *, CASE WHEN coalesce(drought_available AND decisive, false) THEN CASE drought_severity WHEN 'severe' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END ELSE 0 END AS d, CASE WHEN coalesce(heat_available, false) THEN CASE heat_severity WHEN 'severe' THEN 2 WHEN 'moderate' THEN 1 ELSE 0 END ELSE 0 END AS h,
+        coalesce(drought_available AND NOT no_skill, false) OR coalesce(heat_available, false) AS usable FROM x),
+    dom AS (SELECT *, CASE WHEN NOT in_season THEN 'none dominant' WHEN NOT usable THEN 'insufficient data' WHEN d > h THEN 'drought' WHEN h > 0 THEN 'heat' ELSE 'none dominant' END AS dominant,
+        CASE WHEN NOT in_season THEN 'outside the sensitive months' WHEN NOT usable THEN CASE WHEN coalesce(no_skill, false) THEN 'the forecast has no skill, and heat was not observed' ELSE 'no forecast, and heat was not observed' END
+             WHEN d > 0 AND h > 0 THEN CASE WHEN d > h THEN 'both, drought is higher' WHEN d = h THEN 'both are equal, the observed one counts' ELSE 'both, heat is higher' END WHEN d > 0 THEN 'drought alone' WHEN h > 0 THEN 'heat alone' ELSE 'no risk reaches the threshold' END AS reason,
+        CASE WHEN NOT in_season THEN 'not applicable' WHEN NOT usable THEN 'insufficient data' WHEN d > h THEN 'validated' WHEN h > 0 THEN 'observed, not a forecast' ELSE 'no risk reaches the threshold' END AS confidence,
+        CASE WHEN NOT in_season OR NOT usable THEN NULL WHEN d > h THEN drought_severity WHEN h > 0 THEN heat_severity END AS severity FROM ranks)"""
+ZM = Z.replace("raw AS", "raw_m AS").replace("FROM raw ", "FROM raw_m ").replace("LEFT JOIN raw ", "LEFT JOIN raw_m ")
+
+
+@query(f"""WITH {SIGNALS}, {ZM}, {DS}, x AS (SELECT coalesce(ds.entity_id, hs.entity_id) AS entity_id, coalesce(ds.month, hs.month) AS month, drought_available, drought_severity, decisive, no_skill, heat_available, heat_severity,
+        month(coalesce(ds.month, hs.month)) IN (1, 2, 3, 6, 7) AS in_season FROM ds FULL JOIN hs ON ds.entity_id = hs.entity_id AND ds.month = hs.month), {RULES}
+    SELECT entity_id, month, dominant, severity, confidence, reason FROM dom""")
 def decision_dominant_risk(spark: SparkSession, sf: str) -> DataFrame:
     d = decisions.drought_signal(drought_forecasts(spark, sf)).withColumnRenamed("horizon", "month")
     both = d.join(heat_signals(spark, sf), ["entity_id", "month"], "full").withColumn("in_season", F.month("month").isin(1, 2, 3, 6, 7))
-    return decisions.dominant(both).select("entity_id", "month", "dominant", "reason")
-
-
-TABLE = "VALUES (1, 'BUILDING', 'F', '1-URGENT', 100000.0, 200000.0, -5.0), (2, 'BUILDING', 'F', '1-URGENT', NULL, NULL, -9.0), (3, 'MACHINERY', 'O', '2-HIGH', NULL, 150000.0, -2.5), (4, 'FURNITURE', 'P', '5-LOW', 50000.0, NULL, -1.0)"
+    return decisions.dominant(both).select("entity_id", "month", "dominant", "severity", "confidence", "reason")
+
+
+CROPS = "VALUES ('wheat', [1, 2, 3]), ('millet', [7, 8])"
+CROPS_SPARK = "VALUES ('wheat', array(1, 2, 3)), ('millet', array(7, 8))"
+
+
+def assessment_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Anchors half a year before each nation's last month, a given month for every third one, forecasts of the next
+    three months, and the crops of each nation: millet not where the key is even."""
+    z = drought_forecasts(spark, sf).withColumnRenamed("horizon", "month")
+    anchors = z.groupBy("entity_id").agg(F.add_months(F.max("month"), -6).alias("anchor"))
+    n = table(spark, sf, "nation").select(F.col("n_name").alias("entity_id"), "n_nationkey")
+    crops = spark.sql(f"SELECT * FROM ({CROPS_SPARK}) AS v(crop, sensitive_months)")
+    given = n.where("n_nationkey % 3 = 0").select("entity_id", F.lit("wheat").alias("crop"), F.lit("1999-02-01").cast("date").alias("month"))
+    targets = decisions.target_month(anchors, crops, given)
+    scope = n.crossJoin(crops.select("crop")).where("crop = 'wheat' or n_nationkey % 2 = 1").select("crop", "entity_id")
+    ahead = z.join(anchors, "entity_id").withColumn("horizon", ((F.year("month") - F.year("anchor")) * 12 + F.month("month") - F.month("anchor")).cast("int")).where(F.col("horizon").between(1, decisions.REACH))
+    return targets, scope, decisions.drought_signal(ahead.select("entity_id", "horizon", "predicted", "label")), crops
+
+
+@query(f"""WITH {SIGNALS}, {ZM}, {DS}, crops AS (SELECT * FROM ({CROPS}) AS v(crop, sm)), anc AS (SELECT entity_id, (max(month) - INTERVAL 6 MONTH)::DATE AS anchor FROM z GROUP BY 1),
+    giv AS (SELECT n_name AS entity_id, 'wheat' AS crop, DATE '1999-02-01' AS month FROM nation WHERE n_nationkey % 3 = 0),
+    o AS (SELECT anc.entity_id, crop, anchor, sm, (anchor + to_months(s))::DATE AS target, CASE WHEN s > 0 THEN s ELSE 10 - s END AS pref FROM anc, crops, (SELECT unnest(range(-11, 4)) AS s) WHERE list_contains(sm, month((anchor + to_months(s))::DATE))),
+    t0 AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY entity_id, crop ORDER BY pref) = 1),
+    t1 AS (SELECT t0.entity_id, t0.crop, anchor, sm, coalesce(giv.month, target) AS target FROM t0 LEFT JOIN giv USING (entity_id, crop)),
+    t AS (SELECT *, ((year(target) - year(anchor)) * 12 + month(target) - month(anchor))::INT AS horizon FROM t1),
+    x AS (SELECT t.*, n_nationkey, crop = 'wheat' OR n_nationkey % 2 = 1 AS in_scope, list_contains(sm, month(target)) AS in_season, drought_available, drought_severity, decisive, no_skill, heat_available, heat_severity
+          FROM t JOIN nation ON n_name = t.entity_id LEFT JOIN ds ON ds.entity_id = t.entity_id AND ds.month = t.target AND t.horizon BETWEEN 1 AND 3 LEFT JOIN hs ON hs.entity_id = t.entity_id AND hs.month = t.target), {RULES}
+    SELECT entity_id, crop, target, horizon, CASE WHEN in_scope THEN dominant ELSE 'insufficient data' END AS dominant, CASE WHEN in_scope THEN severity END AS severity, CASE WHEN in_scope THEN confidence ELSE 'not applicable: crop out of scope for the entity' END AS confidence,
+           CASE WHEN in_scope THEN reason ELSE 'crop not assessed for the entity' END AS reason, CASE WHEN in_scope AND horizon <= 0 THEN 'the month is past, so no forecast applies' WHEN in_scope AND horizon > 3 THEN 'the month is beyond the forecast''s reach' END AS drought_reason FROM dom""")
+def decision_assessment(spark: SparkSession, sf: str) -> DataFrame:
+    targets, scope, drought, crops = assessment_inputs(spark, sf)
+    return decisions.assessed(targets, scope, drought, heat_signals(spark, sf), crops)
+
+
+TABLE = "VALUES (1, 'BUILDING', 'F', '1-URGENT', 100000.0, 200000.0, -5.0), (2, 'BUILDING', 'F', '1-URGENT', NULL, NULL, -9.0), (3, 'MACHINERY', 'O', '2-HIGH', NULL, 150000.0, -2.5), (4, 'FURNITURE', 'P', '5-LOW', 50000.0, NULL, -1.0), (5, 'FURNITURE', 'P', NULL, NULL, 120000.0, -0.5), (6, 'MACHINERY', 'F', NULL, 90000.0, NULL, -3.0)"
 GAPS = "VALUES ('AUTOMOBILE', 'F'), ('HOUSEHOLD', 'O')"
 
 
-@query(f"""WITH t AS (SELECT * FROM ({TABLE}) AS v(entry, crop, risk, severity, lo, hi, impact)), g AS (SELECT * FROM ({GAPS}) AS v(crop, risk)),
-    f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY crop, risk, severity ORDER BY entry) = 1), a AS (SELECT crop, risk, count(*) AS n FROM t GROUP BY 1, 2),
-    r AS (SELECT o_orderkey AS row_id, c_mktsegment AS crop, o_orderstatus AS risk, o_orderpriority AS severity, o_totalprice AS metric FROM orders JOIN customer ON o_custkey = c_custkey)
-    SELECT row_id, r.crop, r.risk, r.severity, metric, CASE WHEN entry IS NOT NULL AND metric >= coalesce(lo, metric) AND metric <= coalesce(hi, metric) THEN 'available' WHEN entry IS NOT NULL THEN 'not available: outside the band' WHEN n IS NOT NULL THEN 'not available: other severity only' WHEN g.crop IS NOT NULL THEN 'recorded gap' ELSE 'out of scope' END AS status,
-           CASE WHEN entry IS NOT NULL AND metric >= coalesce(lo, metric) AND metric <= coalesce(hi, metric) THEN impact::DOUBLE END AS impact
-    FROM r LEFT JOIN f ON f.crop = r.crop AND f.risk = r.risk AND f.severity = r.severity LEFT JOIN a ON a.crop = r.crop AND a.risk = r.risk LEFT JOIN g ON g.crop = r.crop AND g.risk = r.risk""")
+@query(f"""WITH t AS (SELECT * FROM ({TABLE}) AS v(entry, crop, risk, severity, lo, hi, impact)), g AS (SELECT * FROM ({GAPS}) AS v(crop, risk)), a AS (SELECT DISTINCT crop, risk FROM t),
+    r AS (SELECT o_orderkey AS row_id, c_mktsegment AS crop, o_orderstatus AS risk, o_orderpriority AS severity, o_totalprice AS metric FROM orders JOIN customer ON o_custkey = c_custkey),
+    j AS (SELECT r.*, entry, lo, hi, impact FROM r LEFT JOIN t ON t.crop = r.crop AND t.risk = r.risk AND (t.severity IS NULL OR t.severity = r.severity) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY entry) = 1),
+    s AS (SELECT j.*, CASE WHEN entry IS NOT NULL THEN CASE WHEN metric < lo THEN 'not available: below the band' WHEN metric > hi THEN 'not available: above the band' ELSE 'available' END WHEN a.crop IS NOT NULL THEN 'not available: other severity only' WHEN g.crop IS NOT NULL THEN 'recorded gap' ELSE 'out of scope' END AS status
+          FROM j LEFT JOIN a ON a.crop = j.crop AND a.risk = j.risk LEFT JOIN g ON g.crop = j.crop AND g.risk = j.risk)
+    SELECT row_id, crop, risk, severity, metric, status, CASE WHEN status = 'available' THEN impact::DOUBLE END AS impact FROM s""")
 def decision_yield_impact(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("row_id"), F.col("c_mktsegment").alias("crop"), F.col("o_orderstatus").alias("risk"), F.col("o_orderpriority").alias("severity"), F.col("o_totalprice").alias("metric"))
     t = spark.sql(f"SELECT entry, crop, risk, severity, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, CAST(impact AS DOUBLE) AS impact FROM ({TABLE}) AS v(entry, crop, risk, severity, lo, hi, impact)")
@@ -222,11 +307,15 @@ def decision_target_month(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.target_month(anchors, spark.sql("SELECT * FROM (VALUES ('wheat', array(1, 2, 3)), ('millet', array(7, 8))) AS v(crop, sensitive_months)"))
 
 
-@query(f"WITH {Z}, {DS} SELECT entity_id, 'drought forecast' AS what, drought_reason AS reason FROM ds WHERE drought_reason IS NOT NULL UNION ALL SELECT c_name, 'orders', 'customer without orders' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query(f"""WITH {SIGNALS}, {ZM}, {DS} SELECT entity_id, 'drought forecast' AS what, coalesce(drought_reason, 'forecast without skill') AS reason FROM ds WHERE drought_reason IS NOT NULL OR no_skill
+    UNION ALL SELECT z.entity_id, 'heat', 'month ' || strftime(z.month, '%Y-%m') || ' was not observed' FROM z ANTI JOIN hs ON hs.entity_id = z.entity_id AND hs.month = z.month
+    UNION ALL SELECT c_name, 'orders', 'customer without orders' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def decision_missing_data(spark: SparkSession, sf: str) -> DataFrame:
-    d = decisions.drought_signal(drought_forecasts(spark, sf)).withColumnRenamed("drought_reason", "reason")
+    z = drought_forecasts(spark, sf)
+    d = decisions.drought_signal(z).withColumn("reason", F.coalesce("drought_reason", F.when(F.col("no_skill"), "forecast without skill")))
+    unseen = z.withColumnRenamed("horizon", "month").join(heat_signals(spark, sf), ["entity_id", "month"], "left_anti").withColumn("reason", F.concat(F.lit("month "), F.date_format("month", "yyyy-MM"), F.lit(" was not observed")))
     idle = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_name").alias("entity_id"), F.lit("customer without orders").alias("reason"))
-    return decisions.missing((d, F.col("reason").isNotNull(), "drought forecast"), (idle, F.lit(True), "orders"))
+    return decisions.missing((d, F.col("reason").isNotNull(), "drought forecast"), (unseen, F.lit(True), "heat"), (idle, F.lit(True), "orders"))
 
 
 DAYS = "SELECT event_type AS entity_id, ts::DATE AS day, value, event_id AS seq FROM events"
@@ -237,18 +326,18 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def event_layers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Without every third event from 2024-01-20 on; see ``source_live_union_whole`` for all."""
+    """An archive up to 2024-01-20 and a recent layer from 2024-01-18 on; every event is in one of them or in both."""
     e = events(spark, sf)
-    return e.where("seq % 3 = 0 and day < date'2024-01-20'"), e.where("seq % 3 <> 0")
+    return e.where("day <= date'2024-01-20'"), e.where("day >= date'2024-01-18'")
 
 
-@query(f"""WITH e AS ({DAYS}), b AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 0 ELSE 1 END AS layer FROM e WHERE seq % 3 <> 0 OR day < DATE '2024-01-20')
+@query(f"""WITH b AS (SELECT *, CASE WHEN day >= DATE '2024-01-18' THEN 1 ELSE 0 END AS layer FROM ({DAYS}))
     SELECT entity_id, day, round(value, 4) AS value, seq FROM b QUALIFY row_number() OVER (PARTITION BY entity_id, day ORDER BY layer DESC, seq DESC) = 1""")
 def source_live_union(spark: SparkSession, sf: str) -> DataFrame:
     return layers.live(*event_layers(spark, sf), ["entity_id", "day"], ["seq"])
 
 
-@query(SQL["source_live_union"].replace("CASE WHEN seq % 3 = 0 THEN", "CASE WHEN seq % 3 = 0 AND day < DATE '2024-01-20' THEN").replace(" WHERE seq % 3 <> 0 OR day < DATE '2024-01-20'", ""))
+@query(SQL["source_live_union"].replace("day >= DATE '2024-01-18' THEN 1 ELSE 0", "seq % 3 = 0 AND day < DATE '2024-01-20' THEN 0 ELSE 1"))
 def source_live_union_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Every event is in one of the layers: what the archive lacks is in the recent one."""
     e = events(spark, sf)
@@ -258,7 +347,7 @@ def source_live_union_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH d AS (SELECT 'all' AS entity_id, o_orderdate::DATE AS day, max(o_orderkey) AS seq, max(o_totalprice) AS value FROM orders GROUP BY 1, 2),
     m AS (SELECT entity_id, date_trunc('month', day)::DATE AS month, round(avg(value), 6) AS mean, count(value) AS n_days FROM d GROUP BY 1, 2)
-    SELECT entity_id, month, mean, n_days FROM m WHERE month >= DATE '1999-06-01' AND n_days >= day(last_day(month))""")
+    SELECT entity_id, month, mean, n_days FROM m WHERE month > DATE '1999-06-01' AND n_days >= day(last_day(month))""")
 def source_refreshed_months(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "orders").groupBy(F.lit("all").alias("entity_id"), F.to_date("o_orderdate").alias("day")).agg(F.max("o_orderkey").alias("seq"), F.max("o_totalprice").alias("value"))
     return rounded(layers.refreshed_months(d.where("day <= date'1999-06-10'"), d.where("day > date'1999-05-01'")), 6)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*(F.desc_nulls_last(c) for c in order))
-    return rows.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+    """The last row of each key by ``order``, by aggregation, which is partial before the shuffle."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("last")).select(*keys, "last.*")
 
 
 def live(archive: DataFrame, recent: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -19,14 +19,14 @@ def live(archive: DataFrame, recent: DataFrame, keys: list[str], order: list[str
 
 
 def refreshed_months(archive: DataFrame, recent: DataFrame) -> DataFrame:
-    """Months after the archive's end of which every day is there, from the union of both layers' days.
+    """Months after the archive's last one of which every day is there, from the union of both layers' days.
 
-    Both have ``entity_id, day, value, seq``; a month that straddles the archive's end is built from all its days.
+    Both have ``entity_id, day, value, seq``. The archive's own months are not published again.
     """
     end = archive.groupBy("entity_id").agg(F.trunc(F.max("day"), "MM").alias("archive_month"))
     days = live(archive, recent, ["entity_id", "day"], ["seq"])
     m = days.groupBy("entity_id", F.trunc("day", "MM").alias("month")).agg(F.avg("value").alias("mean"), F.count("value").alias("n_days"))
-    return m.join(end, "entity_id").where((F.col("month") >= F.col("archive_month")) & (F.col("n_days") >= F.day(F.last_day("month")))).drop("archive_month")
+    return m.join(end, "entity_id").where((F.col("month") > F.col("archive_month")) & (F.col("n_days") >= F.day(F.last_day("month")))).drop("archive_month")
 
 
 def publish(months: DataFrame, path: str) -> None:
