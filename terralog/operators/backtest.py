@@ -14,20 +14,20 @@ VALIDATED, WEAK, NONE = "validated", "weak/directional", "no skill"
 
 
 def windows(parted: DataFrame, features: list[str], target: str, lookback: int, horizon: int) -> DataFrame:
-    """Supervised pairs: ``x`` (inputs by time, then feature), ``y`` (the next values), ``part`` of all targets.
+    """Supervised pairs: ``x`` (inputs by time, then feature), ``y`` (the next values), ``part`` of all targets, and their months.
 
     All targets lie in one part; train windows also need all inputs in train. Windows with a null are left out.
     """
     w = Window.partitionBy(*KEYS).orderBy("month")
     past, future = w.rowsBetween(1 - lookback, 0), w.rowsBetween(1, horizon)
     part = F.coalesce("part", F.lit("-"))
-    xs, parts = F.collect_list(F.array(*map(F.col, features))).over(past), F.collect_list(part).over(past)
+    xs, parts, months = F.collect_list(F.array(*map(F.col, features))).over(past), F.collect_list(part).over(past), F.collect_list("month").over(past)
     ys = F.collect_list(F.struct(F.col(target).alias("y"), part.alias("part"), F.col("month").alias("m"))).over(future)
-    rows = parted.select(*KEYS, "month", xs.alias("xs"), ys.alias("ys"), parts.alias("parts"), F.col(target).alias("last_y"))
+    rows = parted.select(*KEYS, "month", xs.alias("xs"), ys.alias("ys"), parts.alias("parts"), months.alias("inputs"), F.col(target).alias("last_y"))
     part = F.get("ys", F.lit(0))["part"]
     full = rows.where((F.size("xs") == lookback) & (F.size("ys") == horizon)).where(part.isin("train", "val", "test") & F.forall("ys", lambda t: t["part"] == part) & ((part != "train") | F.forall("parts", lambda p: p == "train")))
     full = full.where(~F.exists(F.flatten("xs"), lambda v: v.isNull()) & ~F.exists("ys", lambda t: t["y"].isNull()) & F.col("last_y").isNotNull())
-    return full.select(*KEYS, F.col("month").alias("window_end"), part.alias("part"), F.flatten("xs").alias("x"), F.transform("ys", lambda t: t["y"]).alias("y"), F.transform("ys", lambda t: t["m"]).alias("targets"), "last_y")
+    return full.select(*KEYS, F.col("month").alias("window_end"), part.alias("part"), F.flatten("xs").alias("x"), F.transform("ys", lambda t: t["y"]).alias("y"), F.transform("ys", lambda t: t["m"]).alias("targets"), "inputs", "last_y")
 
 
 def ridge(pairs: DataFrame, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
@@ -55,7 +55,7 @@ def ridge(pairs: DataFrame, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
         each = lambda c: np.repeat(rows[c].to_numpy(), h)
         return pd.DataFrame({"split_id": each("split_id"), "entity_id": each("entity_id"), "horizon": np.tile(np.arange(1, h + 1), len(rows)), "part": each("part"), "target_month": [m for t in rows["targets"] for m in t], "y": y.ravel(), "pred": best[2].ravel(), "persistence": each("last_y"), "alpha": best[1]})
 
-    return pairs.groupBy(*KEYS).applyInPandas(fit, "split_id string, entity_id string, horizon int, part string, target_month date, y double, pred double, persistence double, alpha double")
+    return pairs.drop("inputs").groupBy(*KEYS).applyInPandas(fit, "split_id string, entity_id string, horizon int, part string, target_month date, y double, pred double, persistence double, alpha double")
 
 
 def with_climatology(predictions: DataFrame, parted: DataFrame, target: str) -> DataFrame:
@@ -109,3 +109,36 @@ def trailing_mean_forecasts(parted: DataFrame, target: str, lookbacks: tuple[int
     rows = parted.select(*KEYS, F.col(target).alias("persistence"), means.alias("m"), ahead.alias("a"))
     out = rows.select(*KEYS, "persistence", F.explode("m").alias("m"), "a").select(*KEYS, "persistence", "m.*", F.explode("a").alias("a")).select(*KEYS, "persistence", "lookback", "pred", "a.*")
     return out.where("pred is not null and y is not null and part is not null")
+
+
+def cut_scores(predictions: DataFrame, keys: list[str], cuts: dict[str, Column], pred: str = "pred") -> DataFrame:
+    """Scores over each cut of the rows; a row may be in several, and all are taken in one pass."""
+    named = F.filter(F.array(*(F.when(c, F.lit(name)) for name, c in cuts.items())), lambda x: x.isNotNull())
+    e = lambda c: F.col("y") - F.col(c)
+    rows = predictions.withColumns({"e2": e(pred) ** 2, "c2": e("climatology") ** 2}).withColumn("cut", F.explode(named))
+    a = rows.groupBy("cut", *keys).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg("e2")).alias("rmse"), F.sqrt(F.avg("c2")).alias("reference"))
+    return a.withColumn("skill", F.round(skill(F.col("rmse"), F.col("reference")), 4)).drop("reference")
+
+
+def climatology_mse(predictions: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean squared error of the climatology on validation rows."""
+    return predictions.where("part = 'val'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("y") - F.col("climatology")) ** 2).alias("climatology_mse"))
+
+
+def comparison(metrics: DataFrame, keys: list[str], horizons: tuple[int, ...], metric: str = "skill") -> DataFrame:
+    """A row a model, a column a horizon (``t1`` ...) and ``averaged``: the mean of the metric over the splits."""
+    of = lambda c: F.round(F.avg(F.when(c, F.col(metric))), 6)
+    return metrics.groupBy(*keys).agg(*(of(F.col("horizon") == h).alias(f"t{h}") for h in horizons), of(F.col("horizon").isNull()).alias("averaged"))
+
+
+def best_cell(metrics: DataFrame, keys: list[str], cell: list[str], metric: str = "skill") -> DataFrame:
+    """The cell of the highest metric of each key, the least in order among equals, with a verdict by the thresholds."""
+    first = F.min_by(F.struct(*cell, metric), F.struct(-F.col(metric), *cell))
+    verdict = F.when(F.col(metric) >= 0.1, "useful").when(F.col(metric) > 0, "weak").otherwise("no better than climatology")
+    return metrics.where(F.col(metric).isNotNull()).groupBy(*keys).agg(first.alias("best")).select(*keys, "best.*").withColumn("verdict", verdict)
+
+
+def clipping(predictions: DataFrame, keys: list[str], pred: str = "pred") -> DataFrame:
+    """How many forecasts of a quantity that is never negative are so, the least one, and the error before and after cutting at 0."""
+    p, e = F.col(pred), lambda c: F.sqrt(F.avg((F.col("y") - c) ** 2))
+    return predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(p < 0, 1.0).otherwise(0.0)).alias("negative_share"), F.min(p).alias("most_negative"), e(p).alias("rmse"), e(F.greatest(p, F.lit(0.0))).alias("rmse_clipped"))

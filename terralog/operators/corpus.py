@@ -113,6 +113,28 @@ def chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return c.withColumn("chunk_id", F.concat(F.col(key).cast("string"), F.lit("::"), F.substring(F.sha2("body", 256), 1, 12))).withColumn("chars", F.length("body"))
 
 
+def excerpts(docs: DataFrame, key: str, text: str, keywords: str) -> DataFrame:
+    """``key, opening, excerpt, available``: the first 1,500 characters with single spaces, and the lines that tell something.
+
+    Those are lines of over 40 characters with one of ``keywords`` (a pattern), or else the first two of over 120. A text
+    whose opening has under 100 characters is not available.
+    """
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    marked = F.filter(lines, lambda x: (F.length(x) > 40) & x.rlike(rf"(?i)(^|[^\p{{L}}])({keywords})($|[^\p{{L}}])"))
+    longer = F.slice(F.filter(lines, lambda x: F.length(x) > 120), 1, 2)
+    opening = F.substring(F.trim(F.regexp_replace(text, "[ \t\r\n]+", " ")), 1, 1500)
+    out = docs.select(key, opening.alias("opening"), F.coalesce(F.array_join(F.when(F.size(marked) > 0, marked).otherwise(longer), " "), F.lit("")).alias("excerpt"))
+    return out.withColumn("available", F.length("opening") >= 100)
+
+
+def recovered_json(rows: DataFrame, text: str, schema: str) -> DataFrame:
+    """Adds ``value``, the JSON object that stands somewhere in a text, and ``parse_failed``."""
+    found = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+    read = rows.withColumn("read", F.from_json(found, f"{schema}, broken STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
+    failed = F.col("read").isNull() | F.col("read.broken").isNotNull()
+    return read.withColumn("value", F.when(~failed, F.col("read").dropFields("broken"))).withColumn("parse_failed", failed).drop("read")
+
+
 def manifest(docs: DataFrame, chunked: DataFrame, key: str) -> DataFrame:
     """Each document's gate verdict and number of chunks."""
     n = chunked.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terralog.operators import series
+
 
 def by_day():
     return Window.partitionBy("entity_id").orderBy("day")
@@ -42,6 +44,23 @@ def monthly_counts(days: DataFrame) -> DataFrame:
     return days.groupBy("entity_id", F.trunc("day", "MM").alias("month")).agg(n("heat_day").alias("heat_days"), n("severe_day").alias("severe_days"), n("in_spell").alias("spell_days"), F.max("value").alias("max_value"), (n("in_spell") > 0).alias("had_spell"), F.avg("departure").alias("mean_departure"))
 
 
+def targets(daily: DataFrame, days: DataFrame, splits: DataFrame, index: DataFrame) -> DataFrame:
+    """``split_id, entity_id, month, part, anomaly, extreme, heat_days, index_value`` of each month.
+
+    ``anomaly``: the monthly mean, standardised by the calendar month's monthly means; ``extreme``: the hottest day,
+    standardised by its daily values; both by train rows. ``days``: of ``flagged``.
+    """
+    keys, cal = ["split_id", "entity_id"], F.month("month").alias("cal_month")
+    m = days.groupBy("entity_id", F.trunc("day", "MM").alias("month")).agg(F.avg("value").alias("mean_value"), F.max("value").alias("max_value"), F.sum(F.col("heat_day").cast("double")).alias("heat_days"))
+    p = series.with_parts(m, splits).withColumn("cal_month", F.month("month"))
+    d = series.with_parts(daily.withColumn("month", F.trunc("day", "MM")), splits).where("part = 'train'")
+    law = lambda rows, c, a: rows.groupBy(*keys, cal).agg(F.avg(c).alias(f"mean_{a}"), F.nullif(F.stddev_samp(c), F.lit(0.0)).alias(f"std_{a}"))
+    p = p.join(law(p.where("part = 'train'"), "mean_value", "m"), [*keys, "cal_month"], "left").join(law(d, "value", "d"), [*keys, "cal_month"], "left")
+    p = p.join(index.select("month", F.col("value").alias("index_value")), "month", "left")
+    z = {"anomaly": (F.col("mean_value") - F.col("mean_m")) / F.col("std_m"), "extreme": (F.col("max_value") - F.col("mean_d")) / F.col("std_d")}
+    return p.withColumns(z).select(*keys, "month", "part", "anomaly", "extreme", "heat_days", "index_value")
+
+
 def distribution(parted: DataFrame, value: str) -> DataFrame:
     """Whether a standardised series is normal: moments and quantiles of its train rows, by split and entity, with two verdicts.
 

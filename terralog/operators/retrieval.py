@@ -9,46 +9,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors compared at a time; a task holds so many and one batch of the corpus.
-BLOCK = 2048
+#: Rows of a block of queries or vectors; a task holds two blocks and their products at a time.
+BLOCK = 1024
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, blocks: int = 1) -> DataFrame:
+def of_types(vectors: DataFrame, column: str, wanted: list) -> DataFrame:
+    """The vectors of these types; a type that no vector has is an error, as it would only give an empty answer."""
+    have = {r[0] for r in vectors.where(F.col(column).isin(wanted)).select(column).distinct().collect()}
+    if unknown := [t for t in wanted if t not in have]:
+        raise ValueError(f"no vector has the type {unknown}")
+    return vectors.where(F.col(column).isin(wanted))
+
+
+def _blocks(vectors: DataFrame, n: int, names: tuple[str, str]) -> DataFrame:
+    """``block`` and its vectors as arrays of ids and of vectors: ``n`` blocks by hash of the id."""
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block")
+    rows = vectors.where("vec_id is not null and embedding is not null").select(block, F.struct("vec_id", "embedding").alias("v"))
+    lists = rows.groupBy("block").agg(F.collect_list("v").alias("v"))
+    return lists.select(F.col("block").alias(names[0]), F.col("v.vec_id").alias(f"{names[1]}_ids"), F.col("v.embedding").alias(f"{names[1]}_vectors"))
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """``query_id, vec_id, score, rank``: the k nearest by cosine, ties by id. A vector is not its own neighbour.
 
-    Each task meets its part of ``vectors`` with one block of the queries and keeps its best k a query; those few meet by
-    query. ``queries`` are split into ``blocks`` so that a block fits a task (``BLOCK`` vectors is a good size).
+    Queries and vectors are dealt into blocks of about ``BLOCK`` rows by hash, in the cluster. Every query block is copied
+    to every vector block, and a pair of blocks is one matrix product that keeps the best k of each of its queries; those
+    few meet by query. The work is that of the exact search, and neither side passes through the driver.
     """
-    spark = vectors.sparkSession
-    q = queries.select(F.col("vec_id").alias("query_id"), "embedding").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        rows = q.where(F.col("block") == b).collect()
-        ids = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        m = np.array([r["embedding"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
-        sent = spark.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qid, qm = sent.value
-            for batch in batches:
-                if not len(qid) or not len(batch):
-                    continue
-                vid = batch.column(0).to_numpy()
-                v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-                s = np.round(qm @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)).T, 6)
-                s[qid[:, None] == vid[None, :]] = -np.inf
-                n = min(k, s.shape[1])
-                order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :n]
+    n = [max(1, -(-df.count() // BLOCK)) for df in (queries, vectors)]
+    q = _blocks(queries, n[0], ("query_block", "query")).withColumn("vector_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n[1] - 1).cast("long"))))
+    pairs = q.join(_blocks(vectors, n[1], ("vector_block", "vector")), "vector_block").select("query_ids", "query_vectors", "vector_ids", "vector_vectors")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                ids = [batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (0, 2)]
+                m = [_unit(batch.column(c)[i].values) for c in (1, 3)]
+                s = np.round(m[0] @ m[1].T, 6)
+                s[ids[0][:, None] == ids[1][None, :]] = -np.inf
+                few = min(k, s.shape[1])
+                order = np.lexsort((np.broadcast_to(ids[1], s.shape), -s), axis=1)[:, :few]
                 score = np.take_along_axis(s, order, 1).ravel()
                 ok = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)[ok]), pa.array(vid[order].ravel()[ok]), pa.array(score[ok])], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[0], few)[ok]), pa.array(ids[1][order].ravel()[ok]), pa.array(score[ok])], ["query_id", "vec_id", "score"])
 
-        part = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null").mapInArrow(run, "query_id long, vec_id long, score double")
-        found = part if found is None else found.unionByName(part)
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _unit(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as rows of length 1."""
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+
+
 def scores(ranked: DataFrame, relevant: DataFrame, queries: DataFrame, group: str, k: int) -> DataFrame:
     """Hit rate in the top k and mean reciprocal rank, by ``group`` and over all (null). ``relevant``: ``query_id, vec_id`` pairs."""
     first = ranked.join(relevant, ["query_id", "vec_id"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))

@@ -57,6 +57,13 @@ def with_parts(frame: DataFrame, splits: DataFrame) -> DataFrame:
     return frame.crossJoin(splits).withColumn("part", part)
 
 
+def clipped_baseline(splits: DataFrame, lo: int, hi: int) -> DataFrame:
+    """``splits`` with ``baseline_lo, baseline_hi``, the years ``lo`` to ``hi`` within the train years; an error where none are left."""
+    a, b = F.greatest(F.lit(lo), "train_lo"), F.least(F.lit(hi), "train_hi")
+    none = F.raise_error(F.concat(F.lit("no baseline years in split "), "split_id")).cast("int")
+    return splits.withColumns({"baseline_lo": F.when(a <= b, a).otherwise(none), "baseline_hi": b})
+
+
 def month_stats(parted: DataFrame, value: str) -> DataFrame:
     """Mean and sample deviation of each calendar month's train rows, a split."""
     return parted.where("part = 'train'").groupBy("split_id", "entity_id", F.month("month").alias("cal_month")).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n_train"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralog.plans import climate, evidence
+from terralog.plans import checks, climate, evidence, forecasts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (climate, evidence)
+MODULES = (climate, evidence, checks, forecasts)
 
 
 def queries() -> dict[str, Query]:

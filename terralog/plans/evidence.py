@@ -171,7 +171,7 @@ RANKED = """q AS (SELECT vec_id AS query_id, label, embedding FROM embeddings WH
 def ranked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     v = table(spark, sf, "embeddings")
     q = v.where("vec_id % 50 = 0")
-    return retrieval.top_k(q, v, 5, max(1, -(-q.count() // retrieval.BLOCK))), q, v
+    return retrieval.top_k(q, v, 5), q, v
 
 
 @query(f"WITH {RANKED} SELECT query_id, vec_id, round(score, 4) AS score, rank FROM r WHERE rank <= 5".replace("round(score, 4)", "score"))

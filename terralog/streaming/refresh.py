@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terralog.sources import layers
 
@@ -10,15 +11,18 @@ SCHEMA = "entity_id string, day date, value double, seq long"
 
 
 def run(spark: SparkSession, landing: str, archive: str, recent: str, published: str, checkpoint: str) -> None:
-    """Takes every new file under ``landing`` once, adds it to ``recent`` and publishes the complete months.
+    """Takes every new file under ``landing`` once, adds it to ``recent`` and publishes the complete months that it touches.
 
-    A batch that runs again after a lost executor adds the same keys again; the last of a key counts, so nothing changes.
+    ``recent`` is kept by month, so a batch reads the months of its own days only. A batch that runs again after a lost
+    executor adds the same keys again; the last of a key counts, so nothing changes.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        rows.write.mode("append").parquet(recent)
-        months = layers.refreshed_months(spark.read.schema(SCHEMA).parquet(archive), spark.read.schema(SCHEMA).parquet(recent))
-        layers.publish(months, published)
+        rows = rows.withColumn("month", F.trunc("day", "MM"))
+        rows.write.mode("append").partitionBy("month").parquet(recent)
+        touched = [r[0] for r in rows.select("month").distinct().collect()]  # a few months a batch
+        days = spark.read.schema(f"{SCHEMA}, month date").parquet(recent).where(F.col("month").isin(touched)).drop("month")
+        layers.publish(layers.refreshed_months(spark.read.schema(SCHEMA).parquet(archive), days), published)
 
     stream = spark.readStream.schema(SCHEMA).parquet(landing)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

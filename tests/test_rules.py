@@ -91,8 +91,13 @@ def test_normals_pool_the_ring(spark):
 
 
 def test_skewed_series_is_not_normal(spark):
-    row = heat.distribution(monthly(spark, [float(x) for x in np.random.default_rng(4).exponential(1, 432)], start=(1980, 1)), "value").first()
-    assert not row.approximately_normal and row["skew"] > 0.5
+    parted = lambda x: monthly(spark, [float(v) for v in x], start=(1980, 1)).withColumns({"split_id": F.lit("A"), "part": F.when(F.year("month") < 2010, "train").otherwise("test")})
+    rng = np.random.default_rng(4)
+    row = heat.distribution(parted(rng.exponential(1, 432)), "value").first()
+    assert not row.approximately_normal and row["skew"] > 0.5 and row.n == 360
+    row = heat.distribution(parted(1.4 + 0.6 * rng.normal(size=432)), "value").first()
+    assert row.approximately_normal and not row.approximately_standard_normal
+    assert heat.distribution(parted(rng.normal(size=432)), "value").first().approximately_standard_normal
 
 
 def test_special_functions():
@@ -169,14 +174,15 @@ def test_html(spark):
     assert df.select(corpus.html_text(F.col("h"))).first()[0] == "A <b>\nC"
 
 
-def test_top_k_equals_brute_force(spark):
+def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(6)
     m = rng.normal(size=(300, 8)).round(3)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(999, None)], "vec_id long, embedding array<float>").repartition(5)
     u = m.astype(np.float32).astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    for blocks in (1, 3):
-        got = sorted((r.query_id, r.rank, r.vec_id) for r in retrieval.top_k(df.where("vec_id % 50 = 0 and vec_id < 300"), df, 4, blocks).collect())
+    for block in (1024, 4, 100):
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        got = sorted((r.query_id, r.rank, r.vec_id) for r in retrieval.top_k(df.where("vec_id % 50 = 0 and vec_id < 300"), df, 4).collect())
         want = []
         for q in range(0, 300, 50):
             s = np.round(u @ u[q], 6)
@@ -189,10 +195,22 @@ def test_decisions(spark):
     f = spark.createDataFrame([("e", 3, -2.5, 0.0, "no skill"), ("e", 2, -2.0, 0.05, "weak/directional"), ("e", 1, -1.8, 0.3, "validated")], "entity_id string, horizon int, predicted double, skill double, label string")
     d = {r.horizon: r for r in decisions.drought_signal(f).collect()}
     assert not d[3].decisive and d[2].corroborating and d[1].decisive and d[1].drought_severity == "severe"
+    assert d[3].no_skill and d[3].drought_available and decisions.drought_signal(f.withColumn("predicted", F.lit(None).cast("double"))).where("drought_available or drought_severity is not null").count() == 0
     h = spark.createDataFrame([("a", 0, 0, 5.35), ("b", 0, 0, 2.1), ("c", 3, 1, 0.0), ("d", 3, 0, 3.5)], "entity_id string, heat_days int, severe_days int, mean_departure double").withColumn("month", F.lit(None))
-    assert [(r.heat_severity, r.heat_basis) for r in decisions.heat_signal(h).orderBy("entity_id").collect()] == [("severe", "departure"), ("none", "days"), ("severe", "days"), ("moderate", "days")]
-    rows = spark.createDataFrame([(1, True, "severe", True, "moderate"), (2, True, "moderate", True, "moderate"), (3, False, "severe", True, "severe"), (4, True, "severe", False, None), (5, True, None, None, None)], "i int, in_season boolean, drought_severity string, decisive boolean, heat_severity string")
-    assert [r.dominant for r in decisions.dominant(rows).orderBy("i").collect()] == ["drought", "heat", "none", "none", "insufficient data"]
+    assert [(r.heat_severity, r.heat_basis) for r in decisions.heat_signal(h).orderBy("entity_id").collect()] == [("severe", "departure"), (None, None), ("severe", "days"), ("moderate", "days")]
+    rows = [
+        (1, True, True, "severe", True, False, True, "moderate", "drought"), (2, True, True, "moderate", True, False, True, "moderate", "heat"), (3, False, True, "severe", True, False, True, "severe", "none dominant"), (4, True, True, "severe", False, False, None, None, "none dominant"),
+        (5, True, None, None, None, None, None, None, "insufficient data"), (6, True, True, "severe", False, True, None, None, "insufficient data"), (7, True, True, "severe", False, True, True, None, "none dominant"), (8, True, False, None, False, False, True, "severe", "heat"),
+    ]
+    df = spark.createDataFrame([r[:-1] for r in rows], "i int, in_season boolean, drought_available boolean, drought_severity string, decisive boolean, no_skill boolean, heat_available boolean, heat_severity string")
+    assert [r.dominant for r in decisions.dominant(df).orderBy("i").collect()] == [r[-1] for r in rows]
+
+
+def test_an_entry_for_all_severities_comes_in_its_turn(spark):
+    t = spark.createDataFrame([(1, "w", "heat", "severe", None, None, 5.0), (2, "w", "heat", None, None, 3.0, 2.0), (3, "w", "heat", "mild", None, None, 1.0)], "entry int, crop string, risk string, severity string, lo double, hi double, impact double")
+    rows = spark.createDataFrame([(1, "w", "heat", "severe", 9.0), (2, "w", "heat", "mild", 2.0), (3, "w", "heat", "mild", 9.0), (4, "w", "heat", None, 2.0), (5, "w", "none dominant", "mild", 2.0)], "row_id int, crop string, risk string, severity string, metric double")
+    got = {r.row_id: (r.status, r.impact) for r in decisions.yield_impact(rows, t, spark.createDataFrame([], "crop string, risk string")).collect()}
+    assert got[1] == ("available", 5.0) and got[2] == ("available", 2.0) and got[3][0].endswith("above the band") and got[4][0] == got[5][0] == "not available: no binding risk"
 
 
 def test_yield_lookup_stops_at_the_first_entry(spark):
@@ -231,13 +249,13 @@ def test_refresh_stream_publishes_complete_months_once(spark, tmp_path):
     d = lambda start, n, v, seq: spark.createDataFrame([("e", start + dt.timedelta(k), v, seq) for k in range(n)], refresh.SCHEMA)
     paths = {k: str(tmp_path / k) for k in ("landing", "archive", "recent", "published", "checkpoint")}
     d(dt.date(2024, 1, 1), 40, 1.0, 1).write.parquet(paths["archive"])
-    d(dt.date(2024, 2, 5), 30, 3.0, 2).write.mode("append").parquet(paths["landing"])
+    d(dt.date(2024, 2, 5), 60, 3.0, 2).write.mode("append").parquet(paths["landing"])
     refresh.run(spark, **paths)
     first = spark.read.parquet(paths["published"]).collect()
-    assert [(str(r.month), r.n_days) for r in first if str(r.month) == "2024-02-01"] == [("2024-02-01", 29)] and all(str(r.month) != "2024-03-01" for r in first)
-    d(dt.date(2024, 3, 1), 31, 5.0, 3).write.mode("append").parquet(paths["landing"])
+    assert [(str(r.month), r.n_days, r["mean"]) for r in first] == [("2024-03-01", 31, 3.0)]  # the archive's last month is February
+    d(dt.date(2024, 3, 2), 60, 5.0, 3).write.mode("append").parquet(paths["landing"])
     refresh.run(spark, **paths)
     got = {str(r.month): r["mean"] for r in spark.read.parquet(paths["published"]).collect()}
-    assert got["2024-03-01"] == 5.0 and abs(got["2024-02-01"] - (4 * 1 + 25 * 3) / 29) < 1e-9
+    assert got == {"2024-03-01": pytest.approx((3 + 30 * 5) / 31), "2024-04-01": 5.0}
     archive = spark.read.parquet(paths["archive"])
     assert layers.live(archive, archive.limit(0), ["entity_id", "day"], ["seq"]).exceptAll(archive).count() == 0
