@@ -5,7 +5,9 @@ continuation records, which may land in other files. Pages whose payload another
 ``LEAST_REVISIT`` bytes, become revisit records that name the page with the largest id. Reading parses records by their
 Content-Length, groups segments by origin, orders them by number, verifies the total length and undoes the chunking.
 
-Archive files are UTF-8 text in gzip, written by Spark, one row a record, so blocks are cut only between characters.
+Archive files are UTF-8 text in gzip, written by Spark, one row a record, so blocks are cut only between characters. A file
+has at most ``FILE_RECORDS`` records of at most ``SEGMENT_BYTES`` and a header, so it is read whole within some 35 MB.
+A record is named by page id, payload digest and a number among rows that have both in common.
 """
 
 from __future__ import annotations
@@ -63,51 +65,64 @@ def unchunked(body: bytes) -> bytes:
         at = end + 4 + n
 
 
-def page_records(page: int, url: str, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
+def page_records(record: str, url: str, payload: bytes, digest: str, refers_to: str | None, segment_bytes: int, chunk_bytes: int) -> Iterator[bytes]:
     """The records of one page, in order of their segment numbers."""
     uri = "".join(c for c in url or "about:blank" if c.isprintable() and c != " ") or "about:blank"
     common = [f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
-        yield _record("revisit", f"{page}", b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n", [*common, f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"])
+        yield _record("revisit", record, b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n", [*common, f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"])
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
     if len(block) <= segment_bytes:
-        yield _record("response", f"{page}", block, common)
+        yield _record("response", record, block, common)
         return
     parts = list(_cuts(block, segment_bytes))
     for k, part in enumerate(parts, 1):
-        extra = [f"WARC-Segment-Number: {k}"] + ([f"WARC-Segment-Origin-ID: <urn:page:{page}>"] if k > 1 else common) + ([f"WARC-Segment-Total-Length: {len(block)}"] if k == len(parts) else [])
-        yield _record("continuation" if k > 1 else "response", f"{page}" if k == 1 else f"{page}:{k}", part, extra)
+        extra = [f"WARC-Segment-Number: {k}"] + ([f"WARC-Segment-Origin-ID: <urn:page:{record}>"] if k > 1 else common) + ([f"WARC-Segment-Total-Length: {len(block)}"] if k == len(parts) else [])
+        yield _record("continuation" if k > 1 else "response", record if k == 1 else f"{record}/{k}", part, extra)
 
 
 def prepared(pages: DataFrame) -> DataFrame:
-    """``page_id, url, html, digest, refers_to``: of equal payloads the largest id, for all others."""
+    """``record, url, html, digest, refers_to``, one row per row of ``pages``; of equal payloads of ``LEAST_REVISIT`` bytes all
+    but one of the largest id refer to that one's record, and have no html.
+
+    Rows with one id and one payload are counted before they are written, so however many there are they never meet.
+    """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    last = p.where((F.octet_length("html") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("last_page"), F.count(F.lit(1)).alias("n_same")).where("n_same > 1").drop("n_same")
-    joined = p.join(last, "digest", "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(F.col("last_page") != F.col("page_id"), F.col("last_page")).alias("refers_to"))
+    repeated = p.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("page_id").alias("repeated_id"))
+    rows = p.withColumn("nth", F.lit(0))
+    if not repeated.isEmpty():
+        same = F.col("page_id").eqNullSafe(F.col("repeated_id"))
+        once = p.join(repeated, same, "left_semi").groupBy("page_id", "digest").agg(F.min("url").alias("url"), F.min("html").alias("html"), F.count(F.lit(1)).alias("n"))
+        once = once.withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))).select(*rows.columns)
+        rows = p.join(repeated, same, "left_anti").withColumn("nth", F.lit(0)).unionByName(once)
+    large = F.octet_length("html") >= LEAST_REVISIT
+    last = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("last_page"), F.count(F.lit(1)).alias("n_same")).where("n_same > 1").drop("n_same")
+    ids = rows.where(large).select("page_id", "digest", "nth").join(last, "digest")  # without the html
+    revisits = ids.where(~F.col("page_id").eqNullSafe(F.col("last_page")) | (F.col("nth") > 0))
+    name = lambda page, nth: F.concat_ws("/", F.coalesce(page.cast("string"), F.lit("none")), "digest", nth.cast("string"))
+    rows = rows.withColumn("record", name(F.col("page_id"), F.col("nth")))
+    refers = revisits.select(name(F.col("page_id"), F.col("nth")).alias("record"), name(F.col("last_page"), F.lit(0)).alias("refers_to"))
+    joined = rows.join(refers, "record", "left")
+    return joined.select("record", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "digest", "refers_to")
 
 
 def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> None:
-    """Writes the archives: files of at most ``FILE_RECORDS`` records. Rows without an id are left out, repeated ids write once.
+    """Writes the archives, a record per row of ``pages`` (or several, where its block is cut): files of at most ``FILE_RECORDS`` records.
 
-    Of rows with one id, the one with the greatest payload digest is written.
+    Null html is an empty payload, a null id is written as "none"; repeated rows are each written.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 out: list[bytes] = []
-                for page, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
-                    out += page_records(page, url, html.encode("utf-8", "surrogatepass"), digest, refers_to, segment_bytes, chunk_bytes)
+                for record, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    out += page_records(record, url, (html or "").encode("utf-8", "surrogatepass"), digest, refers_to, segment_bytes, chunk_bytes)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
 
-    unique = pages.where("page_id is not null")
-    if not unique.groupBy("page_id").count().where("count > 1").isEmpty():
-        html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-        unique = unique.groupBy("page_id").agg(F.max_by(F.struct("url", "html"), F.struct(F.sha1(html.cast("binary")), "url")).alias("row")).select("page_id", "row.url", "row.html")
-    prepared(unique).mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    prepared(pages).mapInArrow(run, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -126,8 +141,9 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += 4
 
 
-def _page(uri: str | None) -> int | None:
-    return int(uri.removeprefix("<urn:page:").rstrip(">").split(":")[0]) if uri else None
+def _name(uri: str | None) -> str | None:
+    """Name of a record, without the number of a segment."""
+    return "/".join(uri.removeprefix("<urn:page:").rstrip(">").split("/")[:3]) if uri else None
 
 
 def reassembled(segments: list[tuple[int, bytes]], total: int | None) -> bytes:
@@ -145,7 +161,7 @@ def payload(block: bytes) -> bytes:
     return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
 
 
-SEGMENT = "page_id long, record_type string, refers_to long, digest string, number int, total long, block binary"
+SEGMENT = "record string, record_type string, refers_to string, digest string, number int, total long, block binary"
 
 
 def records(spark, path: str) -> DataFrame:
@@ -157,17 +173,17 @@ def records(spark, path: str) -> DataFrame:
                 rows = [[], [], [], [], [], [], []]
                 for h, block in parse(gzip.decompress(raw.as_py())):
                     number = h.get("warc-segment-number")
-                    values = (_page(h.get("warc-segment-origin-id") or h["warc-record-id"]), h["warc-type"], _page(h.get("warc-refers-to")), h.get("warc-payload-digest", "").removeprefix("sha1:"), number and int(number), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, block)
+                    values = (_name(h.get("warc-segment-origin-id") or h["warc-record-id"]), h["warc-type"], _name(h.get("warc-refers-to")), h.get("warc-payload-digest", "").removeprefix("sha1:"), number and int(number), int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, block)
                     for column, v in zip(rows, values, strict=True):
                         column.append(v)
-                types = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["page_id", "record_type", "refers_to", "digest", "number", "total", "block"])
+                types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["record", "record_type", "refers_to", "digest", "number", "total", "block"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, SEGMENT)
 
 
 def payloads(recs: DataFrame) -> DataFrame:
-    """``page_id, payload, stated_digest, failure`` of each response: segments joined, lengths verified, chunks undone.
+    """``record, payload, stated_digest, failure`` of each response: segments joined, lengths verified, chunks undone.
 
     A group of segments is one page's block. A response whose segments or chunks are broken has a null payload and the reason.
     """
@@ -182,43 +198,47 @@ def payloads(recs: DataFrame) -> DataFrame:
                     found, why = None, str(e)
                 for column, v in zip(out, (page, found, digest, why), strict=True):
                     column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["page_id", "payload", "stated_digest", "failure"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["record", "payload", "stated_digest", "failure"])
 
-    whole = recs.where("number is null and record_type = 'response'").select("page_id", "digest", F.array(F.struct(F.lit(1).alias("number"), "block")).alias("segments"), F.octet_length("block").cast("long").alias("total"))
-    cut = recs.where("number is not null").groupBy("page_id").agg(F.max(F.nullif("digest", F.lit(""))).alias("digest"), F.collect_list(F.struct("number", "block")).alias("segments"), F.max("total").alias("total"))
-    return whole.unionByName(cut).mapInArrow(run, "page_id long, payload binary, stated_digest string, failure string")
+    whole = recs.where("number is null and record_type = 'response'").select("record", "digest", F.array(F.struct(F.lit(1).alias("number"), "block")).alias("segments"), F.octet_length("block").cast("long").alias("total"))
+    cut = recs.where("number is not null").groupBy("record").agg(F.max(F.nullif("digest", F.lit(""))).alias("digest"), F.collect_list(F.struct("number", "block")).alias("segments"), F.max("total").alias("total"))
+    return whole.unionByName(cut).mapInArrow(run, "record string, payload binary, stated_digest string, failure string")
 
 
 def described(recs: DataFrame) -> DataFrame:
-    """``page_id, stated_digest, payload_bytes, payload_digest, refers_to, failure`` of each page, with the contents digested."""
+    """``record, stated_digest, payload_bytes, payload_digest, failure`` of each response, with the contents digested."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [None if p is None else p.as_buffer() for p in batch.column(1)]
             size = pa.array([None if p is None else p.size for p in found], pa.int64())
             digest = pa.array([None if p is None else hashlib.sha1(p).hexdigest() for p in found], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), size, digest, batch.column(3)], ["page_id", "stated_digest", "payload_bytes", "payload_digest", "failure"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), size, digest, batch.column(3)], ["record", "stated_digest", "payload_bytes", "payload_digest", "failure"])
 
-    return payloads(recs).mapInArrow(run, "page_id long, stated_digest string, payload_bytes long, payload_digest string, failure string")
+    return payloads(recs).mapInArrow(run, "record string, stated_digest string, payload_bytes long, payload_digest string, failure string")
 
 
 def digests(spark, path: str) -> DataFrame:
     """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of each page of the archives.
 
-    A revisit has the length of the response that it names; a digest that differs from the stated one raises an error.
+    A revisit has the length of the response that it names. A digest that differs from the stated one raises an error, and
+    so does a revisit whose response is not there.
     """
     recs = records(spark, path)
-    revisit = recs.where("record_type = 'revisit'").select("page_id", "refers_to", F.col("digest").alias("stated_digest"))
-    found = base.stored(described(recs.where("record_type <> 'revisit'")).withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisit, allowMissingColumns=True))
-    failure = F.concat(F.lit("page "), "page_id", F.lit(": "), F.coalesce("failure", F.lit("its digest differs")))
-    full = found.where("refers_to is null").select("page_id", "payload_bytes", F.when(F.col("stated_digest") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(failure)).alias("payload_digest"))
-    target = full.select(F.col("page_id").alias("refers_to"), "payload_bytes", F.col("payload_digest").alias("stated_digest"))
-    revisits = found.where("refers_to is not null").select("page_id", "refers_to", "stated_digest").join(target, ["refers_to", "stated_digest"])
-    return full.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(revisits.select("page_id", "payload_bytes", F.col("stated_digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to"))
+    page = lambda name: F.nullif(F.split_part(name, F.lit("/"), F.lit(1)), F.lit("none")).cast("long")
+    revisit = recs.where("record_type = 'revisit'").select("record", "refers_to", F.col("digest").alias("stated_digest"))
+    found = base.stored(described(recs.where("record_type <> 'revisit'")).withColumn("refers_to", F.lit(None).cast("string")).unionByName(revisit, allowMissingColumns=True))
+    failure = F.concat(F.lit("page "), "record", F.lit(": "), F.coalesce("failure", F.lit("its digest differs")))
+    full = found.where("refers_to is null").select("record", "payload_bytes", F.when(F.col("stated_digest") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(failure)).alias("payload_digest"))
+    target = full.select(F.col("record").alias("refers_to"), "payload_bytes", F.col("payload_digest").alias("stated_digest"))
+    revisits = found.where("refers_to is not null").select("record", "refers_to", "stated_digest").join(target, ["refers_to", "stated_digest"], "left")
+    lost = F.raise_error(F.concat(F.lit("page "), "record", F.lit(": the response that it revisits is missing"))).cast("long")
+    responses = full.select(page(F.col("record")).alias("page_id"), "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return responses.unionByName(revisits.select(page(F.col("record")).alias("page_id"), F.coalesce("payload_bytes", lost).alias("payload_bytes"), F.col("stated_digest").alias("payload_digest"), F.lit("revisit").alias("record_type"), page(F.col("refers_to")).alias("refers_to")))
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """Writes all pages to archives in the shared folder and reads them back: one row per page with an id."""
+    """Writes all pages to archives in the shared folder and reads them back: one row per row of ``pages``."""
     path = base.work_dir(pages.sparkSession) + "-warc"
     write(pages, path)
     return digests(pages.sparkSession, path)

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from terralog.llm import base, boosting, components, decontaminate, hashing, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, token_store, tokens, toxicity, warc
@@ -258,15 +259,26 @@ def test_warc(spark):
     big = "é<p>" * 9000
     pages = [(1, "http://a", "x" * 1000), (2, "http://b", "x" * 1000), (3, None, big), (4, "u", big + "!"), (5, "u v\n", "short"), (6, "u", "short"), (7, "u", None), (8, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n0\r\n\r\n"), (None, "u", "y" * 2000), (9, "u", big)]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, digest long")
-    got = {r.page_id: r for r in warc.archive(df).collect()}
-    assert set(got) == set(range(1, 10))
-    for i, _, html in pages[:8] + pages[9:]:
+    out = warc.archive(df).collect()
+    got = {r.page_id: r for r in out}
+    assert len(out) == len(pages) and set(got) == {None, *range(1, 10)}
+    for i, _, html in pages:
         raw = (html or "").encode()
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(raw), hashlib.sha1(raw).hexdigest())
-    assert [got[i].record_type for i in range(1, 10)] == ["revisit", "response", "revisit", *["response"] * 6]
+    assert [got[i].record_type for i in range(1, 10)] == ["revisit", "response", "revisit", *["response"] * 6] and got[None].record_type == "response"
     assert got[1].refers_to == 2 and got[3].refers_to == 9 and got[2].refers_to is None
     assert warc.archive(df.limit(0)).count() == 0
-    assert warc.archive(df.unionByName(df)).count() == 9
+    twice = warc.archive(df.unionByName(df).unionByName(df.where("page_id = 1").withColumn("html", F.lit("z" * 3000)))).collect()
+    assert len(twice) == 2 * len(pages) + 1
+    assert sorted(r.record_type for r in twice if r.page_id == 2) == ["response", "revisit"] and {r.refers_to for r in twice if r.page_id == 2} == {None, 2}
+    assert sorted((r.payload_bytes, r.record_type) for r in twice if r.page_id == 1) == [(1000, "revisit"), (1000, "revisit"), (3000, "response")]
+    assert sorted(r.record_type for r in twice if r.page_id is None) == ["response", "revisit"] and [r.record_type for r in twice if r.page_id == 7] == ["response"] * 2
+    path = base.work_dir(spark) + "-warc"
+    warc.write(df, path)
+    recs = warc.records(spark, path)
+    kept = recs.where("not (record like '9/%' and record_type <> 'revisit' and coalesce(number, 1) = 2)")
+    broken = warc.payloads(kept.where("record_type <> 'revisit'")).where("failure is not null").collect()
+    assert [r.record.split("/")[0] for r in broken] == ["9"]
     assert warc.unchunked(b"3;x=1\r\nabc\r\n0\r\nT: 1\r\n\r\n") == b"abc"
     with pytest.raises(ValueError):
         warc.reassembled([(1, b"a"), (3, b"b")], 2)
