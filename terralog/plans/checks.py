@@ -206,15 +206,15 @@ def retrieval_filtered(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.top_k(v.where("vec_id % 50 = 0"), retrieval.of_types(v, "label", [1, 2, 3]), 5)
 
 
-HEAT_MEANS = f"{climate.D}, hm AS (SELECT entity_id, date_trunc('month', day)::DATE AS month, round(avg(value), 3) AS value FROM d GROUP BY 1, 2), gh AS (SELECT entity_id, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM hm GROUP BY 1), h AS (SELECT entity_id, month, value FROM gh LEFT JOIN hm USING (entity_id, month))"
+HEAT_MEANS = f"{climate.D}, hm AS (SELECT entity_id, date_trunc('month', day)::DATE AS month, round(avg(value), 6) AS value FROM d GROUP BY 1, 2), gh AS (SELECT entity_id, unnest(generate_series(min(month), max(month), INTERVAL 1 MONTH))::DATE AS month FROM hm GROUP BY 1), h AS (SELECT entity_id, month, value FROM gh LEFT JOIN hm USING (entity_id, month))"
 
 
 @query(f"""WITH {HEAT_MEANS} SELECT entity_id, month, value, {", ".join(f"lag(value, {k}) OVER w AS value_lag{k}" for k in (1, 2, 3, 12))}, round(avg(value) OVER (w ROWS 2 PRECEDING), 3) AS roll3_mean, round(avg(value) OVER (w ROWS 5 PRECEDING), 3) AS roll6_mean
     FROM h WINDOW w AS (PARTITION BY entity_id ORDER BY month)""")
 def heat_lags_and_means(spark: SparkSession, sf: str) -> DataFrame:
-    m = series.resample(climate.daily(spark, sf), "day", "value").select("entity_id", "month", F.round("value_mean", 3).alias("value"))
+    m = series.resample(climate.daily(spark, sf), "day", "value").select("entity_id", "month", F.round("value_mean", 6).alias("value"))
     f = series.lags(series.densify(m), "value", (1, 2, 3, 12))
-    return rounded(f.withColumn("roll3_mean", series.trailing("value", 3, F.avg)).withColumn("roll6_mean", series.trailing("value", 6, F.avg)), 3)
+    return f.withColumn("roll3_mean", F.round(series.trailing("value", 3, F.avg), 3)).withColumn("roll6_mean", F.round(series.trailing("value", 6, F.avg), 3))
 
 
 @query(f"WITH s AS (SELECT * FROM ({climate.SPLITS}) AS t({climate.SPLIT_COLUMNS})) SELECT split_id, greatest(1996, train_lo)::INT AS baseline_lo, least(1999, train_hi)::INT AS baseline_hi, count(*) FILTER (year(o_orderdate) BETWEEN greatest(1996, train_lo) AND least(1999, train_hi)) AS n_orders FROM s, orders GROUP BY ALL")

@@ -74,7 +74,7 @@ def forecast_latest(spark: SparkSession, sf: str) -> DataFrame:
 
     No SQL: gamma laws and ridge models. Tested against plain versions.
     """
-    rows = forecast.prepared(features(spark, sf).where("split_id = 'A'"))
+    rows = forecast.prepared(features(spark, sf).where("split_id = 'A'")).persist()  # used by windows, climatology and the last window
     models, t = direct(rows)
     s = backtest.scores(t.where("part = 'test'"), ["entity_id"]).where("horizon is not null")
     manifest = s.select("entity_id", "horizon", "skill", backtest.label(F.col("skill")).alias("label"))
@@ -87,7 +87,7 @@ def forecast_recursive_or_direct(spark: SparkSession, sf: str) -> DataFrame:
 
     No SQL: as ``forecast_latest``.
     """
-    rows = forecast.prepared(features(spark, sf))
+    rows = forecast.prepared(features(spark, sf)).persist()  # used by the windows of both ways and by the climatology
     models, of_each = direct(rows)
     one = forecast.coefficients(backtest.windows(rows, forecast.SCALED, forecast.TARGET, LOOKBACK, 1))
     chain = backtest.with_climatology(forecast.recursive(rows, one, LOOKBACK, HORIZON), rows, forecast.TARGET)
