@@ -96,3 +96,66 @@ def test_short_values_and_inner_places(spark):
     assert {(1, "hunter2", 14), (2, "correct-horse-battery-staple", 10), (3, "abc123def456", rows[2][1].index('"') + 1)} <= found
     hit = {r.doc_id for r in secret_scan.scan(table(spark, rows)).where("is_secret").collect()}
     assert {1, 2} <= hit and secret_scan.scan(table(spark, rows[3:])).count() == 0
+
+
+def worn(text, rng, share):
+    """A notice as it is found: words changed, dropped or doubled, and lines wrapped at some width."""
+    out, width = [], rng.randint(40, 90)
+    for w in text.split():
+        kind = rng.random() / share
+        out += [w] if kind >= 1 else [["other"], [], [w, w]][int(3 * kind)]
+    lines, line = [], ""
+    for w in out:
+        line, full = (w, line) if len(line) + len(w) > width else (f"{line} {w}".strip(), "")
+        lines += [full] if full else []
+    return "\n".join([*lines, line])
+
+
+def test_recall_of_planted_notices(spark):
+    """Whole notices of every license, a twentieth of their words worn, in longer texts; texts without one stay clear."""
+    rng = random.Random(9)
+    names = [k for k, t in license_scan.TEMPLATES.items() if len(t.split()) > 20]
+    rows = [(1000 * i + k, f"{prose(k, 60)}\n\n{worn(license_scan.TEMPLATES[n], rng, 0.05)}\n\n{prose(k + 90, 60)}") for i, n in enumerate(names) for k in range(12)]
+    clear = [(900_000 + k, prose(k + 500, 200)) for k in range(40)]
+    found = {(r.doc_id, r.license) for r in license_scan.scan(table(spark, rows + clear)).collect()}
+    hit = [(i, names[i // 1000]) in found or (names[i // 1000] == "ISC" and (i, "ISC-full") in found) for i, _ in rows]
+    assert sum(hit) >= 0.9 * len(rows) and not [f for f in found if f[0] >= 900_000]
+
+
+def plain_dice(a, b):
+    """Of two texts, word by word."""
+    def pairs(t):
+        w = regex.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(c.lower() if c.isascii() else c for c in t))
+        return {tuple(w[k : k + 2]) for k in range(len(w) - 1)}
+    x, y = pairs(a), pairs(b)
+    return 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
+
+
+def test_dice_equals_brute_force(spark):
+    rng = random.Random(3)
+    texts = [(k, worn(t, rng, s).replace("\n", " ")) for k, (t, s) in enumerate((t, s) for t in license_scan.TEMPLATES.values() for s in (1e-9, 0.1, 0.3))]
+    got = {r.doc_id: (r.license, r.dice) for r in license_scan.scan(table(spark, texts)).where("unit = 'line'").collect()}
+    for k, t in texts:
+        best = max((plain_dice(t, x), n) for n, x in license_scan.TEMPLATES.items())
+        assert (k in got) == (best[0] >= license_scan.THRESHOLD) and (k not in got or abs(got[k][1] - best[0]) < 1e-9)
+
+
+def test_flat_trees_equal_a_walk():
+    import numpy as np
+
+    from terralog.llm import boosting
+
+    rng = np.random.default_rng(1)
+    x = rng.random((500, 4))
+    y = ((x[:, 0] > 0.4) & (x[:, 1] < 0.7) ^ (rng.random(500) < 0.05)).astype(float)
+    f = boosting.fit(x, y, [1, -1, 0, 0])
+
+    def walked(row):
+        total = f.base
+        for at in f.roots:
+            while f.left[at] != at:
+                at = f.left[at] if row[f.feature[at]] <= f.threshold[at] else f.right[at]
+            total += f.value[at]
+        return 1 / (1 + np.exp(-total))
+
+    assert len(f.roots) > 10 and np.allclose(f.predict(x[:60]), [walked(row) for row in x[:60]])
