@@ -119,18 +119,25 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096, gro
 
 
 def pack_texts(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096) -> DataFrame:
-    """``sequence_id, ids``: the packed sequences themselves, each of at most ``size`` ids.
+    """``sequence_id, ids``: the packed sequences themselves, each of at most ``size`` ids; every row of ``docs`` is in them.
 
-    The pieces of a sequence meet by its id, so a task gathers at most ``size`` ids for each.
+    A piece is known by its ids' checksum and length; two different pieces with both in common raise an error, so pieces that have these in common have the same ids, so each
+    different piece is kept once and looked up by the packed ones. A task gathers at most ``size`` ids for each sequence.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            ids = [np.frombuffer(i, dtype="<u4").tolist() + [end_id] for i in enc.ids(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
-
-    ids = base.documents(docs).mapInArrow(run, "doc_id long, ids array<int>").dropDuplicates(["doc_id"])
-    placed = pack(docs.dropDuplicates(["doc_id"]), tokenizer, end_id, size)
-    parts = placed.join(ids, "doc_id").select("sequence_id", "offset", F.slice("ids", F.col("start").cast("int") + 1, F.col("length").cast("int")).alias("ids"))
+            out: dict[tuple[int, int], bytes] = {}
+            for ids in enc.ids(batch.column(0).to_pylist()):
+                for k in range(0, len(ids) + 4, 4 * size):
+                    part = (ids + end)[k : k + 4 * size]
+                    out[zlib.crc32(part), len(part) // 4] = part
+            columns = [pa.array([c for c, _ in out], pa.int64()), pa.array([n for _, n in out], pa.int64()), pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in out.values()], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["ids_crc32", "length", "ids"])
+
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = docs.select("text").distinct().mapInArrow(run, "ids_crc32 long, length long, ids array<int>").groupBy("ids_crc32", "length").agg(F.min("ids").alias("ids"), F.count_distinct("ids").alias("n"))
+    ids = found.withColumn("ids", F.when(F.col("n") == 1, F.col("ids")).otherwise(F.raise_error(F.lit("two pieces have one checksum"))))
+    parts = pack(docs, tokenizer, end_id, size).join(ids, ["ids_crc32", "length"]).select("sequence_id", "offset", "ids")
     return parts.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))

@@ -129,10 +129,12 @@ class Encoder:
 
     def _by_words(self, texts: list[str]) -> Iterator[bytes]:
         """Arrow numbers the words of all texts, so that each different word is looked up once, and numpy lays out their ids."""
+        if not texts:
+            return
         if self.kind == "spaced":
-            lists = pc.split_pattern(pa.array([f"\n{t}".replace("\n", " \n") for t in texts]), " ")
+            lists = pc.split_pattern(pa.array([f"\n{t}".replace("\n", " \n") for t in texts], pa.string()), " ")
         else:
-            lists = pc.ascii_split_whitespace(pa.array(texts))
+            lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
         words = lists.values.dictionary_encode()
         different = words.dictionary.to_pylist()
         memory = self.memory

@@ -193,6 +193,7 @@ def test_encoder_equals_library(name):
     e = tokens.Encoder(tokenizer(name))
     want = [np.array(x.ids, dtype="<u4").tobytes() for x in Tokenizer.from_file(tokenizer(name)).encode_batch(TEXTS, add_special_tokens=False)]
     assert list(e.ids(TEXTS)) == want and list(e.ids(TEXTS + [""])) == [*want, b""]
+    assert [list(e.ids([t])) for t in TEXTS] == [[w] for w in want] and list(e.ids(["", ""])) == [b"", b""] and list(e.ids([])) == []
 
 
 def test_wavelet_matrix():
@@ -311,3 +312,5 @@ def test_packing(spark, odd):
     assert packing.pack(odd.limit(0), tokenizer("word_bpe_49k.json")).count() == 0
     seqs = packing.pack_texts(table(spark, [(1, "one two"), (2, "three")]), tokenizer("word_bpe_49k.json")).collect()
     assert len(seqs) == 1 and len(seqs[0].ids) == 5
+    every = sorted(x for r in packing.pack_texts(odd, tokenizer("word_bpe_49k.json")).collect() for x in r.ids)
+    assert every == sorted(x for _, t in ODD for x in [*library.encode(t or "", add_special_tokens=False).ids, 1])
