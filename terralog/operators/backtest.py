@@ -91,7 +91,7 @@ def select_best(metrics: DataFrame, keys: list[str], metric: str, position: str)
 def votes(metrics: DataFrame, keys: list[str], metric: str = "skill", least: int = 3) -> DataFrame:
     """Mean, worst and best over splits, in how many it is positive, and whether in at least ``least``."""
     won = F.count_if(F.col(metric) > 0)
-    return metrics.groupBy(*keys).agg(F.round(F.avg(metric), 6).alias("mean_skill"), F.min(metric).alias("worst"), F.max(metric).alias("best"), won.alias("n_positive"), (won >= least).alias("replicated"), F.array_join(F.sort_array(F.collect_list(F.when(F.col(metric) > 0, F.col("split_id")))), ",").alias("positive_in"))
+    return metrics.groupBy(*keys).agg(F.round(F.avg(metric), 6).alias("mean_skill"), F.min(metric).alias("worst"), F.max(metric).alias("best"), won.alias("n_positive"), F.count_if(F.col("skill_persistence") > 0).alias("n_beats_persistence"), (won >= least).alias("replicated"), F.array_join(F.sort_array(F.collect_list(F.when(F.col(metric) > 0, F.col("split_id")))), ",").alias("positive_in"))
 
 
 def adopt(without: DataFrame, having: DataFrame, keys: list[str], metric: str = "skill", least: int = 3) -> DataFrame:

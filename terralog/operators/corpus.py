@@ -135,6 +135,19 @@ def recovered_json(rows: DataFrame, text: str, schema: str) -> DataFrame:
     return read.withColumn("value", F.when(~failed, F.col("read").dropFields("broken"))).withColumn("parse_failed", failed).drop("read")
 
 
+def invariants(chunked: DataFrame, key: str, kind: str) -> DataFrame:
+    """By ``kind``: chunks, different ids, the shortest and longest, and how many begin with the end of the one before."""
+    before = F.lag("body").over(Window.partitionBy(key).orderBy("chunk"))
+    c = chunked.withColumn("overlaps", F.startswith("body", F.trim(F.right(before, F.lit(OVERLAP)))))
+    a = c.groupBy(kind).agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("chunk_id").alias("n_ids"), F.min("chars").alias("shortest"), F.max("chars").alias("longest"), F.count_if("overlaps").alias("n_overlaps"))
+    return a.withColumn("long_enough", F.col("shortest") >= LEAST_CHUNK)
+
+
+def html_title(html: Column) -> Column:
+    """The title of a page, with single spaces; empty without one."""
+    return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"[ \t\r\n\f]+", " "))
+
+
 def manifest(docs: DataFrame, chunked: DataFrame, key: str) -> DataFrame:
     """Each document's gate verdict and number of chunks."""
     n = chunked.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"))

@@ -130,4 +130,4 @@ def correlations(frame: DataFrame, a: str, b: str, lo: int, hi: int) -> DataFram
     both = frame.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     ranked = both.withColumns({f"rank_{c}": F.rank().over(w(c)) + (F.count(F.lit(1)).over(tied(c)) - 1) / 2 for c in (a, b)})
     train = in_years(lo, hi)
-    return ranked.groupBy("entity_id").agg(F.corr(a, b).alias("pearson"), F.corr(F.when(train, F.col(a)), F.when(train, F.col(b))).alias("pearson_train"), F.corr(f"rank_{a}", f"rank_{b}").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    return ranked.groupBy("entity_id").agg(F.corr(a, b).alias("pearson"), F.corr(F.when(train, F.col(a)), F.when(train, F.col(b))).alias("pearson_train"), F.corr(f"rank_{a}", f"rank_{b}").alias("spearman"), F.stddev_samp(a).alias("std_a"), F.stddev_samp(b).alias("std_b"), F.count(F.lit(1)).alias("n"))

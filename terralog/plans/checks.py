@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from terralog.operators import backtest, corpus, grounding, quality, retrieval, series
 from terralog.plans import climate, evidence
 from terralog.plans.climate import M, P, monthly, parted, rounded, table
-from terralog.sources import layers
+from terralog.sources import files, layers
 
 QUERIES, SQL = {}, {}
 
@@ -276,3 +276,37 @@ def backtest_clipping(spark: SparkSession, sf: str) -> DataFrame:
     w = series.by_month()
     t = climate.brand_sizes_monthly(spark, sf).select("entity_id", "month", (2 * F.col("value") - F.lag("value", 1).over(w)).alias("pred"), F.lead("value", 1).over(w).alias("y"))
     return rounded(backtest.clipping(t.where("pred is not null and y is not null"), ["entity_id"]))
+
+
+@query("""WITH raw AS (SELECT o_custkey::VARCHAR AS entity_id, date_trunc('month', o_orderdate)::DATE AS month, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2)
+    SELECT entity_id, month, value FROM raw WHERE entity_id IN (SELECT c_custkey::VARCHAR FROM customer ORDER BY c_custkey LIMIT 20)""")
+def source_archive_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """All customers' months are written as an archive in buckets; those of twenty customers are read from their buckets."""
+    m = table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("entity_id"), F.trunc("o_orderdate", "MM").alias("month")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    path = files.work_folder(spark, "archive")
+    files.write_archive(m, path)
+    wanted = [str(r[0]) for r in table(spark, sf, "customer").select("c_custkey").orderBy("c_custkey").limit(20).collect()]
+    return files.read_archive(spark, path, "entity_id STRING, month DATE, value DOUBLE", wanted)
+
+
+@query("SELECT doc_id, lang, text FROM documents")
+def source_chunk_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as JSON lines, read back."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    path = files.work_folder(spark, "lines")
+    files.write_lines(d, path)
+    return files.read_lines(spark, path, d.schema)
+
+
+@query()
+def corpus_section_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of the sections of pages. No SQL: long sections are cut by sentences. Tested against its rules."""
+    marked = F.regexp_replace(F.regexp_replace("html", "<h([1-3])[^>]*>", "\n# "), "</h[1-3]>", "\n")
+    return corpus.section_chunks(table(spark, sf, "pages").select("page_id", marked.alias("text")), "page_id")
+
+
+@query()
+def corpus_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the chunks, by language. No SQL, as chunks have none."""
+    d = table(spark, sf, "documents")
+    return corpus.invariants(corpus.chunks(d, "doc_id").join(d.select("doc_id", F.col("lang").alias("type")), "doc_id"), "doc_id", "type")

@@ -190,10 +190,11 @@ def series_currency(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {M}, {I}, j AS (SELECT m.entity_id, m.month, m.value, idx.value AS index_value FROM m JOIN idx USING (month) WHERE m.value IS NOT NULL),
     r AS (SELECT *, rank() OVER (PARTITION BY entity_id ORDER BY value) + (count(*) OVER (PARTITION BY entity_id, value) - 1) / 2 AS ra, rank() OVER (PARTITION BY entity_id ORDER BY index_value) + (count(*) OVER (PARTITION BY entity_id, index_value) - 1) / 2 AS rb FROM j)
-    SELECT entity_id, round(corr(value, index_value), 4) AS pearson, round(corr(value, index_value) FILTER (year(month) BETWEEN 1995 AND 1998), 4) AS pearson_train, round(corr(ra, rb), 4) AS spearman, count(*) AS n FROM r GROUP BY 1""")
+    SELECT entity_id, round(corr(value, index_value), 4) AS pearson, round(corr(value, index_value) FILTER (year(month) BETWEEN 1995 AND 1998), 4) AS pearson_train, round(corr(ra, rb), 4) AS spearman, round(stddev_samp(value), 2) AS std_value, round(stddev_samp(index_value), 2) AS std_index, count(*) AS n FROM r GROUP BY 1""")
 def series_index_correlation(spark: SparkSession, sf: str) -> DataFrame:
     j = series.attach_index(monthly(spark, sf), index(spark, sf)).where("index_value is not null")
-    return rounded(series.correlations(j, "value", "index_value", 1995, 1998))
+    c = series.correlations(j, "value", "index_value", 1995, 1998)
+    return c.select("entity_id", *(F.round(x, 4).alias(x) for x in ("pearson", "pearson_train", "spearman")), F.round("std_a", 2).alias("std_value"), F.round("std_b", 2).alias("std_index"), "n")
 
 
 NORMALS = f"""{D}, y AS (SELECT entity_id, dayofyear(day) AS doy, sum(value) AS s, count(value) AS n FROM d WHERE year(day) BETWEEN 1995 AND 1998 GROUP BY 1, 2),
@@ -348,7 +349,7 @@ def backtest_lookback_selection(spark: SparkSession, sf: str) -> DataFrame:
     return selected(spark, sf)[1]
 
 
-@query(f"""WITH {BEST} SELECT entity_id, horizon, lookback, round(avg(skill), 6) AS mean_skill, min(skill) AS worst, max(skill) AS best, count_if(skill > 0)::BIGINT AS n_positive, count_if(skill > 0) >= 3 AS replicated,
+@query(f"""WITH {BEST} SELECT entity_id, horizon, lookback, round(avg(skill), 6) AS mean_skill, min(skill) AS worst, max(skill) AS best, count_if(skill > 0)::BIGINT AS n_positive, count_if(skill_persistence > 0)::BIGINT AS n_beats_persistence, count_if(skill > 0) >= 3 AS replicated,
     coalesce(string_agg(split_id, ',' ORDER BY split_id) FILTER (skill > 0), '') AS positive_in FROM sc JOIN best USING (entity_id, horizon, lookback) WHERE part = 'test' GROUP BY 1, 2, 3""")
 def backtest_votes(spark: SparkSession, sf: str) -> DataFrame:
     s, best = selected(spark, sf)

@@ -127,9 +127,9 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", corpus.html_text(F.col("html")).alias("text"))
 
 
-@query(f"WITH {HTML} SELECT page_id, text FROM h")
+@query(rf"WITH {HTML} SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\r\n\f]+', ' ', 'g'), ' ') AS title, h.text FROM h JOIN pages USING (page_id)")
 def corpus_html_text(spark: SparkSession, sf: str) -> DataFrame:
-    return page_texts(spark, sf)
+    return table(spark, sf, "pages").select("page_id", corpus.html_title(F.col("html")).alias("title"), corpus.html_text(F.col("html")).alias("text"))
 
 
 @query(rf"""WITH {HTML}, a AS (SELECT page_id, length(text) AS chars, round(length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) / nullif(length(text), 0), 3) AS alpha_ratio,
