@@ -100,7 +100,6 @@ def forecast_recursive_or_direct(spark: SparkSession, sf: str) -> DataFrame:
 
 HEAT_SPLIT = "A"
 HEAT_TARGETS = ("anomaly", "extreme", "heat_days")
-F_WINDOW = Window.partitionBy("split_id", "entity_id").orderBy("month")
 
 
 def heat_targets(spark: SparkSession, sf: str) -> DataFrame:
@@ -128,7 +127,7 @@ def heat_grid(spark: SparkSession, sf: str) -> DataFrame:
     t = heat_targets(spark, sf)
     variants = F.array(*(F.struct(F.lit(f"{target}|{name}").alias("split_id"), F.col(target).alias("own"), index.alias("idx")) for target in HEAT_TARGETS for name, index in (("heat", F.lit(0.0)), ("heat and index", F.col("index_value")))))
     v = t.select("entity_id", "month", "part", F.explode(variants).alias("v")).select("entity_id", "month", "part", "v.*")
-    v = v.withColumn("lag12", F.lag("own", 12).over(F_WINDOW)).na.drop(subset=["own", "idx", "lag12"])
+    v = v.withColumn("lag12", F.lag("own", 12).over(Window.partitionBy("split_id", "entity_id").orderBy("month"))).na.drop(subset=["own", "idx", "lag12"])
     s = series.scaled(series.season(v), ["own", "month_sin", "month_cos", "lag12", "idx"])
     columns = [f"{c}_scaled" for c in ("own", "month_sin", "month_cos", "lag12", "idx")]  # a constant index has no weight
     done = None
