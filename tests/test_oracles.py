@@ -1,6 +1,8 @@
 """Each registered query against its DuckDB SQL on the smallest tables, and the contract of the entry module."""
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pandas as pd
@@ -41,6 +43,12 @@ def test_query_runs(spark, name):
     assert catalogue.queries()[name](spark, SF).columns
 
 
+def test_entry_imports_without_a_session():
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 80 and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
