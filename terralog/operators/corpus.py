@@ -58,6 +58,16 @@ def fitting(sizes: list[int], gap: int) -> list[int]:
     return starts
 
 
+def _pieces(unit: str) -> list[str]:
+    """A sentence in consecutive pieces of at most ``MOST_CHUNK`` characters; the last of several has ``LEAST_CHUNK``."""
+    out = []
+    while len(unit) > MOST_CHUNK:
+        cut = min(MOST_CHUNK, len(unit) - LEAST_CHUNK)
+        out.append(unit[:cut])
+        unit = unit[cut:]
+    return [*out, unit]
+
+
 def split_long(text: str) -> list[str]:
     """A text over the limit by sentences and lines; a sentence over it in consecutive pieces, so that nothing is lost.
 
@@ -65,7 +75,7 @@ def split_long(text: str) -> list[str]:
     """
     if len(text) <= MOST_CHUNK:
         return [text]
-    units = [u[i : i + MOST_CHUNK] for u in re.split(UNIT, text) if u for i in range(0, len(u), MOST_CHUNK)]
+    units = [piece for u in re.split(UNIT, text) if u for piece in _pieces(u)]
     cuts = [*fitting([len(u) for u in units], 1), len(units)]
     joined = (" ".join(units[a:b]).strip() for a, b in zip(cuts, cuts[1:], strict=False))
     return [p for p in joined if len(p) >= LEAST_CHUNK]

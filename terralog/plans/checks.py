@@ -43,7 +43,7 @@ def shipped(spark: SparkSession, sf: str) -> DataFrame:
 SHIPPED = """sh AS (SELECT n_name AS entity_id, date_trunc('month', l_shipdate)::DATE AS month, round(sum(l_extendedprice), 2) AS value
     FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_returnflag = 'R' GROUP BY 1, 2)"""
 OVERLAP = f"""{M}, {SHIPPED}, j AS (SELECT m.entity_id, m.month, sh.month IS NOT NULL AS hit, min(sh.month) OVER (PARTITION BY m.entity_id) AS lo, max(sh.month) OVER (PARTITION BY m.entity_id) AS hi FROM m LEFT JOIN sh ON sh.entity_id = m.entity_id AND sh.month = m.month),
-    ov AS (SELECT entity_id, lo, hi, count(*) AS n, count_if(hit)::BIGINT AS n_matched, count_if(NOT hit AND month BETWEEN lo AND hi)::BIGINT AS n_gaps FROM j GROUP BY 1, 2, 3),
+    ov AS (SELECT entity_id, lo, hi, count(*) AS n, count_if(hit)::BIGINT AS n_matched, count_if(NOT hit AND coalesce(month BETWEEN lo AND hi, false))::BIGINT AS n_gaps FROM j GROUP BY 1, 2, 3),
     acc AS (SELECT *, n_matched >= 0.9 * n AND n_gaps = 0 AS accepted FROM ov)"""
 
 

@@ -273,10 +273,10 @@ def assessment_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFram
     t0 AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY entity_id, crop ORDER BY pref) = 1),
     t1 AS (SELECT t0.entity_id, t0.crop, anchor, sm, coalesce(giv.month, target) AS target FROM t0 LEFT JOIN giv USING (entity_id, crop)),
     t AS (SELECT *, ((year(target) - year(anchor)) * 12 + month(target) - month(anchor))::INT AS horizon FROM t1),
-    x AS (SELECT t.*, n_nationkey, crop = 'wheat' OR n_nationkey % 2 = 1 AS in_scope, list_contains(sm, month(target)) AS in_season, drought_available, drought_severity, decisive, no_skill, heat_available, heat_severity
+    x AS (SELECT t.*, n_nationkey, crop = 'wheat' OR n_nationkey % 2 = 1 AS in_scope, list_contains(sm, month(target)) AS in_season, drought_available, drought_severity, decisive, no_skill, drought_reason AS own_reason, heat_available, heat_severity
           FROM t JOIN nation ON n_name = t.entity_id LEFT JOIN ds ON ds.entity_id = t.entity_id AND ds.month = t.target AND t.horizon BETWEEN 1 AND 3 LEFT JOIN hs ON hs.entity_id = t.entity_id AND hs.month = t.target), {RULES}
     SELECT entity_id, crop, target, horizon, CASE WHEN in_scope THEN dominant ELSE 'insufficient data' END AS dominant, CASE WHEN in_scope THEN severity END AS severity, CASE WHEN in_scope THEN confidence ELSE 'not applicable: crop out of scope for the entity' END AS confidence,
-           CASE WHEN in_scope THEN reason ELSE 'crop not assessed for the entity' END AS reason, CASE WHEN in_scope AND horizon <= 0 THEN 'the month is past, so no forecast applies' WHEN in_scope AND horizon > 3 THEN 'the month is beyond the forecast''s reach' END AS drought_reason FROM dom""")
+           CASE WHEN in_scope THEN reason ELSE 'crop not assessed for the entity' END AS reason, CASE WHEN in_scope THEN coalesce(own_reason, CASE WHEN horizon <= 0 THEN 'the month is past, so no forecast applies' WHEN horizon > 3 THEN 'the month is beyond the forecast''s reach' END) END AS drought_reason FROM dom""")
 def decision_assessment(spark: SparkSession, sf: str) -> DataFrame:
     targets, scope, drought, crops = assessment_inputs(spark, sf)
     return decisions.assessed(targets, scope, drought, heat_signals(spark, sf), crops)
