@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, token_store, toxicity, warc
+from . import decontaminate, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, token_store, toxicity, warc, whitening
 from .base import read
 
 #: Folder of the tokenizer files; by default that of the package that carries them.
@@ -63,8 +63,18 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+OPERATORS = (
+    op1_quality_rules, op2_ngram_jaccard_join, op3_secret_scan, op4_toxicity, op5_wavelet_tokens, op6_license_scan,
+    op7_quality_classifier, op8_decontamination, op9_warc_segments, op10_best_fit_packing, op13_embedding_whitening,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_ngram_jaccard_join, op3_secret_scan, op4_toxicity, op5_wavelet_tokens, op6_license_scan, op7_quality_classifier, op8_decontamination, op9_warc_segments, op10_best_fit_packing)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 #: DuckDB SQL where SQL can express the operator.
