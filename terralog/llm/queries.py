@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, license_scan, packing, quality_classifier, quality_rules, secret_scan, token_store, toxicity, warc, whitening
+from . import decontaminate, jaccard_join, lexical_search, license_scan, packing, quality_classifier, quality_rules, secret_scan, token_store, toxicity, warc, whitening
 from .base import read
 
 #: Folder of the tokenizer files; by default that of the package that carries them.
@@ -63,13 +63,17 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
 OPERATORS = (
     op1_quality_rules, op2_ngram_jaccard_join, op3_secret_scan, op4_toxicity, op5_wavelet_tokens, op6_license_scan,
-    op7_quality_classifier, op8_decontamination, op9_warc_segments, op10_best_fit_packing, op13_embedding_whitening,
+    op7_quality_classifier, op8_decontamination, op9_warc_segments, op10_best_fit_packing, op11_lexical_search, op13_embedding_whitening,
 )
 
 
@@ -110,4 +114,14 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN last_page = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN last_page <> page_id THEN last_page END AS refers_to
         FROM q""",
+    "op11_lexical_search": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+        b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+        total AS (SELECT count(*) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d WHERE len(t) > 0),
+        x AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS t FROM d) JOIN (SELECT DISTINCT t FROM b) USING (t) GROUP BY ALL),
+        w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM x, total GROUP BY t, n_docs),
+        s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+              FROM b JOIN x USING (t) JOIN w USING (t), total GROUP BY item_id, doc_id)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM s WHERE score > 0 QUALIFY rank <= 10""",
 }
