@@ -75,9 +75,14 @@ class Words:
         return [self.text[a:b] for a, b in zip(self.begin[self.starts[text] : self.starts[text + 1]].tolist(), self.end[self.starts[text] : self.starts[text + 1]].tolist(), strict=True)]
 
 
-def words(texts: list[str], table: bytes = LOWER) -> Words:
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    text = b"\n".join(raw).translate(table)
+def words(texts: list[str], table: bytes | None = LOWER) -> Words:
+    return words_of([t.encode("utf-8", "surrogatepass") for t in texts], table)
+
+
+def words_of(raw: list[bytes], table: bytes | None = LOWER) -> Words:
+    """The words of texts in UTF-8; without a ``table`` they stay as they are."""
+    text = b"\n".join(raw)
+    text = text.translate(table) if table else text
     buf = np.frombuffer(text + b"\n", np.uint8)
     inside = ~_SPACE[buf]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
@@ -88,7 +93,7 @@ def words(texts: list[str], table: bytes = LOWER) -> Words:
     return Words(hashes, np.searchsorted(begin, at), text, begin, end, at)
 
 
-def steps(texts: list[str]) -> Iterator[tuple[int, int]]:
+def steps(texts: list) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``STEP_BYTES`` characters; a longer text is a range of its own."""
     at = 0
     while at < len(texts):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, lexical_search, license_scan, packing, quality_classifier, quality_rules, secret_scan, token_store, toxicity, warc, whitening
+from . import decontaminate, jaccard_join, lexical_search, license_scan, packing, quality_classifier, quality_rules, secret_scan, substring_dedup, token_store, toxicity, warc, whitening
 from .base import read
 
 #: Folder of the tokenizer files; by default that of the package that carries them.
@@ -67,13 +67,17 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(read(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
 OPERATORS = (
     op1_quality_rules, op2_ngram_jaccard_join, op3_secret_scan, op4_toxicity, op5_wavelet_tokens, op6_license_scan,
-    op7_quality_classifier, op8_decontamination, op9_warc_segments, op10_best_fit_packing, op11_lexical_search, op13_embedding_whitening,
+    op7_quality_classifier, op8_decontamination, op9_warc_segments, op10_best_fit_packing, op11_lexical_search, op12_substring_dedup, op13_embedding_whitening,
 )
 
 
@@ -124,4 +128,13 @@ ORACLE_SQL: dict[str, str] = {
               FROM b JOIN x USING (t) JOIN w USING (t), total GROUP BY item_id, doc_id)
         SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
         FROM s WHERE score > 0 QUALIFY rank <= 10""",
+    "op12_substring_dedup": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        x AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d),
+        r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) > 1 AS again FROM x),
+        o AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+        c AS (SELECT doc_id, i, word, coalesce(bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS 19 PRECEDING), false) AS gone FROM o LEFT JOIN r USING (doc_id, i)),
+        k AS (SELECT doc_id, count(*) AS n_words, count_if(gone)::BIGINT AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept FROM c GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
 }
