@@ -105,19 +105,27 @@ def gamma_shape(log_mean_minus_mean_log: np.ndarray) -> np.ndarray:
 def gamma_ppf(a: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Quantile of the unit gamma law: Newton steps from Wilson and Hilferty's start, kept in a bracket that they narrow."""
     a, p = np.broadcast_arrays(np.asarray(a, float), np.asarray(p, float))
+    shape = a.shape
     guess = a * np.maximum(1 - 1 / (9 * a) + normal_ppf(p) / (3 * np.sqrt(a)), 0) ** 3
     tail = np.exp((np.log(p) + _lgamma(a + 1)) / a)  # exact as the quantile goes to 0
     x = np.where((guess > 0) & (a > 0.5), guess, np.minimum(tail, np.maximum(a, 1e-300)))
-    x, lo, hi = np.maximum(x, 1e-300), np.zeros(a.shape), np.full(a.shape, np.inf)
+    x = np.maximum(x, 1e-300).ravel()
+    a, p = a.ravel(), p.ravel()
+    lo, hi, live = np.zeros(a.shape), np.full(a.shape, np.inf), np.arange(len(a))
     for _ in range(200):
-        e = gammainc(a, x) - p
-        lo, hi = np.where(e < 0, x, lo), np.where(e < 0, hi, x)
+        b, at = a[live], x[live]
+        e = gammainc(b, at) - p[live]
+        lo[live], hi[live] = np.where(e < 0, at, lo[live]), np.where(e < 0, hi[live], at)
         with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-            slope = np.exp((a - 1) * np.log(x) - x - _lgamma(a))
-            step = x - e / slope
-        middle = np.where(np.isfinite(hi), (lo + hi) / 2, 2 * x)
-        new = np.where((step > lo) & (step < hi) & np.isfinite(step), step, middle)
-        if not (np.abs(new - x) > 1e-13 * x).any():
+            size = np.log(at)
+            step = at - e / np.exp((b - 1) * size - at - _lgamma(b))
+        low, high = lo[live], hi[live]
+        middle = np.where(np.isfinite(high), (low + high) / 2, 2 * at)
+        new = np.where((step > low) & (step < high) & np.isfinite(step), step, middle)
+        rounding = 2e-16 * (b * np.abs(size) + at)  # of the exponent in the function, where shapes are large
+        done = (np.abs(new - at) <= 1e-13 * at) | (np.abs(e) <= np.minimum(rounding, 1e-12) * p[live])
+        x[live[~done]] = new[~done]
+        live = live[~done]
+        if not len(live):
             break
-        x = new
-    return x
+    return x.reshape(shape)

@@ -58,10 +58,10 @@ def ridge(pairs: DataFrame, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     return pairs.drop("inputs").groupBy(*KEYS).applyInPandas(fit, "split_id string, entity_id string, horizon int, part string, target_month date, y double, pred double, persistence double, alpha double")
 
 
-def with_climatology(predictions: DataFrame, parted: DataFrame, target: str) -> DataFrame:
+def with_climatology(predictions: DataFrame, parted: DataFrame, target: str, keys: tuple[str, ...] = tuple(KEYS)) -> DataFrame:
     """Adds ``climatology``: the train mean of the target month's calendar month."""
-    c = parted.where("part = 'train'").groupBy(*KEYS, F.month("month").alias("cal_month")).agg(F.avg(target).alias("climatology"))
-    return predictions.withColumn("cal_month", F.month("target_month")).join(c, [*KEYS, "cal_month"], "left").drop("cal_month")
+    c = parted.where("part = 'train'").groupBy(*keys, F.month("month").alias("cal_month")).agg(F.avg(target).alias("climatology"))
+    return predictions.withColumn("cal_month", F.month("target_month")).join(c, [*keys, "cal_month"], "left").drop("cal_month")
 
 
 def skill(error: Column, reference: Column) -> Column:

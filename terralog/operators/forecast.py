@@ -58,10 +58,10 @@ def prepared(features: DataFrame) -> DataFrame:
 
 def latest_windows(parted: DataFrame, features: list[str], lookback: int) -> DataFrame:
     """``split_id, entity_id, anchor, x``: the last ``lookback`` rows of each, by time, then feature; shorter series have none."""
-    w = Window.partitionBy(*KEYS).orderBy("month").rowsBetween(1 - lookback, 0)
-    rows = parted.select(*KEYS, "month", F.collect_list(F.array(*map(F.col, features))).over(w).alias("xs"))
-    last = rows.groupBy(*KEYS).agg(F.max_by("xs", "month").alias("xs"), F.max("month").alias("anchor"))
-    return last.where(F.size("xs") == lookback).select(*KEYS, "anchor", F.flatten("xs").alias("x"))
+    back = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("month")))
+    rows = parted.select(*KEYS, "month", F.array(*map(F.col, features)).alias("f"), back.alias("back")).where(F.col("back") <= lookback)
+    last = rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("month", "f"))).alias("xs"))
+    return last.where(F.size("xs") == lookback).select(*KEYS, F.element_at("xs", -1)["month"].alias("anchor"), F.flatten("xs.f").alias("x"))
 
 
 def coefficients(pairs: DataFrame, alphas: tuple[float, ...] = backtest.ALPHAS, joint: bool = False) -> DataFrame:
@@ -104,11 +104,13 @@ def predicted(pairs: DataFrame, models: DataFrame) -> DataFrame:
 def forecasts(latest: DataFrame, models: DataFrame, manifest: DataFrame) -> DataFrame:
     """A row an entity and horizon: the forecast from its latest window, its month, skill and label, flag and risk score.
 
-    ``models`` and ``manifest`` (``entity_id, horizon, skill, label``) are of the split in use. ``risk_score`` is of the
-    mean over the horizons, those without skill too.
+    ``models`` and ``manifest`` (``entity_id, horizon, skill, label``) are of the split in use; a model of fewer rows than
+    the latest window has takes the last of them. ``risk_score`` is of the mean over the horizons, those without skill too.
     """
     j = latest.join(models.select(*KEYS, "horizon", "intercept", "coef"), KEYS).join(manifest, ["entity_id", "horizon"], "left")
-    f = j.select(*KEYS, "horizon", "anchor", F.add_months("anchor", F.col("horizon")).alias("month"), (F.col("intercept") + dot("x", "coef")).alias("predicted"), "skill", "label")
+    own = F.slice("x", -F.size("coef"), F.size("coef"))
+    f = j.where("size(x) >= size(coef)").withColumn("own", own)
+    f = f.select(*KEYS, "horizon", "anchor", F.add_months("anchor", F.col("horizon")).alias("month"), (F.col("intercept") + dot("own", "coef")).alias("predicted"), "skill", "label")
     f = f.withColumn("mean_spi", F.avg("predicted").over(Window.partitionBy(*KEYS)))
     score, flag = spi.risk()[0], spi.risk("predicted")[1]
     return f.select(*KEYS, "horizon", "anchor", "month", "predicted", "skill", "label", flag.alias("flag"), score.alias("risk_score"))

@@ -74,11 +74,11 @@ def standardised(parted: DataFrame, value: str) -> DataFrame:
     return parted.withColumn("cal_month", F.month("month")).join(month_stats(parted, value), ["split_id", "entity_id", "cal_month"], "left").withColumn("z", (F.col(value) - F.col("mean")) / F.nullif("std", F.lit(0.0)))
 
 
-def scaled(parted: DataFrame, features: list[str]) -> DataFrame:
+def scaled(parted: DataFrame, features: list[str], keys: tuple[str, ...] = ("split_id", "entity_id")) -> DataFrame:
     """Min-max scaling by train rows; a constant feature is only shifted."""
-    fit = parted.where("part = 'train'").groupBy("split_id", "entity_id").agg(*(g(f).alias(f"{f}_{n}") for f in features for n, g in (("min", F.min), ("max", F.max))))
+    fit = parted.where("part = 'train'").groupBy(*keys).agg(*(g(f).alias(f"{f}_{n}") for f in features for n, g in (("min", F.min), ("max", F.max))))
     width = {f: F.col(f"{f}_max") - F.col(f"{f}_min") for f in features}
-    return parted.join(fit, ["split_id", "entity_id"], "left").withColumns({f"{f}_scaled": (F.col(f) - F.col(f"{f}_min")) / F.when(width[f] == 0, F.lit(1.0)).otherwise(width[f]) for f in features})
+    return parted.join(fit, [*keys], "left").withColumns({f"{f}_scaled": (F.col(f) - F.col(f"{f}_min")) / F.when(width[f] == 0, F.lit(1.0)).otherwise(width[f]) for f in features})
 
 
 def causal_outliers(frame: DataFrame, value: str, lo: int, hi: int, k: float = 3.0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,26 @@ TABLE = f"coefficients ARRAY<STRUCT<id: STRING, crop: STRING, risk: STRING, seve
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share; in local mode without one, under the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder under ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, under a temporary folder in local mode, as in tests; ValueError on a cluster.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terralog-"))
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Writes ``df`` as Parquet to a new work folder and reads it back, for tables that several jobs use."""
+    path = work_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _bucket(buckets: int):
     return F.pmod(F.xxhash64(F.col("entity_id").cast("string")), F.lit(buckets)).cast("int")
 
