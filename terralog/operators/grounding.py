@@ -1,15 +1,21 @@
 """Mechanical check that every number of a report occurs in its sources.
 
-Claims and source numbers become keys that meet by equality: the number as it is written, its value rounded to the claim's
-decimals, and cells of the tolerance's width. Texts are read once, and no claim is compared with all numbers of its sources.
-Sources may be given to a group of reports; their keys are put together before they meet the claims, so a group of any
-size costs its distinct keys only.
+One scanner reads each text once and gives its numbers: of a claim those that state a value, of a source all that can be
+read in it, in overlapping groups of digits too. Claims and source numbers become keys that meet by equality: the number as
+it is written, its value rounded to the claim's decimals, and cells of the tolerance's width. No claim is compared with all
+numbers of its sources. Sources may be given to a group of reports; their keys are put together before they meet the
+claims, so a group of any size costs its distinct keys only.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # What is a number, what names things and states no value, which whole numbers are years, and the tolerance.
 NUMBER = r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?%?"
@@ -30,30 +36,89 @@ TOLERANCE = 5e-5
 CELL = 1e-4
 #: Rounding to more decimals than these is finer than the tolerance.
 DECIMALS = 4
-#: Places of a source at which a number may be read: whole groups of digits, not after a digit or a point.
-_WRITTEN = [rf"(?<![\d.])([-+]?\d+(?:,\d{{3}}){{{k}}}{fraction})(?!\d)" for k in range(4) for fraction in ("", r"\.\d+")]
-
+#: Digit groups of a written number at most: 24 digits and more are a list of numbers.
+GROUPS = 8
+_NUMBER, _STRUCTURAL = re.compile(NUMBER, re.A), [re.compile(p, re.A) for p in STRUCTURAL]
+_RUN = re.compile(r"\d[\d.,]*", re.A)
+_PART = re.compile(r"(\d+)([.,]*)", re.A)
+_NUMBERS = pa.list_(pa.struct([("place", pa.int32()), ("token", pa.string()), ("value", pa.float64()), ("decimals", pa.int32()), ("is_percent", pa.bool_())]))
+_SOURCE = pa.struct([("written", pa.list_(pa.string())), ("given", pa.list_(pa.float64()))])
 
-def stripped(text: Column) -> Column:
-    for p in STRUCTURAL:
-        text = F.regexp_replace(text, p, " ")
-    return text
 
+def _value(token: str) -> float:
+    return float(token.rstrip("%").replace(",", ""))
 
-def _value(token: Column) -> Column:
-    return F.regexp_replace(token, "[,%+]", "").try_cast("double")
 
+def claimed(text: str) -> list[dict]:
+    """The numbers of a claim in order, without names and years: ``place, token, value, decimals, is_percent``."""
+    for p in _STRUCTURAL:
+        text = p.sub(" ", text)
+    out = []
+    for place, m in enumerate(_NUMBER.finditer(text)):
+        token = m[0]
+        value, percent, point = _value(token), token.endswith("%"), token.find(".")
+        decimals = 0 if point < 0 else len(token) - point - 1 - percent
+        if percent or decimals or not YEARS[0] <= abs(value) <= YEARS[1]:
+            out.append({"place": place, "token": token, "value": value, "decimals": decimals, "is_percent": percent})
+    return out
 
-def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
 
+def written(text: str) -> set[str]:
+    """All numbers that can be read in a source: whole groups of digits, not after a digit or a point, with their sign or without.
 
-def numbers(rows: DataFrame, key: str, text: str, strip: bool) -> DataFrame:
-    """``key, place, token, value, decimals, is_percent`` of each number; of claims (``strip``) years are left out."""
-    found = rows.select(key, F.posexplode(_tokens(stripped(F.col(text)) if strip else F.col(text))).alias("place", "token"))
-    out = found.withColumns({"is_percent": F.endswith("token", F.lit("%")), "value": _value(F.col("token")), "decimals": F.length(F.regexp_extract("token", r"\.(\d+)", 1))})
-    year = (F.col("decimals") == 0) & ~F.col("is_percent") & F.abs("value").between(*YEARS) if strip else F.lit(False)
-    return out.where(F.col("value").isNotNull() & ~year)
+    In 1,234,567.8 these are 1; 1,234; 1,234,567; 1,234,567.8; 234; 234,567; and so on.
+    """
+    out = set()
+    for run in _RUN.finditer(text):
+        at = run.start()
+        before, sign = text[at - 1 : at], ""
+        if before in ("-", "+") and (at < 2 or text[at - 2] not in "0123456789."):
+            sign = before
+        parts = _PART.findall(run[0])
+        for k in range(len(parts)):
+            if (before if k == 0 else parts[k - 1][1][-1]) == ".":
+                continue
+            number, j = parts[k][0], k
+            while True:
+                more = [number]
+                if parts[j][1] == "." and j + 1 < len(parts):
+                    more.append(f"{number}.{parts[j + 1][0]}")
+                out.update(more)
+                if k == 0 and sign:
+                    out.update(sign + x for x in more)
+                if parts[j][1] != "," or j + 1 >= len(parts) or len(parts[j + 1][0]) != 3 or j - k + 2 > GROUPS:
+                    break
+                j += 1
+                number = f"{number},{parts[j][0]}"
+    return out
+
+
+def given_values(text: str) -> set[float]:
+    """The values of a source's numbers; a percentage is also its hundredth."""
+    out = set()
+    for m in _NUMBER.finditer(text):
+        v = _value(m[0]) + 0.0
+        out.add(v)
+        if m[0].endswith("%"):
+            out.add(v / 100)
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("place", T.IntegerType()), ("token", T.StringType()), ("value", T.DoubleType()), ("decimals", T.IntegerType()), ("is_percent", T.BooleanType()))])))
+def _claimed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array([claimed(t or "") for t in texts.to_pylist()], _NUMBERS)
+
+
+@F.arrow_udf(T.StructType([T.StructField("written", T.ArrayType(T.StringType())), T.StructField("given", T.ArrayType(T.DoubleType()))]))
+def _scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        yield pa.array([{"written": sorted(written(t or "")), "given": sorted(given_values(t or ""))} for t in texts.to_pylist()], _SOURCE)
+
+
+def numbers(claims: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, place, token, value, decimals, is_percent`` of each number of the claims; other columns stay, the text does not."""
+    return claims.withColumn("numbers", _claimed(F.col(text).cast("string"))).drop(text).select("*", F.inline("numbers")).drop("numbers")
 
 
 def _key(kind: str, number: Column) -> Column:
@@ -64,16 +129,12 @@ def _cell(value: Column) -> Column:
     return F.round(value / CELL)
 
 
-def _source_keys(text: Column) -> Column:
-    """Array of ``key, v`` of all numbers of a source: v is the value for keys of cells, else null."""
-    written = F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in _WRITTEN))))
-    unsigned = F.transform(written, lambda t: F.regexp_replace(t, "^[-+]", ""))
+def _source_keys(scan: Column) -> Column:
+    """Array of ``key, v`` of all numbers of a source: v is the value for keys of cells and of the values themselves, else null."""
     none = F.lit(None).cast("double")
-    verbatim = F.transform(F.array_union(written, unsigned), lambda t: F.struct(F.concat(F.lit("v:"), t).alias("key"), none.alias("v")))
-    values = F.flatten(F.transform(_tokens(text), lambda t: F.when(F.endswith(t, F.lit("%")), F.array(_value(t), _value(t) / 100)).otherwise(F.array(_value(t)))))
-    values = F.array_distinct(F.filter(values, lambda v: v.isNotNull()))
-    each = lambda v: F.array(*(F.struct(_key(f"r{d}", F.bround(v, d)).alias("key"), none.alias("v")) for d in range(DECIMALS + 1)), *(F.struct(_key("t", _cell(v) + k).alias("key"), v.alias("v")) for k in (-1.0, 0.0, 1.0)))
-    return F.concat(verbatim, F.flatten(F.transform(values, each)))
+    verbatim = F.transform(scan["written"], lambda t: F.struct(F.concat(F.lit("v:"), t).alias("key"), none.alias("v")))
+    each = lambda v: F.array(F.struct(_key(VALUE, v).alias("key"), v.alias("v")), *(F.struct(_key(f"r{d}", F.bround(v, d)).alias("key"), none.alias("v")) for d in range(DECIMALS + 1)), *(F.struct(_key("t", _cell(v) + k).alias("key"), v.alias("v")) for k in (-1.0, 0.0, 1.0)))
+    return F.concat(verbatim, F.flatten(F.transform(scan["given"], each)))
 
 
 def _claim_keys() -> Column:
@@ -86,24 +147,35 @@ def _claim_keys() -> Column:
     return F.filter(F.when(F.col("is_percent"), F.concat(plain, percent)).otherwise(plain), lambda x: x["key"].isNotNull())
 
 
+#: Kind of the keys that only count a source's values.
+VALUE = "n"
+
+
+def source_keys(sources: DataFrame, by: str, origin: str, text: str) -> DataFrame:
+    """``by, key_, w, lo, hi``: the distinct keys of each group of sources, with the least and the largest origin."""
+    k = sources.select(by, F.col(origin).alias("origin"), F.explode(_source_keys(_scanned(F.col(text).cast("string")))).alias("k"))
+    return k.groupBy(by, F.col("k.key").alias("key_"), F.col("k.v").alias("w")).agg(F.min("origin").alias("lo"), F.max("origin").alias("hi"))
+
+
+def found_in(claims: DataFrame, keys: DataFrame, key: str, text: str, group: str | None = None) -> DataFrame:
+    """As ``matched``, by keys of ``source_keys``."""
+    by = group or key
+    n = numbers(claims.select(*dict.fromkeys([key, by, text])), key, text).select(*dict.fromkeys([key, by]), "place", "token", F.explode(_claim_keys()).alias("k"))
+    n = n.select(*dict.fromkeys([key, by]), "place", "token", F.col("k.key").alias("key_"), F.col("k.v").alias("v"))
+    near = F.col("v").isNull() | (F.abs(F.col("v") - F.col("w")) <= TOLERANCE)
+    others = (F.col("lo") != F.col(key)) | (F.col("hi") != F.col(key)) if group else F.lit(True)
+    hit = F.col("lo").isNotNull() & near & others
+    return n.join(keys, [by, "key_"], "left").groupBy(key, "place", "token").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("found"))
+
+
 def matched(claims: DataFrame, sources: DataFrame, key: str, text: str, group: str | None = None) -> DataFrame:
     """``key, place, token, found`` of each number of the claims: whether a source has it.
 
     It has it if it is written there, or has a value equal at the claim's decimals (ties to even) or within the
     tolerance; a percentage also counts as its hundredth. Sources are those of the same ``key``. With ``group``, a column
-    of both, they are those of the same group and another ``key``.
+    of both, they are those of the same group and another ``key``. Claims with one ``key`` are one report.
     """
-    given = sources.select(group or key, F.col(key).alias("origin"), F.explode(_source_keys(F.col(text))).alias("k"))
-    given = given.groupBy(group or key, F.col("k.key").alias("key_"), F.col("k.v").alias("w")).agg(F.min("origin").alias("lo"), F.max("origin").alias("hi"))
-    own = claims.select(key, *([group] if group else []), text)
-    found = numbers(own, key, text, True)
-    if group:
-        found = found.join(own.select(key, group), key)
-    want = found.select("*", F.explode(_claim_keys()).alias("k")).select(key, *([group] if group else []), "place", F.col("k.key").alias("key_"), F.col("k.v").alias("v"))
-    near = F.col("v").isNull() | (F.abs(F.col("v") - F.col("w")) <= TOLERANCE)
-    others = (F.col("lo") != F.col(key)) | (F.col("hi") != F.col(key)) if group else F.lit(True)
-    hits = want.join(given, [group or key, "key_"]).where(near & others).select(key, "place").distinct().withColumn("found", F.lit(True))
-    return found.join(hits, [key, "place"], "left").select(key, "place", "token", F.coalesce("found", F.lit(False)).alias("found"))
+    return found_in(claims, source_keys(sources, group or key, key, text), key, text, group)
 
 
 def check(claims: DataFrame, sources: DataFrame, key: str, text: str, group: str | None = None) -> DataFrame:
@@ -112,15 +184,14 @@ def check(claims: DataFrame, sources: DataFrame, key: str, text: str, group: str
     Without ``group`` also how many different values its sources have.
     """
     bad = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("found"), F.struct("place", "token")))), lambda x: x["token"]), " ")
-    total = matched(claims, sources, key, text, group).groupBy(key).agg(F.count(F.lit(1)).alias("n_checked"), F.count_if(~F.col("found")).alias("n_unverified"), bad.alias("unverified"))
-    out = claims.select(key, F.trim(F.coalesce(text, F.lit(""))).alias("body")).join(total, key, "left")
+    keys = source_keys(sources, group or key, key, text)
+    total = found_in(claims, keys, key, text, group).groupBy(key).agg(F.count(F.lit(1)).alias("n_checked"), F.count_if(~F.col("found")).alias("n_unverified"), bad.alias("unverified"))
+    out = claims.select(key, (F.trim(F.coalesce(text, F.lit(""))) == "").alias("empty")).join(total, key, "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    status = F.when(F.col("body") == "", "not_generated").when(F.coalesce("n_unverified", F.lit(0)) == 0, "clean").otherwise("warning")
+    status = F.when(F.col("empty"), "not_generated").when(F.coalesce("n_unverified", F.lit(0)) == 0, "clean").otherwise("warning")
     columns = [key, n("n_checked"), n("n_unverified"), F.coalesce("unverified", F.lit("")).alias("unverified"), status.alias("status")]
     if not group:
-        v = numbers(sources, key, text, False)
-        value = F.explode(F.when(F.col("is_percent"), F.array("value", F.col("value") / 100)).otherwise(F.array("value")))
-        given = v.select(key, value.alias("v")).groupBy(key).agg(F.count_distinct("v").alias("n_source_numbers"))
+        given = keys.where(F.startswith("key_", F.lit(f"{VALUE}:"))).groupBy(key).agg(F.count_distinct("w").alias("n_source_numbers"))
         out, columns = out.join(given, key, "left"), [*columns, n("n_source_numbers")]
     return out.select(*columns)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terralog.operators import corpus, decisions, grounding, heat, retrieval
+from terralog.operators import corpus, decisions, grounding, heat, retrieval, scorecard
 from terralog.plans import climate
 from terralog.plans.climate import rounded, table
 from terralog.sources import layers, payloads
@@ -75,7 +75,7 @@ DOCS = "docs AS (SELECT doc_id AS report_id, source, text AS raw FROM documents)
 
 @query(f"WITH {DOCS}, {claims_sql('c', 'docs', 'raw')} SELECT report_id, place, token, value, decimals, is_percent FROM c")
 def grounding_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    return grounding.numbers(reports(spark, sf)[0], "report_id", "text", True).select("report_id", "place", "token", "value", "decimals", "is_percent")
+    return grounding.numbers(reports(spark, sf)[0], "report_id", "text").select("report_id", "place", "token", "value", "decimals", "is_percent")
 
 
 @query(f"""WITH {DOCS}, nxt AS (SELECT report_id - 1 AS report_id, raw FROM docs), {claims_sql('c', 'docs', 'raw')}, {hits_sql('c', 'nxt', 'c.report_id = s.report_id')}, {SUMMED},
@@ -117,6 +117,57 @@ def grounding_checker_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(c.select("lang", "tp", "fp", "fn", "tn", p.alias("precision"), r.alias("recall"), f1.alias("f1")))
 
 
+def user_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """``name, payload``: of each user one JSON text with what happened, nested by type of event, and the days."""
+    e = table(spark, sf, "events").select("user_id", "event_type", "value", F.to_date("ts").alias("day"))
+    money = lambda c: F.round(c, 2).cast("decimal(18,2)")
+    kinds = e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), money(F.sum("value")).alias("total"), F.max("day").cast("string").alias("last_day"))
+    entry = F.struct(F.col("event_type").alias("kind"), F.struct("n", "total").alias("sums"), F.array("last_day").alias("days"))
+    u = kinds.groupBy("user_id").agg(F.array_sort(F.collect_list(entry)).alias("kinds"), F.sum("n").alias("n_events"), F.sum("total").alias("total"))
+    return u.select("user_id", F.concat(F.lit("users/"), "user_id").alias("name"), F.to_json(F.struct("user_id", F.struct("n_events", "total").alias("all"), "kinds")).alias("payload"))
+
+
+PAYLOADS = """pk AS (SELECT user_id, event_type AS kind, count(*) AS n, round(sum(value), 2)::DECIMAL(18, 2) AS total, max(ts::DATE)::VARCHAR AS last_day FROM events GROUP BY 1, 2),
+    pu AS (SELECT user_id, list({'kind': kind, 'sums': {'n': n, 'total': total}, 'days': [last_day]} ORDER BY kind) AS kinds, sum(n)::BIGINT AS n_events, sum(total)::DECIMAL(28, 2) AS total FROM pk GROUP BY 1),
+    pay AS (SELECT user_id, n_events, total, 'users/' || user_id AS name, to_json({'user_id': user_id, 'all': {'n_events': n_events, 'total': total}, 'kinds': kinds})::VARCHAR AS payload FROM pu)"""
+
+
+@query(f"""WITH {PAYLOADS}
+    SELECT name, j.fullkey AS path, CASE WHEN j.type = 'VARCHAR' THEN j.atom->>'$' ELSE round((j.atom->>'$')::DOUBLE, 2)::VARCHAR END AS scalar
+    FROM pay, json_tree(pay.payload) AS j WHERE j.type NOT IN ('OBJECT', 'ARRAY', 'NULL')""")
+def source_json_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scalar of every user's payload with its path."""
+    p = user_payloads(spark, sf).select("name", F.parse_json("payload").alias("v"))
+    number = F.col("scalar").try_cast("double")
+    return scorecard.leaves(p, "v").select("name", "path", F.when(number.isNull(), F.col("scalar")).otherwise(F.round(number, 2).cast("string")).alias("scalar"))
+
+
+def cards(spark: SparkSession, sf: str) -> DataFrame:
+    """A report of each user of sections that cite payloads: true numbers, one that no source has, a missing and no source."""
+    u = user_payloads(spark, sf)
+    n = F.parse_json("payload")
+    count, total = F.variant_get(n, "$.all.n_events", "long"), F.variant_get(n, "$.all.total", "decimal(28,2)")
+    text = F.concat(
+        F.lit("# Report 7\nAll of it, as phase 3 says.\n*Source: `users/"), "user_id", F.lit("`*\n\n## Events\nThere were "), count.cast("string"), F.lit(" events worth "), total.cast("string"), F.lit(" (§5).\n*Source: `users/"), "user_id",
+        F.lit("` and\n`none/9`*\n## Forecast\nNext time t+1 it will be "), (total + 1).cast("decimal(28,2)").cast("string"), F.lit(", or "), (count * 10 + 3).cast("string"), F.lit(".\n*Source: `users/"), "user_id",
+        F.lit("`*\n## Elsewhere\nSome 12 of 13.\n*Source: `none/9`, `x`*\n## Open\nAbout 14.\n*Source: memory*\n## No line\n15.\n"))
+    return u.select("user_id", text.alias("text"))
+
+
+@query(f"""WITH {PAYLOADS}, cl(section, heading, body, n_cited, missing) AS (VALUES (0, '', 'card', 1, ''), (1, 'Events', 'events', 2, 'none/9'), (2, 'Forecast', 'forecast', 1, ''), (3, 'Elsewhere', 'elsewhere', 1, 'none/9'), (4, 'Open', 'open', 0, '')),
+    docs AS (SELECT user_id * 10 + section AS report_id, user_id, name, section, heading, n_cited, missing, payload AS source,
+        CASE body WHEN 'card' THEN '# Report 7 All of it, as   says.' WHEN 'events' THEN 'There were ' || n_events || ' events worth ' || total || ' ( ).' WHEN 'forecast' THEN 'Next time t+1 it will be ' || (total + 1)::DECIMAL(28, 2) || ', or ' || (n_events * 10 + 3) || '.'
+             WHEN 'elsewhere' THEN 'Some 12 of 13.' ELSE 'About 14.' END AS raw FROM pay, cl),
+    given AS (SELECT report_id, source AS raw FROM docs WHERE section < 3), {claims_sql('c', 'docs', 'raw')}, {hits_sql('c', 'given', 'c.report_id = s.report_id')}, {SUMMED}
+    SELECT user_id, section, heading, n_cited::BIGINT AS n_cited, missing, coalesce(n_checked, 0) AS n_checked, CASE WHEN section < 3 THEN coalesce(unverified, '') ELSE '' END AS unverified,
+        CASE WHEN n_cited = 0 THEN 'uncited' WHEN section = 3 THEN 'unchecked' WHEN unverified IS NULL THEN 'clean' ELSE 'warning' END AS status
+    FROM docs LEFT JOIN n USING (report_id) LEFT JOIN bad USING (report_id)""")
+def grounding_scorecard(spark: SparkSession, sf: str) -> DataFrame:
+    """Every section of every user's report against the JSON payloads that it cites."""
+    p = user_payloads(spark, sf).select("name", F.parse_json("payload").alias("v"))
+    return scorecard.check(scorecard.sections(cards(spark, sf), "user_id", "text"), scorecard.readable(p, "v"), "user_id")
+
+
 HTML = r"""
     h0 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<noscript\b.*?</noscript\s*>', ' ', 'g'), '(?is)<svg\b.*?</svg\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS t FROM pages),
     h1 AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(t, '(?s)<[^>]*>', chr(10), 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM h0),
