@@ -1,16 +1,21 @@
-"""Exact vector search by cosine, and its scores against labelled queries."""
+"""Exact vector search by cosine that skips what cannot be near, and its scores against labelled queries."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of queries or vectors; a task holds two blocks and their products at a time.
+from terralog.sources import files
+
+#: Rows of a block of queries or vectors at most, about; a task holds two blocks and their products at a time.
 BLOCK = 1024
+#: Vectors on which centres are fitted, and cells, at most.
+SAMPLE, MOST_CELLS = 20_000, 1024
 
 
 def of_types(vectors: DataFrame, column: str, wanted: list) -> DataFrame:
@@ -21,39 +26,175 @@ def of_types(vectors: DataFrame, column: str, wanted: list) -> DataFrame:
     return vectors.where(F.col(column).isin(wanted))
 
 
-def _blocks(vectors: DataFrame, n: int, names: tuple[str, str]) -> DataFrame:
-    """``block`` and its vectors as arrays of ids and of vectors: ``n`` blocks by hash of the id."""
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block")
-    rows = vectors.where("vec_id is not null and embedding is not null").select(block, F.struct("vec_id", "embedding").alias("v"))
-    lists = rows.groupBy("block").agg(F.collect_list("v").alias("v"))
-    return lists.select(F.col("block").alias(names[0]), F.col("v.vec_id").alias(f"{names[1]}_ids"), F.col("v.embedding").alias(f"{names[1]}_vectors"))
+@dataclass
+class Cells:
+    """Centres (k-means of a bounded sample) by which vectors lie in cells, and of each cell its radius and parts."""
+
+    centres: np.ndarray
+    radius: np.ndarray
+    parts: np.ndarray
+
+
+def centres(vectors: DataFrame, sample: int = SAMPLE, most: int = MOST_CELLS, rounds: int = 8) -> np.ndarray:
+    """Centres of about the square root of the vectors' number, ``most`` at most, fitted on ``sample`` unit vectors by hash order.
+
+    Any centres give exact results; good ones let more be skipped.
+    """
+    n = vectors.count()
+    rows = vectors.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    if not rows.num_rows:
+        return np.zeros((0, 0))
+    x = _unit(rows.column("embedding").combine_chunks())
+    k = min(most, len(x), max(1, round(n**0.5)))
+    c = x[:: max(1, len(x) // k)][:k].copy()
+    for _ in range(rounds):
+        nearest = (x @ c.T - (c * c).sum(1) / 2).argmax(1)
+        total, size = np.zeros_like(c), np.bincount(nearest, minlength=len(c))
+        np.add.at(total, nearest, x)
+        c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], c)
+    return c
+
+
+def _placed(vectors: DataFrame, c: np.ndarray) -> DataFrame:
+    """``vec_id, embedding, cell, distance``: the nearest centre of each vector, and how far off it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _unit(batch.column(1))
+            cell = (x @ c.T - (c * c).sum(1) / 2).argmax(1)
+            d = np.linalg.norm(x - c[cell], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(d)], ["vec_id", "embedding", "cell", "distance"])
+
+    rows = vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return rows.mapInArrow(run, f"vec_id long, embedding {kind}, cell int, distance double")
+
+
+def _blocks(placed: DataFrame, block: int) -> DataFrame:
+    """``cell, part, ids, vectors, radius``: cells, and of those of over ``block`` vectors parts by hash of the id."""
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n_parts"))
+    part = F.pmod(F.xxhash64("vec_id"), F.col("n_parts")).cast("int").alias("part")
+    rows = placed.join(sizes, "cell").select("cell", part, F.struct("vec_id", "embedding").alias("v"), "distance")
+    lists = rows.groupBy("cell", "part").agg(F.collect_list("v").alias("v"), F.max("distance").alias("radius"))
+    return files.stored(lists.select("cell", "part", F.col("v.vec_id").alias("ids"), F.col("v.embedding").alias("vectors"), "radius"))
+
+
+def _slack(score: np.ndarray) -> np.ndarray:
+    """Distance within which unit vectors of this rounded cosine, or a better one, must lie."""
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (score - 1.5e-6)))
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of each row's ``k`` best, ties by id; the rest of a shorter row is minus infinity."""
+    few = min(k, scores.shape[1])
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :few]
+    return np.take_along_axis(scores, order, 1), ids[order]
+
+
+def _products(a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray) -> np.ndarray:
+    s = np.round(a @ b.T, 6)
+    s[a_ids[:, None] == b_ids[None, :]] = -np.inf
+    return s
+
+
+def _block_rows(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
+    at = [batch.schema.get_field_index(n) for n in names]
+    for i in range(len(batch)):
+        yield tuple(batch.column(c)[i] for c in at)
+
+
+@dataclass
+class Search:
+    """Query blocks with bounds of their k-th best distance, vector blocks, and the pairs of blocks that are not skipped."""
+
+    queries: DataFrame
+    blocks: DataFrame
+    pairs: DataFrame
+    cells: Cells
+
+    def report(self) -> DataFrame:
+        """``n_query_blocks, n_blocks, n_visited, skipped``: of all pairs of blocks the share that is not looked at."""
+        n = self.queries.agg(F.count(F.lit(1)).alias("n_query_blocks")).crossJoin(self.blocks.agg(F.count(F.lit(1)).alias("n_blocks"))).crossJoin(self.pairs.agg(F.count(F.lit(1)).alias("n_visited")))
+        return n.withColumn("skipped", F.round(1 - F.col("n_visited") / (F.col("n_query_blocks") * F.col("n_blocks")), 4))
+
+
+def plan(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> Search | None:
+    """Which blocks of vectors each block of queries must visit; None without vectors.
+
+    Both are dealt into cells; a query first meets one block of its own cell, whose k-th best bounds the distance of its
+    k best of all. By the triangle inequality a cell, or a block of it, cannot hold one of them where its centre is further
+    off than that bound and both radii together.
+    """
+    vectors = vectors.where("vec_id is not null and embedding is not null")
+    c = centres(vectors)
+    if not len(c):
+        return None
+    blocks = _blocks(_placed(vectors, c), block)
+    sizes = blocks.groupBy("cell").agg(F.max("radius").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
+    cells = Cells(c, np.full(len(c), -np.inf), np.zeros(len(c), int))
+    for r in sizes:
+        cells.radius[r["cell"]], cells.parts[r["cell"]] = r["radius"], r["n"]
+    kind = vectors.schema["embedding"].dataType.simpleString()
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bound = []
+            for q_ids, q, ids, v in _block_rows(batch, ["q_ids", "q_vectors", "ids", "vectors"]):
+                a = _unit(q.values)
+                bound.append(np.full(len(a), np.inf))
+                if v.is_valid:
+                    b, b_ids = _unit(v.values), ids.values.to_numpy(zero_copy_only=False)
+                    s, _ = _best(_products(a, q_ids.values.to_numpy(zero_copy_only=False), b, b_ids), b_ids, k)
+                    if s.shape[1] == k:
+                        bound[-1] = np.where(np.isfinite(s[:, -1]), _slack(np.where(np.isfinite(s[:, -1]), s[:, -1], 0.0)), np.inf)
+            columns = [batch.column(batch.schema.get_field_index(n)) for n in ("q_cell", "q_part", "q_ids", "q_vectors", "q_radius")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tolist() for x in bound], pa.list_(pa.float64()))], ["q_cell", "q_part", "q_ids", "q_vectors", "q_radius", "bound"])
+
+    q = _blocks(_placed(queries, c), block)
+    q = q.select(*(F.col(n).alias(f"q_{n}") for n in ("cell", "part", "ids", "vectors", "radius")))
+    first = q.join(blocks.where("part = 0").select("cell", "ids", "vectors"), F.col("q_cell") == F.col("cell"), "left")
+    q = files.stored(first.mapInArrow(bounded, f"q_cell int, q_part int, q_ids array<long>, q_vectors array<{kind}>, q_radius double, bound array<double>"))
+
+    def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, part, radius, far = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            gap = np.linalg.norm(c[cell][:, None, :] - c[None, :, :], axis=2)
+            row, to = np.nonzero(gap <= (radius + far)[:, None] + cells.radius[None, :] + 1e-9)
+            columns = [cell[row], part[row], radius[row] + far[row], to, gap[row, to]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.float64()), strict=True)], ["q_cell", "q_part", "reach", "cell", "gap"])
+
+    few = q.select("q_cell", "q_part", "q_radius", F.array_max("bound").alias("far")).repartition(files.tasks(q.sparkSession), "q_cell", "q_part")
+    pairs = few.mapInArrow(reached, "q_cell int, q_part int, reach double, cell int, gap double")
+    pairs = pairs.join(blocks.select("cell", "part", "radius"), "cell").where(F.col("gap") <= F.col("reach") + F.col("radius") + 1e-9)
+    return Search(q, blocks, files.stored(pairs.select("q_cell", "q_part", "cell", "part")), cells)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """``query_id, vec_id, score, rank``: the k nearest by cosine, ties by id. A vector is not its own neighbour.
 
-    Queries and vectors are dealt into blocks of about ``BLOCK`` rows by hash, in the cluster. Every query block is copied
-    to every vector block, and a pair of blocks is one matrix product that keeps the best k of each of its queries; those
-    few meet by query. The work is that of the exact search, and neither side passes through the driver.
+    Exact: of all pairs of blocks only those are looked at that ``plan`` cannot rule out, and in a pair only the queries
+    that the block can serve. A pair is one matrix product; a query's few best of each block meet by query.
     """
-    n = [max(1, -(-df.count() // BLOCK)) for df in (queries, vectors)]
-    q = _blocks(queries, n[0], ("query_block", "query")).withColumn("vector_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n[1] - 1).cast("long"))))
-    pairs = q.join(_blocks(vectors, n[1], ("vector_block", "vector")), "vector_block").select("query_ids", "query_vectors", "vector_ids", "vector_vectors")
+    search = plan(queries, vectors, k, block)
+    schema = "query_id long, vec_id long, score double"
+    if search is None:
+        return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    both = search.pairs.join(search.blocks, ["cell", "part"]).join(search.queries, ["q_cell", "q_part"]).select("cell", "radius", "ids", "vectors", "q_ids", "q_vectors", "bound")
+    middle = search.cells.centres
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(len(batch)):
-                ids = [batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (0, 2)]
-                m = [_unit(batch.column(c)[i].values) for c in (1, 3)]
-                s = np.round(m[0] @ m[1].T, 6)
-                s[ids[0][:, None] == ids[1][None, :]] = -np.inf
-                few = min(k, s.shape[1])
-                order = np.lexsort((np.broadcast_to(ids[1], s.shape), -s), axis=1)[:, :few]
-                score = np.take_along_axis(s, order, 1).ravel()
-                ok = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[0], few)[ok]), pa.array(ids[1][order].ravel()[ok]), pa.array(score[ok])], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+            for cell, radius, ids, v, q_ids, q, bound in _block_rows(batch, batch.schema.names):
+                a, far = _unit(q.values), bound.values.to_numpy(zero_copy_only=False)
+                near = np.linalg.norm(a - middle[cell.as_py()], axis=1) <= far + radius.as_py() + 1e-9
+                if not near.any():
+                    continue
+                a_ids, b_ids = q_ids.values.to_numpy(zero_copy_only=False)[near], ids.values.to_numpy(zero_copy_only=False)
+                score, of = _best(_products(a[near], a_ids, _unit(v.values), b_ids), b_ids, k)
+                ok = np.isfinite(score) & (_slack(score) <= far[near][:, None] + 1e-5)
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(a_ids[:, None], score.shape)[ok]), pa.array(of[ok]), pa.array(score[ok])], ["query_id", "vec_id", "score"])
+
+    found = both.mapInArrow(run, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

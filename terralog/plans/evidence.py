@@ -239,6 +239,13 @@ def retrieval_scores(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.scores(top, relevant, queries, "label", 5)
 
 
+@query()
+def retrieval_pruning(spark: SparkSession, sf: str) -> DataFrame:
+    """How many pairs of blocks the search of every 50th vector visits. No SQL: cells come from k-means."""
+    v = table(spark, sf, "embeddings")
+    return retrieval.plan(v.where("vec_id % 50 = 0"), v, 5).report()
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def retrieval_pending(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.pending(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")

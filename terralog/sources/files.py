@@ -35,6 +35,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _bucket(buckets: int):
     return F.pmod(F.xxhash64(F.col("entity_id").cast("string")), F.lit(buckets)).cast("int")
 
