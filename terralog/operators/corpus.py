@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terralog.functions import markup
+
 # Characters of a chunk, and of what it shares with the one before; where paragraphs and sentences end.
 LEAST_CHUNK, MOST_CHUNK, OVERLAP = 120, 2000, 200
+JOINT = "\n\n"
 PARAGRAPH, UNIT = r"\n\s*\n", r"(?<=[.!?])\s+|\n"
 
 
-def html_text(html: Column) -> Column:
-    """Visible text: scripts, styles, drawings and comments go, tags end lines, spaces collapse, blank lines go."""
-    t = F.regexp_replace(html, r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>|<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", "\n")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f]+", " ")))
-    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+@F.arrow_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
+def page(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """``title`` and visible ``text`` of web pages, by a tokenizer; both are empty for a null page."""
+    for pages in batches:
+        both = [markup.page(p) for p in pages.to_pylist()]
+        yield pa.StructArray.from_arrays([pa.array([x[i] for x in both], pa.string()) for i in (0, 1)], ["title", "text"])
 
 
 def gate(docs: DataFrame, text: str = "text", least: int = 500, least_alpha: float = 0.5) -> DataFrame:
@@ -81,24 +86,36 @@ def split_long(text: str) -> list[str]:
     return [p for p in joined if len(p) >= LEAST_CHUNK]
 
 
+def spans(lengths: list[int], tail) -> list[tuple[int, int, str]]:
+    """Runs of paragraphs that make a chunk each (first, end) with the overlap before it, from the paragraphs' lengths alone.
+
+    A run takes as many paragraphs as fit behind the overlap, found in the running sum of lengths, and one at least.
+    ``tail(first, end, overlap)`` gives the overlap for the run after it: of a single paragraph that is too long and has
+    none before it, which is cut by itself, that is nothing.
+    """
+    ends = [0, *accumulate(n + len(JOINT) for n in lengths)]
+    out, at, overlap = [], 0, ""
+    while at < len(lengths):
+        room = MOST_CHUNK + len(JOINT) - (len(overlap) + len(JOINT) if overlap else 0)
+        end = max(at + 1, bisect_right(ends, ends[at] + room) - 1)
+        out.append((at, end, overlap))
+        overlap = "" if not overlap and lengths[at] > MOST_CHUNK else tail(at, end, overlap)
+        at = end
+    return out
+
+
 def pack(text: str | None) -> list[str]:
-    """Chunks of whole paragraphs; each begins with the end of the one before, but after a paragraph cut by ``split_long``.
+    """Chunks of whole paragraphs, each with the end of the one before; a first or lone paragraph over the limit is cut.
 
-    Paragraphs end at blank lines. One that is too long is cut where it opens a chunk; after a chunk it follows that
-    one's end whole. The last chunk needs ``LEAST_CHUNK`` characters.
+    Paragraphs end at blank lines. A long one behind an overlap stays whole. The last chunk needs ``LEAST_CHUNK`` characters.
     """
-    out: list[str] = []
-    open_chunk = ""
-    for par in filter(None, (p.strip() for p in re.split(PARAGRAPH, text or ""))):
-        longer = f"{open_chunk}\n\n{par}" if open_chunk else par
-        if len(longer) <= MOST_CHUNK:
-            open_chunk = longer
-        elif open_chunk:
-            out.append(open_chunk)
-            open_chunk = f"{open_chunk[-OVERLAP:]}\n\n{par}".strip()
-        else:
-            out += split_long(par)
-    return out + [open_chunk] * (len(open_chunk) >= LEAST_CHUNK)
+    pars = [p for p in map(str.strip, re.split(PARAGRAPH, text or "")) if p]
+    whole = lambda first, end, overlap: JOINT.join([overlap, *pars[first:end]] if overlap else pars[first:end])
+    runs = spans([len(p) for p in pars], lambda *run: whole(*run)[-OVERLAP:].lstrip())
+    made = [[whole(*run)] if run[2] or len(pars[run[0]]) <= MOST_CHUNK else split_long(pars[run[0]]) for run in runs]
+    if runs and len(made[-1]) == 1 and len(made[-1][0]) < LEAST_CHUNK:
+        made.pop()
+    return [chunk for chunks in made for chunk in chunks]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -153,11 +170,6 @@ def invariants(chunked: DataFrame, key: str, kind: str) -> DataFrame:
     return a.withColumn("long_enough", F.col("shortest") >= LEAST_CHUNK)
 
 
-def html_title(html: Column) -> Column:
-    """The title of a page, with single spaces; empty without one."""
-    return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"[ \t\r\n\f]+", " "))
-
-
 def manifest(docs: DataFrame, chunked: DataFrame, key: str) -> DataFrame:
     """Each document's gate verdict and number of chunks."""
     n = chunked.groupBy(key).agg(F.count(F.lit(1)).alias("n_chunks"))

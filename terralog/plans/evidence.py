@@ -168,19 +168,39 @@ def grounding_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     return scorecard.check(scorecard.sections(cards(spark, sf), "user_id", "text"), scorecard.readable(p, "v"), "user_id")
 
 
-HTML = r"""
-    h0 AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<noscript\b.*?</noscript\s*>', ' ', 'g'), '(?is)<svg\b.*?</svg\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g') AS t FROM pages),
-    h1 AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(t, '(?s)<[^>]*>', chr(10), 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM h0),
+#: Character references that the given pages have; the tokenizer knows all.
+REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "#39": "''", "nbsp": " ", "copy": "©", "middot": "·", "amp": "&"}
+
+
+def unescaped_sql(text: str) -> str:
+    for name, char in REFERENCES.items():
+        text = f"replace({text}, '&{name};', '{char}')"
+    return text
+
+
+def without_sql(text: str) -> str:
+    """The page without comments and what is not shown."""
+    for name in ("script", "style", "noscript", "svg"):
+        text = rf"regexp_replace({text}, '(?is)<{name}\b.*?</{name}\s*>', ' ', 'g')"
+    return rf"regexp_replace({text}, '(?s)<!--.*?-->', '', 'g')"
+
+
+HTML = rf"""
+    h0 AS (SELECT page_id, {without_sql("html")} AS t FROM pages),
+    h1 AS (SELECT page_id, {unescaped_sql("regexp_replace(t, '(?s)<[^>]*>', chr(10), 'g')")} AS t FROM h0),
     h AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10)) AS text FROM h1)"""
 
 
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", corpus.html_text(F.col("html")).alias("text"))
+    return table(spark, sf, "pages").select("page_id", corpus.page(F.col("html"))["text"].alias("text"))
+
+
+TITLE = unescaped_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
 
 
-@query(rf"WITH {HTML} SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \t\r\n\f]+', ' ', 'g'), ' ') AS title, h.text FROM h JOIN pages USING (page_id)")
+@query(rf"WITH {HTML} SELECT page_id, trim(regexp_replace({TITLE}, '[ \t\r\n\f]+', ' ', 'g'), ' ') AS title, h.text FROM h JOIN pages USING (page_id)")
 def corpus_html_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", corpus.html_title(F.col("html")).alias("title"), corpus.html_text(F.col("html")).alias("text"))
+    return table(spark, sf, "pages").select("page_id", corpus.page(F.col("html")).alias("p")).select("page_id", "p.title", "p.text")
 
 
 @query(rf"""WITH {HTML}, a AS (SELECT page_id, length(text) AS chars, round(length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) / nullif(length(text), 0), 3) AS alpha_ratio,

@@ -171,7 +171,7 @@ def test_sections_keep_tables_with_their_heading(spark):
 
 def test_html(spark):
     df = spark.createDataFrame([("<html><script>var t='</p>';</script><style>p{}</style><!-- x --><p>A  &lt;b&gt;</p><p> </p>C</html>",)], "h string")
-    assert df.select(corpus.html_text(F.col("h"))).first()[0] == "A <b>\nC"
+    assert df.select(corpus.page(F.col("h"))["text"]).first()[0] == "A <b>\nC"
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
