@@ -18,15 +18,23 @@ def live(archive: DataFrame, recent: DataFrame, keys: list[str], order: list[str
     return latest(both, keys, ["layer", *order]).drop("layer")
 
 
+def last_months(archive: DataFrame) -> DataFrame:
+    """``entity_id, archive_month``: the month of the last day of each entity."""
+    return archive.groupBy("entity_id").agg(F.trunc(F.max("day"), "MM").alias("archive_month"))
+
+
+def complete_after(days: DataFrame, ends: DataFrame) -> DataFrame:
+    """Months after ``archive_month`` of which every day is there; ``days``: a row an entity and day."""
+    m = days.groupBy("entity_id", F.trunc("day", "MM").alias("month")).agg(F.avg("value").alias("mean"), F.count("value").alias("n_days"))
+    return m.join(ends, "entity_id").where((F.col("month") > F.col("archive_month")) & (F.col("n_days") >= F.day(F.last_day("month")))).drop("archive_month")
+
+
 def refreshed_months(archive: DataFrame, recent: DataFrame) -> DataFrame:
     """Months after the archive's last one of which every day is there, from the union of both layers' days.
 
     Both have ``entity_id, day, value, seq``. The archive's own months are not published again.
     """
-    end = archive.groupBy("entity_id").agg(F.trunc(F.max("day"), "MM").alias("archive_month"))
-    days = live(archive, recent, ["entity_id", "day"], ["seq"])
-    m = days.groupBy("entity_id", F.trunc("day", "MM").alias("month")).agg(F.avg("value").alias("mean"), F.count("value").alias("n_days"))
-    return m.join(end, "entity_id").where((F.col("month") > F.col("archive_month")) & (F.col("n_days") >= F.day(F.last_day("month")))).drop("archive_month")
+    return complete_after(live(archive, recent, ["entity_id", "day"], ["seq"]), last_months(archive))
 
 
 def publish(months: DataFrame, path: str) -> None:
