@@ -86,24 +86,24 @@ def prepared(pages: DataFrame) -> DataFrame:
     """``record, url, html, digest, refers_to``, one row per row of ``pages``; of equal payloads of ``LEAST_REVISIT`` bytes all
     but one of the largest id refer to that one's record, and have no html.
 
-    Rows with one id and one payload are counted before they are written, so however many there are they never meet.
+    Rows with one id, payload and url are counted before they are written, so however many there are they never meet.
     """
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     repeated = p.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("page_id").alias("repeated_id"))
-    rows = p.withColumn("nth", F.lit(0))
+    rows = p.withColumns({"copy": F.lit("0"), "nth": F.lit(0)})
     if not repeated.isEmpty():
         same = F.col("page_id").eqNullSafe(F.col("repeated_id"))
-        once = p.join(repeated, same, "left_semi").groupBy("page_id", "digest").agg(F.min("url").alias("url"), F.min("html").alias("html"), F.count(F.lit(1)).alias("n"))
-        once = once.withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))).select(*rows.columns)
-        rows = p.join(repeated, same, "left_anti").withColumn("nth", F.lit(0)).unionByName(once)
+        once = p.join(repeated, same, "left_semi").groupBy("page_id", "digest", "url").agg(F.min("html").alias("html"), F.count(F.lit(1)).alias("n"))
+        once = once.withColumns({"copy": F.md5(F.coalesce(F.concat(F.lit("u"), "url"), F.lit(""))), "nth": F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1))}).select(*rows.columns)
+        rows = rows.join(repeated, same, "left_anti").unionByName(once)
     large = F.octet_length("html") >= LEAST_REVISIT
-    last = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("last_page"), F.count(F.lit(1)).alias("n_same")).where("n_same > 1").drop("n_same")
-    ids = rows.where(large).select("page_id", "digest", "nth").join(last, "digest")  # without the html
-    revisits = ids.where(~F.col("page_id").eqNullSafe(F.col("last_page")) | (F.col("nth") > 0))
-    name = lambda page, nth: F.concat_ws("/", F.coalesce(page.cast("string"), F.lit("none")), "digest", nth.cast("string"))
-    rows = rows.withColumn("record", name(F.col("page_id"), F.col("nth")))
-    refers = revisits.select(name(F.col("page_id"), F.col("nth")).alias("record"), name(F.col("last_page"), F.lit(0)).alias("refers_to"))
+    last = rows.where(large).groupBy("digest").agg(F.max(F.struct("page_id", "copy")).alias("last"), F.count(F.lit(1)).alias("n_same")).where("n_same > 1").select("digest", F.col("last.page_id").alias("last_page"), F.col("last.copy").alias("last_copy"))
+    ids = rows.where(large).select("page_id", "digest", "copy", "nth").join(last, "digest")  # without the html
+    revisits = ids.where(~F.col("page_id").eqNullSafe(F.col("last_page")) | (F.col("copy") != F.col("last_copy")) | (F.col("nth") > 0))
+    name = lambda page, copy, nth: F.concat_ws("/", F.coalesce(page.cast("string"), F.lit("none")), "digest", copy, nth.cast("string"))
+    rows = rows.withColumn("record", name(F.col("page_id"), F.col("copy"), F.col("nth")))
+    refers = revisits.select(name(F.col("page_id"), F.col("copy"), F.col("nth")).alias("record"), name(F.col("last_page"), F.col("last_copy"), F.lit(0)).alias("refers_to"))
     joined = rows.join(refers, "record", "left")
     return joined.select("record", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "digest", "refers_to")
 
@@ -143,7 +143,7 @@ def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def _name(uri: str | None) -> str | None:
     """Name of a record, without the number of a segment."""
-    return "/".join(uri.removeprefix("<urn:page:").rstrip(">").split("/")[:3]) if uri else None
+    return "/".join(uri.removeprefix("<urn:page:").rstrip(">").split("/")[:4]) if uri else None
 
 
 def reassembled(segments: list[tuple[int, bytes]], total: int | None) -> bytes:
