@@ -9,7 +9,7 @@ from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,10 +134,15 @@ def section_chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return c.withColumn("chars", F.length("body"))
 
 
+def chunk_id(key: str, body: str) -> Column:
+    """Of the document's key and a hash of the chunk's text."""
+    return F.concat(F.col(key).cast("string"), F.lit("::"), F.substring(F.sha2(body, 256), 1, 12))
+
+
 def chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, chunk, chunk_id, body, chars``; the id is of the key and a hash of the text."""
     c = docs.select(key, F.posexplode(_packed(F.col(text))).alias("chunk", "body"))
-    return c.withColumn("chunk_id", F.concat(F.col(key).cast("string"), F.lit("::"), F.substring(F.sha2("body", 256), 1, 12))).withColumn("chars", F.length("body"))
+    return c.withColumns({"chunk_id": chunk_id(key, "body"), "chars": F.length("body")})
 
 
 def excerpts(docs: DataFrame, key: str, text: str, keywords: str) -> DataFrame:

@@ -93,4 +93,4 @@ def month_record(counts: DataFrame, requests: DataFrame) -> DataFrame:
     wanted = requests.join(span, "entity_id", "left").withColumn("month", F.coalesce(F.trunc(F.try_to_date("month", "yyyy-MM"), "MM"), F.col("last_month")))
     found = wanted.join(counts, ["entity_id", "month"], "left")
     why = F.when(F.col("heat_days").isNull(), F.concat(F.lit("no record; available "), F.date_format("first_month", "yyyy-MM"), F.lit(" to "), F.date_format("last_month", "yyyy-MM")))
-    return found.select("entity_id", "month", "heat_days", "severe_days", "had_spell", F.round("max_value", 3).alias("max_value"), F.lit(False).alias("forecast_available"), why.alias("reason"))
+    return found.select("entity_id", "month", "heat_days", "severe_days", "had_spell", F.round("max_value", 1).alias("max_value"), F.lit(False).alias("forecast_available"), why.alias("reason"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terralog.plans import checks, climate, evidence, forecasts
+from terralog.plans import checks, climate, evidence, forecasts, formats
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (climate, evidence, checks, forecasts)
+MODULES = (climate, evidence, checks, forecasts, formats)
 
 
 def queries() -> dict[str, Query]:

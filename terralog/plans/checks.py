@@ -58,11 +58,15 @@ def series_attached(spark: SparkSession, sf: str) -> DataFrame:
     return quality.attached(monthly(spark, sf), shipped(spark, sf), "other")
 
 
-@query(f"WITH {M}, i AS (SELECT DISTINCT date_trunc('month', l_shipdate)::DATE AS month FROM lineitem WHERE l_returnflag = 'R' AND l_extendedprice IS NOT NULL) SELECT entity_id, count(*) AS n_missing, min(month) AS first_missing, max(month) AS last_missing FROM m WHERE month NOT IN (SELECT month FROM i) GROUP BY 1")
+@query("""WITH s AS (SELECT DISTINCT n_name AS entity_id, date_trunc('month', l_shipdate)::DATE AS month FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+    i AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS month FROM orders WHERE o_totalprice IS NOT NULL)
+    SELECT entity_id, count(*) AS n_missing, min(month) AS first_missing, max(month) AS last_missing FROM s WHERE month NOT IN (SELECT month FROM i) GROUP BY 1""")
 def guard_index_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    """Months of the series for which an index of returned lines has no value."""
-    index = table(spark, sf, "lineitem").where("l_returnflag = 'R'").groupBy(F.trunc("l_shipdate", "MM").alias("month")).agg(F.sum("l_extendedprice").alias("value"))
-    return quality.index_gaps(monthly(spark, sf), index)
+    """Months of the nations' shipments for which the index of orders has no value: the last ones, after the last order."""
+    rows = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    shipments = rows.select(F.col("n_name").alias("entity_id"), F.trunc("l_shipdate", "MM").alias("month")).distinct()
+    index = table(spark, sf, "orders").groupBy(F.trunc("o_orderdate", "MM").alias("month")).agg(F.sum("o_totalprice").alias("value"))
+    return quality.index_gaps(shipments, index)
 
 
 @query(f"""WITH {M}, {P}, f AS (SELECT split_id, entity_id, month(month) AS k, avg(value) FILTER (part = 'train') AS mean, avg(value) AS every FROM p GROUP BY 1, 2, 3)

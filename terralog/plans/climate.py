@@ -254,7 +254,7 @@ def heat_zero_inflation_whole(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {FLAGS}, c AS (SELECT entity_id, date_trunc('month', day)::DATE AS month, count_if(heat_day)::BIGINT AS heat_days, count_if(severe_day)::BIGINT AS severe_days, count_if(in_spell) > 0 AS had_spell, max(value) AS max_value FROM r GROUP BY 1, 2),
     s AS (SELECT entity_id, min(month) AS a, max(month) AS b FROM c GROUP BY 1),
     q AS (SELECT n_name AS entity_id, CASE n_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN DATE '1997-06-01' ELSE DATE '2031-01-01' END AS month FROM nation)
-    SELECT q.entity_id, coalesce(q.month, b) AS month, heat_days, severe_days, had_spell, round(max_value, 3) AS max_value, false AS forecast_available,
+    SELECT q.entity_id, coalesce(q.month, b) AS month, heat_days, severe_days, had_spell, round(max_value, 1) AS max_value, false AS forecast_available,
            CASE WHEN heat_days IS NULL THEN 'no record; available ' || strftime(a, '%Y-%m') || ' to ' || strftime(b, '%Y-%m') END AS reason
     FROM q LEFT JOIN s USING (entity_id) LEFT JOIN c ON c.entity_id = q.entity_id AND c.month = coalesce(q.month, b)""")
 def heat_month_record(spark: SparkSession, sf: str) -> DataFrame:

@@ -52,6 +52,22 @@ def parameter_months(rows: DataFrame, totals: list[str], fill: float = -999.0) -
     return g.where("days_used > 0")
 
 
+def parameter_report(rows: DataFrame, units: dict[str, tuple[str, str]], fill: float = -999.0) -> DataFrame:
+    """``entity_id, month, parameter, unit, aggregation, value, days_used, days_returned, available, reason``.
+
+    ``units``: of each parameter its unit and whether its month is a ``mean`` or a ``total``. A parameter without usable
+    values in a month has no row; a month without any is one row that is not available, with the reason.
+    """
+    v = F.when(F.col("value") != fill, F.col("value"))
+    of = lambda i: F.element_at(F.create_map(*(F.lit(x) for p, u in units.items() for x in (p, u[i]))), F.col("parameter"))
+    g = rows.where(F.col("parameter").isin(*units)).groupBy("entity_id", F.trunc("day", "MM").alias("month"), "parameter").agg(F.sum(v).alias("total"), F.avg(v).alias("mean"), F.count(v).alias("days_used"), F.count(F.lit(1)).alias("days_returned"))
+    g = g.select("entity_id", "month", "parameter", of(0).alias("unit"), of(1).alias("aggregation"), "total", "mean", "days_used", "days_returned")
+    value = F.round(F.when(F.col("aggregation") == "total", F.col("total")).otherwise(F.col("mean")), 2)
+    found = g.where("days_used > 0").select("entity_id", "month", "parameter", "unit", "aggregation", value.alias("value"), "days_used", "days_returned", F.lit(True).alias("available"), F.lit(None).cast("string").alias("reason"))
+    none = g.groupBy("entity_id", "month").agg(F.sum("days_used").alias("days_used"), F.sum("days_returned").alias("days_returned")).where("days_used = 0")
+    return found.unionByName(none.withColumns({"available": F.lit(False), "reason": F.lit("no usable value")}), allowMissingColumns=True)
+
+
 def price_records(payloads: DataFrame, column: str, most: int = 6) -> DataFrame:
     """JSON with ``records`` of market prices, kept as text; the first ``most`` in their order."""
     schema = "STRUCT<records: ARRAY<STRUCT<market: STRING, district: STRING, modal_price: STRING, min_price: STRING, max_price: STRING, arrival_date: STRING>>>"
