@@ -117,6 +117,18 @@ def assessed(targets: DataFrame, scope: DataFrame, drought: DataFrame, heat: Dat
     )
 
 
+def with_impact(assessments: DataFrame, measured: DataFrame, table: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Adds ``metric, impact_status, impact`` to ``assessed``: the dominant risk's figure from the reference tables.
+
+    ``measured``: ``entity_id, target, risk, metric``, what was measured or forecast of each risk in a month.
+    """
+    m = measured.withColumnRenamed("risk", "dominant")
+    a = assessments.join(m, ["entity_id", "target", "dominant"], "left")
+    rows = a.select(F.struct("entity_id", "crop").alias("row_id"), "crop", F.col("dominant").alias("risk"), "severity", "metric")
+    found = yield_impact(rows, table, gaps).select("row_id.*", F.col("status").alias("impact_status"), "impact")
+    return a.join(found, ["entity_id", "crop"])
+
+
 def missing(*parts: tuple[DataFrame, Column, str]) -> DataFrame:
     """``entity_id, what, reason`` of everything that is not available, from several tables."""
     out = None

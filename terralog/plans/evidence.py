@@ -376,6 +376,31 @@ def decision_yield_impact(spark: SparkSession, sf: str) -> DataFrame:
     return decisions.yield_impact(rows, t, spark.sql(f"SELECT * FROM ({GAPS}) AS v(crop, risk)"))
 
 
+LOSSES = "VALUES (1, 'wheat', 'heat', 'severe', 4.0, 12.0, -5.6), (2, 'wheat', 'drought', NULL, NULL, -1.0, -12.0), (3, 'millet', 'heat', 'moderate', 3.0, NULL, -4.1), (4, 'wheat', 'heat', 'moderate', NULL, 3.5, -2.0)"
+NO_LOSSES = "VALUES ('millet', 'drought')"
+
+
+@query(f"""WITH as0 AS ({SQL["decision_assessment"]}), {SIGNALS}, {ZM}, t AS (SELECT * FROM ({LOSSES}) AS v(entry, crop, risk, severity, lo, hi, impact)), g AS (SELECT * FROM ({NO_LOSSES}) AS v(crop, risk)), k AS (SELECT DISTINCT crop, risk FROM t),
+    me AS (SELECT entity_id, month AS target, 'heat' AS risk, mean_departure AS metric FROM cnt UNION ALL SELECT entity_id, month, 'drought', predicted FROM z),
+    j0 AS (SELECT as0.*, metric FROM as0 LEFT JOIN me ON me.entity_id = as0.entity_id AND me.target = as0.target AND me.risk = as0.dominant),
+    j AS (SELECT j0.*, entry, lo, hi, t.impact AS loss FROM j0 LEFT JOIN t ON t.crop = j0.crop AND t.risk = j0.dominant AND (t.severity IS NULL OR t.severity = j0.severity) QUALIFY row_number() OVER (PARTITION BY j0.entity_id, j0.crop ORDER BY entry) = 1),
+    s AS (SELECT j.*, CASE WHEN dominant IS NULL OR dominant IN ('none', 'insufficient data') OR severity IS NULL THEN 'not available: no binding risk'
+        WHEN entry IS NOT NULL THEN CASE WHEN metric IS NULL THEN 'not available: not measured' WHEN metric < lo THEN 'not available: below the band' WHEN metric > hi THEN 'not available: above the band' ELSE 'available' END
+        WHEN k.crop IS NOT NULL THEN 'not available: other severity only' WHEN g.crop IS NOT NULL THEN 'recorded gap' ELSE 'out of scope' END AS impact_status
+        FROM j LEFT JOIN k ON k.crop = j.crop AND k.risk = j.dominant LEFT JOIN g ON g.crop = j.crop AND g.risk = j.dominant)
+    SELECT entity_id, crop, target, dominant, severity, round(metric, 4) AS metric, impact_status, CASE WHEN impact_status = 'available' THEN loss::DOUBLE END AS impact FROM s""")
+def decision_assessment_impact(spark: SparkSession, sf: str) -> DataFrame:
+    """The assessments with the figure of the dominant risk: by the month's mean departure, or the forecast index."""
+    targets, scope, drought, crops = assessment_inputs(spark, sf)
+    a = decisions.assessed(targets, scope, drought, heat_signals(spark, sf), crops)
+    c = heat.monthly_counts(climate.hot_days(spark, sf))
+    hot = c.select("entity_id", F.col("month").alias("target"), F.lit("heat").alias("risk"), F.round("mean_departure", 8).alias("metric"))
+    dry = drought_forecasts(spark, sf).select("entity_id", F.col("horizon").alias("target"), F.lit("drought").alias("risk"), F.col("predicted").alias("metric"))
+    t = spark.sql(f"SELECT entry, crop, risk, severity, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi, CAST(impact AS DOUBLE) AS impact FROM ({LOSSES}) AS v(entry, crop, risk, severity, lo, hi, impact)")
+    out = decisions.with_impact(a, hot.unionByName(dry), t, spark.sql(f"SELECT * FROM ({NO_LOSSES}) AS v(crop, risk)"))
+    return out.select("entity_id", "crop", "target", "dominant", "severity", F.round("metric", 4).alias("metric"), "impact_status", "impact")
+
+
 @query("""WITH c AS (SELECT c_custkey AS entity_id, date_trunc('month', max(o_orderdate))::DATE AS anchor FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1),
     k AS (SELECT * FROM (VALUES ('wheat', [1, 2, 3]), ('millet', [7, 8])) AS v(crop, sm)),
     o AS (SELECT entity_id, crop, anchor, (anchor + to_months(s))::DATE AS target, s AS horizon, CASE WHEN s > 0 THEN s ELSE 10 - s END AS pref FROM c, k, (SELECT unnest(range(-11, 4)) AS s) WHERE list_contains(sm, month((anchor + to_months(s))::DATE)))
