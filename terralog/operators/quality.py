@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terralog.operators import series
@@ -121,3 +121,24 @@ def availability(expected: DataFrame, found: DataFrame, key: str, usable: Column
     j = j.select(key, "group_id", ok.alias("available"), F.when(F.col("found").isNull(), "not found").when(~ok, why).alias("reason"))
     bad = j.groupBy("group_id").agg(F.bool_or(~F.col("available")).alias("any_unavailable"))
     return j.join(bad, "group_id")
+
+
+class Guards:
+    """Figures of a table that are taken in the pass of the job that uses it (``frame``), so guarding costs no scan of its own."""
+
+    def __init__(self, rows: DataFrame, figures: dict[str, Column]):
+        """``figures``: aggregates by name."""
+        self._seen = Observation()
+        self.frame = rows.observe(self._seen, *(c.alias(n) for n, c in figures.items()))
+
+    def figures(self) -> dict:
+        """The figures, once a job over ``frame`` has ended; it waits for that."""
+        return self._seen.get
+
+    def require(self, *conditions: Column) -> None:
+        """ValueError that names the conditions (over the figures) which do not hold."""
+        spark = SparkSession.active()
+        row = spark.createDataFrame([tuple(self.figures().values())], list(self.figures()))
+        held = row.select(*(c.alias(f"c{k}") for k, c in enumerate(conditions))).first()
+        if failed := [str(c) for k, c in enumerate(conditions) if not held[k]]:
+            raise ValueError(f"{failed} do not hold: {self.figures()}")

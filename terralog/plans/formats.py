@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terralog.operators import corpus
+from terralog.operators import corpus, quality
 from terralog.plans.climate import table
-from terralog.sources import files, payloads
+from terralog.sources import files, payloads, versions
 
 QUERIES, SQL = {}, {}
 
@@ -141,3 +141,29 @@ def source_parameter_report(spark: SparkSession, sf: str) -> DataFrame:
     fill = F.lit(-999.0)
     both = F.inline(F.array(F.struct(F.lit("k").alias("parameter"), F.when(F.col("k") < 8, F.col("k")).otherwise(fill).alias("value")), F.struct(F.lit("value").alias("parameter"), F.when(F.col("v") > 40, F.col("v")).otherwise(fill).alias("value"))))
     return payloads.parameter_report(e.select("entity_id", "day", both), UNITS)
+
+
+@query("""WITH o AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, month(o_orderdate) % 2 = 0 AS odd, o_totalprice FROM orders)
+    SELECT month, count(*) AS n, round(sum(CASE WHEN odd THEN o_totalprice + 1 ELSE o_totalprice END), 2) AS total, CASE WHEN bool_or(odd) THEN 'changed' END AS change FROM o GROUP BY 1""")
+def source_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders by month published as a version, then with other prices in every second month: the current version, and what changed."""
+    o = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", "o_totalprice", (F.month("o_orderdate") % 2 == 0).alias("odd"))
+    root, schema = files.work_folder(spark, "versions"), "month string, o_orderkey long, o_totalprice double"
+    versions.publish(o.drop("odd"), root, "month")
+    again = o.withColumn("o_totalprice", F.when(F.col("odd"), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))).drop("odd")
+    diff = versions.publish(again, root, "month")
+    now = versions.read(spark, root, schema).groupBy("month").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return now.join(diff.withColumnRenamed("part", "month"), "month", "left")
+
+
+@query("""SELECT count(*) AS n_rows, count(*) FILTER (l_shipdate IS NULL) AS n_without_day, count(*) FILTER (NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey)) AS n_unknown,
+    min(l_shipdate)::DATE AS first_day, max(l_shipdate)::DATE AS last_day, min(l_quantity) AS least FROM lineitem""")
+def guard_observed(spark: SparkSession, sf: str) -> DataFrame:
+    """The guards' figures of all lines, taken while the lines are joined and stored, without a scan of their own."""
+    known = table(spark, sf, "supplier").select("s_suppkey", F.lit(True).alias("known"))
+    rows = table(spark, sf, "lineitem").join(known, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    n = lambda c: F.count_if(c)
+    seen = quality.Guards(rows, {"n_rows": F.count(F.lit(1)), "n_without_day": n(F.col("l_shipdate").isNull()), "n_unknown": n(F.col("known").isNull()), "first_day": F.to_date(F.min("l_shipdate")), "last_day": F.to_date(F.max("l_shipdate")), "least": F.min("l_quantity")})
+    files.stored(seen.frame.select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate"))
+    seen.require(F.expr("n_rows > 0"))
+    return spark.createDataFrame([tuple(seen.figures().values())], "n_rows long, n_without_day long, n_unknown long, first_day date, last_day date, least double")
