@@ -72,8 +72,8 @@ class Encoder:
         if hasattr(self.words.model, "_resize_cache"):  # words come once, and keeping them costs more than it saves
             self.words.model._resize_cache(0)
         self.table = _byte_letters()
-        self.memory: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.forget()
         self.line_end = self._encode(["\n"])[0] if self.kind == "spaced" else b""
 
     def _encode_words(self, words: list[str], space: str) -> list[bytes]:
@@ -98,10 +98,15 @@ class Encoder:
         raw = np.fromiter((x for i in ids for x in i), dtype="<u4", count=int(ends[-1] // 4)).tobytes()
         return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
-    def _learn(self, words: set[str]) -> None:
-        """Adds words to the memory. One that starts with a line end stands first in its line, the others after a space."""
+    def forget(self) -> None:
+        """Empties the memory: words as an Arrow array, and of each the place and number of its ids among all."""
+        self.known = pa.array([""], pa.string())
+        self.flat, self.first, self.size = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """The ids of new words. One that starts with a line end stands first in its line, the others after a space."""
         space = " " if self.kind == "spaced" else ""
-        match, memory = PLAIN.fullmatch, self.memory
+        match, memory = PLAIN.fullmatch, {}
         plain: tuple[set[str], set[str]] = set(), set()  # after a space, after a line end
         split: list[tuple[str, str, str]] = []
         other: list[str] = []
@@ -111,8 +116,7 @@ class Encoder:
                 if tail := m[2]:
                     core = w[: m.end(1)]
                     split.append((w, core, tail))
-                    if core not in memory:
-                        plain[line].add(core)
+                    plain[line].add(core)
                 else:
                     plain[line].add(w)
             else:
@@ -126,9 +130,25 @@ class Encoder:
         new = {t for *_, t in split if t not in self.tails}
         self.tails.update(zip(new, self._encode(list(new)), strict=True))
         memory.update((w, memory[c] + self.tails[t]) for w, c, t in split)
+        return [memory[w] for w in words]
+
+    def _places(self, words: pa.StringArray) -> np.ndarray:
+        """Where in the memory each of some different words is; unknown ones are learnt first."""
+        at = pc.index_in(words, value_set=self.known)
+        if not at.null_count:
+            return at.to_numpy()
+        new = words.filter(at.is_null())
+        ids = self._learn(new.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        place = at.fill_null(-1).to_numpy().copy()
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        self.first = np.r_[self.first, len(self.flat) + np.cumsum(size) - size]
+        self.size, self.flat = np.r_[self.size, size], np.r_[self.flat, np.frombuffer(b"".join(ids), "<u4")]
+        self.known = pa.concat_arrays([self.known, new])
+        return place
 
     def _by_words(self, texts: list[str]) -> Iterator[bytes]:
-        """Arrow numbers the words of all texts, so that each different word is looked up once, and numpy lays out their ids."""
+        """Arrow numbers the words of all texts and finds those that are known, and numpy lays out their ids."""
         if not texts:
             return
         if self.kind == "spaced":
@@ -136,19 +156,12 @@ class Encoder:
         else:
             lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
         words = lists.values.dictionary_encode()
-        different = words.dictionary.to_pylist()
-        memory = self.memory
-        if new := {w for w in different if w and w not in memory}:
-            self._learn(new)
-        ids = [memory[w] if w else b"" for w in different]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-        place = words.indices.to_numpy()
-        n = size[place]
+        place = self._places(words.dictionary)[words.indices.to_numpy()]
+        n = self.size[place]
         ends = np.cumsum(n)
-        at = np.repeat(first[place] - (ends - n), n)
+        at = np.repeat(self.first[place] - (ends - n), n)
         at += np.arange(len(at))
-        raw = flat[at].tobytes()
+        raw = self.flat[at].tobytes()
         bounds = 4 * np.r_[0, ends][lists.offsets.to_numpy()]
         skip = len(self.line_end) if self.kind == "spaced" else 0  # each text was given a line end before it
         for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -162,8 +175,8 @@ class Encoder:
                 size += len(texts[at])
                 step.append(texts[at])
                 at += 1
-            if len(self.memory) > MOST_WORDS:
-                self.memory.clear()
+            if len(self.known) > MOST_WORDS:
+                self.forget()
             by_words = {"spaced": _single_spaces, "dropped": _spaces_drop}.get(self.kind, lambda _: False)
             fast = [i for i, t in enumerate(step) if t and not any(x in t for x in self.marks) and by_words(t)]
             slow = sorted({i for i, t in enumerate(step) if t} - set(fast))
