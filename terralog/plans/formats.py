@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from terralog.operators import corpus, quality
+from terralog.operators import corpus, quality, quantiles
 from terralog.plans.climate import table
 from terralog.sources import files, payloads, versions
 
@@ -167,3 +167,13 @@ def guard_observed(spark: SparkSession, sf: str) -> DataFrame:
     files.stored(seen.frame.select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate"))
     seen.require(F.expr("n_rows > 0"))
     return spark.createDataFrame([tuple(seen.figures().values())], "n_rows long, n_without_day long, n_unknown long, first_day date, last_day date, least double")
+
+
+@query("""SELECT l_returnflag, n, round(q[1], 4) AS q05, round(q[2], 4) AS q25, round(q[3], 4) AS q50, round(q[4], 4) AS q75, round(q[2] - 1.5 * (q[4] - q[2]), 4) AS lowest, round(q[4] + 1.5 * (q[4] - q[2]), 4) AS highest
+    FROM (SELECT l_returnflag, count(l_extendedprice) AS n, quantile_cont(l_extendedprice, [0.05, 0.25, 0.5, 0.75]) AS q FROM lineitem GROUP BY 1)""")
+def series_exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles and outlier bounds of the prices of all lines by return flag, of which one has half of all lines."""
+    q = quantiles.quantiles(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.05, 0.25, 0.5, 0.75])
+    at = lambda k: F.get("q", F.lit(k))
+    out = {"q05": at(0), "q25": at(1), "q50": at(2), "q75": at(3), "lowest": at(1) - 1.5 * (at(3) - at(1)), "highest": at(3) + 1.5 * (at(3) - at(1))}
+    return q.select("l_returnflag", "n", *(F.round(c, 4).alias(n) for n, c in out.items()))
