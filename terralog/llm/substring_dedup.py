@@ -3,9 +3,9 @@
 A passage is a window of words that also starts earlier: in a document before, or before in its own. Equal windows have the
 same least hash of their five-word sequences; the windows of a document that share it one after the other are a piece, and
 pieces of a key are indexed together, so a shard holds every place of its windows. Keys of a single piece hold no repeat,
-unless it repeats itself, and go no further. A shard joins its pieces in order of document and place, builds a compressed FM-index over the
-words, and streams the pieces through it: backward search on the wavelet matrix gives the matching statistics of each
-place, and intervals of windows whose match reaches the threshold and has an earlier place are reported.
+unless it repeats itself, and go no further. A shard joins its pieces in order of document and place, builds a compressed
+FM-index over the words, and streams the pieces through it: backward search on the wavelet matrix gives the matching
+statistics of each place, and intervals of windows whose match reaches the threshold and has an earlier place are reported.
 
 Copies of a whole text are removed by their digest alone, copies of a piece meet before it is indexed, and a key of very
 many different pieces (the edges of a passage in many documents) is dealt anew window by window, so no shard is hot.
