@@ -110,13 +110,13 @@ def source_labelled_queries(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"""WITH f AS (SELECT lang, list('# ' || doc_id || chr(10) || replace(replace(coalesce(text, ''), chr(13), ' '), chr(10), ' ') ORDER BY doc_id) AS x FROM documents GROUP BY 1), t AS (SELECT lang, array_to_string(x, chr(10)) AS text FROM f)
     SELECT lang, length(trim(regexp_replace(text, '[ \t\n\r\f\x0B]+', ' ', 'g'), ' '))::INTEGER AS chars, len(list_filter(string_split(text, chr(10)), lambda l: starts_with(l, '#')))::INTEGER AS headings FROM t""")
 def source_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as markdown files, one a language, with a heading a document: characters and headings of each file."""
+    """Documents as markdown, a folder a language with parts in order, a heading a document: characters and headings of each."""
     line = F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]", " ")
     d = table(spark, sf, "documents").select("lang", "doc_id", F.concat(F.lit("# "), "doc_id", F.lit("\n"), line).alias("value"))
     path = files.work_folder(spark, "markdown")
-    d.repartition("lang").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
-    found = files.markdown(spark, f"{path}/*/*.txt")
-    return found.select(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang"), "chars", "headings")
+    d.repartitionByRange("lang", "doc_id").sortWithinPartitions("lang", "doc_id").select("lang", "value").write.partitionBy("lang").text(path)
+    found = files.markdown(spark, f"{path}/*/*.txt", folders=True)
+    return found.select(F.regexp_extract("path", "lang=([^/]*)$", 1).alias("lang"), "chars", "headings")
 
 
 @query("SELECT doc_id, doc_id || '::' || substring(sha256(coalesce(text, '')), 1, 12) AS chunk_id FROM documents")

@@ -78,11 +78,17 @@ def reference_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return e.select("entry", *(F.col(f"c.{c}").alias(a) for c, a in columns.items())), t.select(F.inline("gaps"))
 
 
-def markdown(spark: SparkSession, path: str) -> DataFrame:
-    """``path, text, chars, headings`` of each file: characters after spaces collapse, and lines that begin with ``#``."""
-    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    chars = F.length(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    return d.withColumns({"chars": chars, "headings": F.size(F.filter(F.split("text", "\n"), lambda x: F.startswith(x, F.lit("#"))))})
+def markdown(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
+    """``path, chars, headings`` of each file: characters after spaces collapse, and lines that begin with ``#``.
+
+    With ``folders`` of each folder, whose files are parts of one text and end at line ends. Files are read by lines, whose
+    figures are summed, so that a text of any size costs no more than its longest line.
+    """
+    path_of = F.col("_metadata.file_path")
+    lines = spark.read.text(path, lineSep="\n").select((F.regexp_extract(path_of, "^(.*)/[^/]*$", 1) if folders else path_of).alias("path"), "value")
+    n = F.length(F.trim(F.regexp_replace("value", r"\s+", " "))).cast("long")  # lines with text are joined by one space each
+    chars = F.greatest(F.sum(n) + F.count_if(n > 0) - 1, F.lit(0))
+    return lines.groupBy("path").agg(chars.alias("chars"), F.count_if(F.startswith("value", F.lit("#"))).alias("headings"))
 
 
 def labelled_queries(spark: SparkSession, path: str) -> DataFrame:

@@ -47,6 +47,18 @@ def test_reference_files(spark, tmp_path):
     assert sorted(r.source_id for r in files.labelled_queries(spark, str(tmp_path / "q.json")).collect()) == ["x", "y"]
 
 
+def test_markdown_in_parts_has_the_figures_of_the_whole(spark, tmp_path):
+    text = "\n \t# no heading\r\n# A\x0b b\n\n\n#\n  two   words \rand more\n" + "x" * 5000 + "\n\f\n## Z\n \n"
+    lines = [x + "\n" for x in text[:-1].split("\n")]
+    for name, cut in (("whole", len(lines)), ("parts", 3)):
+        (tmp_path / name).mkdir()
+        for k in range(0, len(lines), cut):
+            (tmp_path / name / f"{k:02}.txt").write_bytes("".join(lines[k : k + cut]).encode())
+    got = {r.path.rsplit("/", 1)[1]: (r.chars, r.headings) for r in files.markdown(spark, f"{tmp_path}/*/*.txt", folders=True).collect()}
+    want = (len(" ".join(text.split())), sum(x.startswith("#") for x in text.split("\n")))
+    assert got == {"whole": want, "parts": want}
+
+
 def test_section_chunks_and_recovered_json(spark):
     from terralog.operators import corpus
 
