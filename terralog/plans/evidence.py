@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,14 +170,36 @@ def grounding_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     return scorecard.check(scorecard.sections(cards(spark, sf), "user_id", "text"), scorecard.readable(p, "v"), "user_id")
 
 
-#: Character references that the given pages have; the tokenizer knows all.
-REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "#39": "''", "nbsp": " ", "copy": "©", "middot": "·", "amp": "&"}
+#: A character reference as a browser finds it in text: a number, or a name, with or without its semicolon.
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
-def unescaped_sql(text: str) -> str:
-    for name, char in REFERENCES.items():
-        text = f"replace({text}, '&{name};', '{char}')"
-    return text
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def references_sql() -> str:
+    """Tables of what references stand for: names of the HTML standard (some also without a semicolon), and numbers that do not stand for their own character."""
+    names = ", ".join(f"({quoted(name)}, [{', '.join(str(ord(c)) for c in chars)}])" for name, chars in html5.items())
+    old = ", ".join(f"({n}, {ord(bytes([n]).decode('cp1252'))})" for n in range(128, 160) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+    return f"named(name, points) AS (VALUES {names}), renumbered(n, point) AS (VALUES (0, 65533), (13, 13), {old}, {', '.join(f'({n}, {n})' for n in (0x81, 0x8D, 0x8F, 0x90, 0x9D))})"
+
+
+def unescaped_sql(name: str, rows: str) -> str:
+    """Table ``name`` of ``page_id, t`` of the table ``rows`` with its character references resolved.
+
+    A number stands for its character, for that of windows-1252 from 128 to 159, for U+FFFD where there is none, and for
+    nothing where it is a control or no character. Of a name the longest known start counts; unknown ones stay.
+    """
+    return rf"""{name}_p AS (SELECT page_id, regexp_split_to_array(t, '{REFERENCE}') AS x, regexp_extract_all(t, '{REFERENCE}') AS m FROM {rows}),
+    {name}_d AS (SELECT DISTINCT unnest(m) AS ref FROM {name}_p),
+    {name}_i AS (SELECT ref, CASE WHEN regexp_matches(ref, '^&#[xX]') THEN try_cast('0x' || regexp_extract(ref, '[xX]0*([0-9a-fA-F]*)', 1) AS BIGINT) ELSE try_cast(regexp_extract(ref, '[0-9]+') AS BIGINT) END AS n FROM {name}_d WHERE ref[2] = '#'),
+    {name}_r AS (SELECT ref, CASE WHEN point IS NOT NULL THEN chr(point::INT) WHEN {name}_i.n IS NULL OR {name}_i.n > 1114111 OR {name}_i.n BETWEEN 55296 AND 57343 THEN chr(65533)
+            WHEN {name}_i.n BETWEEN 1 AND 8 OR {name}_i.n = 11 OR {name}_i.n BETWEEN 14 AND 31 OR {name}_i.n = 127 OR {name}_i.n BETWEEN 64976 AND 65007 OR {name}_i.n % 65536 >= 65534 THEN '' ELSE chr({name}_i.n::INT) END AS c
+            FROM {name}_i LEFT JOIN renumbered ON renumbered.n = {name}_i.n
+        UNION ALL SELECT ref, coalesce(arg_max(array_to_string(list_transform(points, lambda p: chr(p)), '') || substring(ref, length(name) + 2), length(name)), ref) FROM {name}_d LEFT JOIN named ON starts_with(substring(ref, 2), name) WHERE ref[2] <> '#' GROUP BY ref),
+    {name}_m AS (SELECT map(list(ref), list(c)) AS known FROM {name}_r),
+    {name} AS (SELECT page_id, array_to_string(list_transform(list_zip(x, list_append(list_transform(m, lambda r: known[r]), '')), lambda z: z[1] || z[2]), '') AS t FROM {name}_p, {name}_m)"""
 
 
 def without_sql(text: str) -> str:
@@ -185,20 +209,20 @@ def without_sql(text: str) -> str:
     return rf"regexp_replace({text}, '(?s)<!--.*?-->', '', 'g')"
 
 
-HTML = rf"""
+HTML = rf"""{references_sql()},
     h0 AS (SELECT page_id, {without_sql("html")} AS t FROM pages),
-    h1 AS (SELECT page_id, {unescaped_sql("regexp_replace(t, '(?s)<[^>]*>', chr(10), 'g')")} AS t FROM h0),
-    h AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10)) AS text FROM h1)"""
+    h1 AS (SELECT page_id, regexp_replace(t, '(?s)<[^>]*>', chr(10), 'g') AS t FROM h0), {unescaped_sql("h2", "h1")},
+    h AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\x{{a0}}]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10)) AS text FROM h2)"""
 
 
 def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", corpus.page(F.col("html"))["text"].alias("text"))
 
 
-TITLE = unescaped_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+TITLE = rf"""t0 AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t FROM pages), {unescaped_sql("t1", "t0")}"""
 
 
-@query(rf"WITH {HTML} SELECT page_id, trim(regexp_replace({TITLE}, '[ \t\r\n\f]+', ' ', 'g'), ' ') AS title, h.text FROM h JOIN pages USING (page_id)")
+@query(rf"WITH {HTML}, {TITLE} SELECT page_id, trim(regexp_replace(t1.t, '[ \t\r\n\f\x{{a0}}]+', ' ', 'g'), ' ') AS title, h.text FROM h JOIN t1 USING (page_id)")
 def corpus_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", corpus.page(F.col("html")).alias("p")).select("page_id", "p.title", "p.text")
 

@@ -1,11 +1,14 @@
 """The tokenizer of pages against the standard library's parser, and the cases that a pattern gets wrong."""
 
 import random
+from html import unescape
 from html.parser import HTMLParser
 
+import duckdb
 import pytest
 
 from terralog.functions import markup
+from terralog.plans import evidence
 
 
 class Plain(HTMLParser):
@@ -58,3 +61,18 @@ def test_text(html, text):
 def test_title_and_long_pages():
     assert markup.page("<title>A &amp; <b>\n B</title><p>x<title>second</title>")[0] == "A & <b> B"
     assert markup.page("<p>" * 100_000 + "x" + "<" * 50_000)[1].startswith("x<")
+
+
+def test_sql_resolves_references_as_the_tokenizer_does():
+    r = random.Random(3)
+    texts = ["a &amp&amp;&amp", "&amp;lt; &ltx &notit; &nosuch; &AMP &eacute;&eacute &#233 &#xe9;z &#39", "&#0; &#x0 &#13; &#128; &#x81 &#11; &#xd800; &#1114112; &#99999999999999999999; &#xfdd0; &#x1fffe;", "&", "&;&#;&#x;", "&NotEqualTilde; &fjlig;", None, ""]
+    texts += ["".join(r.choice(["&", "#", "x", "lt", "gt", "amp", "not", "in", ";", "4", "1", " ", "é", "'"]) for _ in range(12)) for _ in range(400)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id INT, t VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(texts)))
+    got = dict(con.execute(f"WITH {evidence.references_sql()}, {evidence.unescaped_sql('u', 'pages')} SELECT page_id, t FROM u").fetchall())
+    assert [got[k] or "" for k in range(len(texts))] == [unescape(t or "") for t in texts]
+    page = "<title>x &amp&amp</title><p>" + "y" * 600 + " &lt"
+    con.execute("CREATE OR REPLACE TABLE pages AS SELECT 1 AS page_id, ? AS html", [page])
+    title, text = con.execute(evidence.SQL["corpus_html_text"]).fetchall()[0][1:]
+    assert (title, text) == markup.page(page)
