@@ -76,3 +76,4 @@ def test_sql_resolves_references_as_the_tokenizer_does():
     con.execute("CREATE OR REPLACE TABLE pages AS SELECT 1 AS page_id, ? AS html", [page])
     title, text = con.execute(evidence.SQL["corpus_html_text"]).fetchall()[0][1:]
     assert (title, text) == markup.page(page)
+    assert con.execute(evidence.SQL["corpus_gate"]).fetchall()[0][1] == len(text)
