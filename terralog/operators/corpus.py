@@ -7,13 +7,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terralog.functions import markup
+from terralog.functions import markup, slices
 
 # Characters of a chunk, and of what it shares with the one before; where paragraphs and sentences end.
 LEAST_CHUNK, MOST_CHUNK, OVERLAP = 120, 2000, 200
@@ -21,12 +20,13 @@ JOINT = "\n\n"
 PARAGRAPH, UNIT = r"\n\s*\n", r"(?<=[.!?])\s+|\n"
 
 
+_PAGE = pa.struct([("title", pa.string()), ("text", pa.string())])
+
+
 @F.arrow_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
 def page(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """``title`` and visible ``text`` of web pages, by a tokenizer; both are empty for a null page."""
-    for pages in batches:
-        both = [markup.page(p) for p in pages.to_pylist()]
-        yield pa.StructArray.from_arrays([pa.array([x[i] for x in both], pa.string()) for i in (0, 1)], ["title", "text"])
+    return slices.each(batches, lambda p: dict(zip(("title", "text"), markup.page(p), strict=True)), _PAGE)
 
 
 def gate(docs: DataFrame, text: str = "text", least: int = 500, least_alpha: float = 0.5) -> DataFrame:
@@ -118,14 +118,14 @@ def pack(text: str | None) -> list[str]:
     return [chunk for chunks in made for chunk in chunks]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _packed(text: pd.Series) -> pd.Series:
-    return text.map(pack)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return slices.each(batches, pack, pa.list_(pa.string()))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _cut(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: split_long(t) if t is not None and len(t) >= LEAST_CHUNK else [])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return slices.each(batches, lambda t: split_long(t) if t is not None and len(t) >= LEAST_CHUNK else [], pa.list_(pa.string()))
 
 
 def section_chunks(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
