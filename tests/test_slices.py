@@ -25,3 +25,7 @@ def handed_on(udf, of):
 
 def test_chunks_are_packed_by_slices():
     handed_on(corpus._packed, corpus.pack)
+
+
+def test_sections_are_cut_by_slices():
+    handed_on(corpus._cut, lambda t: corpus.split_long(t) if t is not None and len(t) >= corpus.LEAST_CHUNK else [])
