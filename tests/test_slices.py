@@ -29,3 +29,12 @@ def test_chunks_are_packed_by_slices():
 
 def test_sections_are_cut_by_slices():
     handed_on(corpus._cut, lambda t: corpus.split_long(t) if t is not None and len(t) >= corpus.LEAST_CHUNK else [])
+
+
+def test_chunks_of_many_slices_stay_with_their_documents(spark):
+    texts = [t for t in TEXTS for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = {}
+    for r in corpus.chunks(df, "id").orderBy("id", "chunk").collect():
+        got.setdefault(r.id, []).append(r.body)
+    assert got == {k: c for k, t in enumerate(texts) if (c := corpus.pack(t))}
