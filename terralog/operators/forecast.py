@@ -28,7 +28,7 @@ def frame(monthly: DataFrame, index: DataFrame, splits: DataFrame, baseline: tup
     ``monthly``: ``entity_id, month, value``. What is fitted (quartiles, baseline) is fitted on the split's train rows;
     windows look back only. Rows whose lags or index are missing are left out.
     """
-    dense = series.interpolated(series.densify(monthly), "value").select("entity_id", "month", F.col("filled").alias("raw"))
+    dense = series.dense_interpolated(monthly, "value").select("entity_id", "month", F.col("filled").alias("raw"))
     p = series.with_parts(dense, series.clipped_baseline(splits, *baseline))
     train = F.when(F.col("part") == "train", F.col("raw"))
     cal = F.month("month")

@@ -101,6 +101,23 @@ def interpolated(frame: DataFrame, value: str, limit: int = 2) -> DataFrame:
     return run.withColumn("filled", F.coalesce(F.col(value), fill)).drop("before", "after", "gap_place")
 
 
+def dense_interpolated(monthly: DataFrame, value: str, limit: int = 2) -> DataFrame:
+    """``entity_id, month``, ``value`` and ``filled`` as ``interpolated`` of ``densify`` gives them, from one sort of the rows there are.
+
+    ``monthly`` has one row an entity and month. A row knows the month of the next row and the next value, and makes the
+    months up to that row; rows without an entity have no values, as they have none in a join by entity.
+    """
+    rows = monthly.where("month is not null").select("entity_id", "month", F.when(F.col("entity_id").isNotNull(), F.col(value)).alias("v"))
+    rows = rows.withColumn("known", F.when(F.col("v").isNotNull(), F.struct("month", "v")))
+    w = "over (partition by entity_id order by month)"
+    run = rows.withColumns({"before": F.last("known", True).over(by_month().rowsBetween(Window.unboundedPreceding, 0)), "after": F.expr(f"lead(known, 1) ignore nulls {w}"), "last_month": F.coalesce(F.add_months(F.lead("month").over(by_month()), -1), "month")})
+    grid = run.withColumn("at", F.explode(F.sequence("month", F.greatest("last_month", "month"), F.expr("interval 1 month"))))
+    own = F.when(F.col("at") == F.col("month"), F.col("v"))
+    share = F.date_diff("at", "before.month") / F.date_diff("after.month", "before.month")
+    fill = F.when((F.months_between("at", "before.month") <= limit) & F.col("after").isNotNull(), F.col("before.v") + (F.col("after.v") - F.col("before.v")) * share)
+    return grid.select("entity_id", F.col("at").alias("month"), own.alias(value), F.coalesce(own, fill).alias("filled"))
+
+
 def complete_months(daily: DataFrame) -> DataFrame:
     """``entity_id, month, n_days, complete``: whether each day of the month has a value."""
     m = daily.where("value is not null").groupBy("entity_id", F.trunc("day", "MM").alias("month")).agg(F.count_distinct("day").alias("n_days"))

@@ -57,9 +57,9 @@ def brand_sizes_monthly(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def customers_monthly(spark: SparkSession, sf: str) -> DataFrame:
-    """Monthly sums of each customer's orders; months without orders are null."""
+    """Monthly sums of each customer's orders; months without orders have no row."""
     m = series.resample(table(spark, sf, "orders").select(F.col("o_custkey").alias("entity_id"), "o_orderdate", "o_totalprice"), "o_orderdate", "o_totalprice")
-    return series.densify(m.select("entity_id", "month", F.round("value_sum", 2).alias("value")))
+    return m.select("entity_id", "month", F.round("value_sum", 2).alias("value"))
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,7 +138,7 @@ def series_interpolated(spark: SparkSession, sf: str) -> DataFrame:
 @query(SQL["series_interpolated"].replace(O, C))
 def series_interpolated_whole(spark: SparkSession, sf: str) -> DataFrame:
     """All orders, by customer, with the gaps that these series have."""
-    return rounded(series.interpolated(customers_monthly(spark, sf), "value"))
+    return rounded(series.dense_interpolated(customers_monthly(spark, sf), "value"))
 
 
 @query(f"""WITH {B}, q AS (SELECT entity_id, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM m WHERE year(month) BETWEEN 1995 AND 1998 GROUP BY 1),

@@ -30,6 +30,17 @@ def test_interpolation_fills_two_months_of_inner_gaps(spark):
     assert [g and round(g, 3) for g in got] == [1.0, 2.02, 2.974, None, None, 6.0, 7.0, None]
 
 
+def test_dense_interpolation_equals_that_of_dense_rows(spark):
+    r = random.Random(5)
+    rows = [(e, m, r.choice([None, round(r.random() * 9, 3)])) for e in (*"abcdefgh", None) for m in months(40) if r.random() < 0.5]
+    df = spark.createDataFrame([*rows, ("x", None, 1.0), ("y", months(1)[0], None), ("z", months(1)[0], 2.0)], "entity_id string, month date, value double")
+    got, want = series.dense_interpolated(df, "value"), series.interpolated(series.densify(df), "value")
+    key = lambda x: (x.entity_id or "", x.month)
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "UnboundedFollowing" not in plan
+
+
 def test_densify_and_trailing(spark):
     m = monthly(spark, [1.0, 2.0, 3.0, 4.0]).where("month <> date'2000-02-01'")
     d = series.densify(m).withColumn("s", series.trailing("value", 3, F.sum, 2))
