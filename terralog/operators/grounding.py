@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terralog.functions import slices
+
 # What is a number, what names things and states no value, which whole numbers are years, and the tolerance.
 NUMBER = r"[-+]?\d+(?:,\d{3})*(?:\.\d+)?%?"
 STRUCTURAL = (
@@ -106,14 +108,12 @@ def given_values(text: str) -> set[float]:
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("place", T.IntegerType()), ("token", T.StringType()), ("value", T.DoubleType()), ("decimals", T.IntegerType()), ("is_percent", T.BooleanType()))])))
 def _claimed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for texts in batches:
-        yield pa.array([claimed(t or "") for t in texts.to_pylist()], _NUMBERS)
+    return slices.each(batches, lambda t: claimed(t or ""), _NUMBERS)
 
 
 @F.arrow_udf(T.StructType([T.StructField("written", T.ArrayType(T.StringType())), T.StructField("given", T.ArrayType(T.DoubleType()))]))
 def _scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for texts in batches:
-        yield pa.array([{"written": sorted(written(t or "")), "given": sorted(given_values(t or ""))} for t in texts.to_pylist()], _SOURCE)
+    return slices.each(batches, lambda t: {"written": sorted(written(t or "")), "given": sorted(given_values(t or ""))}, _SOURCE)
 
 
 def numbers(claims: DataFrame, key: str, text: str) -> DataFrame:

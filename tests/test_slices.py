@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 
 from terralog.functions import slices
-from terralog.operators import corpus
+from terralog.operators import corpus, grounding
 
 TEXTS = [None, "", "short", "word. " * 100_000, "page 3, " * 50, *("Some 1,234.5 of it.\n\n" * 40 for _ in range(3000))]
 
@@ -38,3 +38,8 @@ def test_chunks_of_many_slices_stay_with_their_documents(spark):
     for r in corpus.chunks(df, "id").orderBy("id", "chunk").collect():
         got.setdefault(r.id, []).append(r.body)
     assert got == {k: c for k, t in enumerate(texts) if (c := corpus.pack(t))}
+
+
+def test_numbers_are_scanned_by_slices():
+    handed_on(grounding._claimed, lambda t: grounding.claimed(t or ""))
+    handed_on(grounding._scanned, lambda t: {"written": sorted(grounding.written(t or "")), "given": sorted(grounding.given_values(t or ""))})
