@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralog.operators import grounding
+from terralog.sources import files
 
 # A section's line of sources, a name in it, and references to other places, which state no value.
 SOURCE_LINE = r"(?ms)^\*Source:\s*(.+?)\*\s*$"
@@ -45,15 +46,14 @@ def leaves(rows: DataFrame, value: str) -> DataFrame:
     """
     kept = [c for c in rows.columns if c != value]
     level = rows.select(*kept, F.lit("$").alias("path"), F.lit(None).cast("string").alias("last_key"), F.col(value).alias("v"))
-    done = None
+    done, spark = None, rows.sparkSession
     while True:
-        level = level.where(F.col("v").isNotNull() & ~F.is_variant_null("v"))
+        level = files.stored(level.where(F.col("v").isNotNull() & ~F.is_variant_null("v")))  # each level is made once, from the one before
         flat = level.where(~_nested(F.col("v"))).select(*kept, "path", "last_key", F.col("v").cast("string").alias("scalar"))
         done = flat if done is None else done.unionByName(flat)
         deep = level.where(_nested(F.col("v")))
         if deep.isEmpty():
             return done
-        spark = rows.sparkSession
         step = deep.withColumnRenamed("v", "parent").lateralJoin(spark.tvf.variant_explode(F.col("parent").outer()))
         path = F.concat("path", F.coalesce(F.concat(F.lit("."), "key"), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))))
         level = step.select(*kept, path.alias("path"), F.coalesce("key", "last_key").alias("last_key"), F.col("value").alias("v"))
@@ -72,12 +72,13 @@ def check(found: DataFrame, sources: DataFrame, key: str) -> DataFrame:
     where none of its sources exists (nothing is then verified), else ``clean`` or ``warning`` by the numbers that occur
     in none of them.
     """
-    one = found.withColumn("id", F.struct(key, "section").cast("string"))
+    one, sources = found.withColumn("id", F.struct(key, "section").cast("string")), files.stored(sources.select("name", "text"))
     pairs = one.select("id", F.explode("cited").alias("name"))
     have = pairs.join(sources.select("name").distinct().withColumn("there", F.lit(True)), "name", "left")
     cited = have.groupBy("id").agg(F.count(F.lit(1)).alias("n_cited"), F.count("there").alias("n_there"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("there").isNull(), F.col("name")))), " ").alias("missing"))
-    given = pairs.join(sources, "name").select("id", F.col("text").alias("body"))
-    hit = grounding.matched(one.select("id", "body"), given, "id", "body")
+    # a source is read once, however many sections cite it: the numbers of a section meet the keys of each name that it cites
+    claims = one.select("id", "body", F.explode_outer("cited").alias("name"))
+    hit = grounding.matched(claims, sources.select("name", F.col("name").alias("id"), F.col("text").alias("body")), "id", "body", "name")
     bad = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("found"), F.struct("place", "token")))), lambda x: x["token"]), " ")
     total = hit.groupBy("id").agg(F.count(F.lit(1)).alias("n_checked"), bad.alias("unverified"))
     j = one.join(cited, "id", "left").join(total, "id", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terralog.operators import corpus, decisions, grounding, heat, retrieval, scorecard
 from terralog.plans import climate
 from terralog.plans.climate import rounded, table
-from terralog.sources import layers, payloads
+from terralog.sources import files, layers, payloads
 
 QUERIES, SQL = {}, {}
 
@@ -144,9 +144,8 @@ def source_json_leaves(spark: SparkSession, sf: str) -> DataFrame:
     return scorecard.leaves(p, "v").select("name", "path", F.when(number.isNull(), F.col("scalar")).otherwise(F.round(number, 2).cast("string")).alias("scalar"))
 
 
-def cards(spark: SparkSession, sf: str) -> DataFrame:
-    """A report of each user of sections that cite payloads: true numbers, one that no source has, a missing and no source."""
-    u = user_payloads(spark, sf)
+def cards(u: DataFrame) -> DataFrame:
+    """A report of each user of ``user_payloads``, of sections that cite payloads: true numbers, one that no source has, a missing and no source."""
     n = F.parse_json("payload")
     count, total = F.variant_get(n, "$.all.n_events", "long"), F.variant_get(n, "$.all.total", "decimal(28,2)")
     text = F.concat(
@@ -166,8 +165,9 @@ def cards(spark: SparkSession, sf: str) -> DataFrame:
     FROM docs LEFT JOIN n USING (report_id) LEFT JOIN bad USING (report_id)""")
 def grounding_scorecard(spark: SparkSession, sf: str) -> DataFrame:
     """Every section of every user's report against the JSON payloads that it cites."""
-    p = user_payloads(spark, sf).select("name", F.parse_json("payload").alias("v"))
-    return scorecard.check(scorecard.sections(cards(spark, sf), "user_id", "text"), scorecard.readable(p, "v"), "user_id")
+    u = files.stored(user_payloads(spark, sf))
+    p = u.select("name", F.parse_json("payload").alias("v"))
+    return scorecard.check(scorecard.sections(cards(u), "user_id", "text"), scorecard.readable(p, "v"), "user_id")
 
 
 #: A character reference as a browser finds it in text: a number, or a name, with or without its semicolon.

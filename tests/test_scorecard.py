@@ -69,3 +69,18 @@ def test_any_shape_is_a_source(spark, payload):
     rows = spark.createDataFrame([("p/q", payload)], "name string, j string").select("name", F.parse_json("j").alias("v"))
     s = scorecard.sections(spark.createDataFrame([(1, "Now 1.5 or 2.5.\n*Source: `p/q`*\n")], "doc int, text string"), "doc", "text")
     assert scorecard.check(s, scorecard.readable(rows, "v"), "doc").first().unverified == "2.5"
+
+
+def test_sources_are_made_once_however_often_they_are_cited(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        made.add(1)
+        return text
+
+    docs = spark.createDataFrame([(k, f"## A\nIt is {k}, or 77.\n*Source: `a/{k}`, `c.md`*\n## B\nIt is 5.\n*Source: `c.md`*\n") for k in range(6)], "doc long, text string")
+    sources = spark.createDataFrame([*((f"a/{k}", f"n {k}") for k in range(6)), ("c.md", "m 5"), ("c.md", "m 6")], "name string, text string").select("name", counted("text").alias("text"))
+    got = {(r.doc, r.heading): (r.n_cited, r.n_checked, r.unverified) for r in scorecard.check(scorecard.sections(docs, "doc", "text"), sources, "doc").collect()}
+    assert got == {(k, "A"): (2, 2, "77") for k in range(6)} | {(k, "B"): (1, 1, "") for k in range(6)}
+    assert made.value == 8
