@@ -59,7 +59,7 @@ def _placed(vectors: DataFrame, c: np.ndarray) -> DataFrame:
     """``vec_id, embedding, cell, distance``: the nearest centre of each vector, and how far off it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches, BLOCK):
             x = _unit(batch.column(1))
             cell = (x @ c.T - (c * c).sum(1) / 2).argmax(1)
             d = np.linalg.norm(x - c[cell], axis=1)
@@ -79,6 +79,21 @@ def _blocks(placed: DataFrame, block: int) -> DataFrame:
     return files.stored(lists.select("cell", "part", F.col("v.vec_id").alias("ids"), F.col("v.embedding").alias("vectors"), "radius"))
 
 
+#: Rows with the vectors of a whole block that are sent to Python at a time.
+BLOCK_ROWS = 16
+
+
+def _stored_in_small_batches(df: DataFrame) -> DataFrame:
+    """``files.stored``, with ``BLOCK_ROWS`` rows a batch meanwhile: a row holds blocks of vectors, and the usual 10,000 would fill a worker."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(name)
+    conf.set(name, BLOCK_ROWS)
+    try:
+        return files.stored(df)
+    finally:
+        conf.set(name, usual)
+
+
 def _slack(score: np.ndarray) -> np.ndarray:
     """Distance within which unit vectors of this rounded cosine, or a better one, must lie."""
     return np.sqrt(np.maximum(0.0, 2 - 2 * (score - 1.5e-6)))
@@ -97,6 +112,13 @@ def _products(a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray
     return s
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in consecutive parts of at most ``rows`` rows."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def _block_rows(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple]:
     at = [batch.schema.get_field_index(n) for n in names]
     for i in range(len(batch)):
@@ -153,10 +175,10 @@ def plan(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) ->
     q = _blocks(_placed(queries, c), block)
     q = q.select(*(F.col(n).alias(f"q_{n}") for n in ("cell", "part", "ids", "vectors", "radius")))
     first = q.join(blocks.where("part = 0").select("cell", "ids", "vectors"), F.col("q_cell") == F.col("cell"), "left")
-    q = files.stored(first.mapInArrow(bounded, f"q_cell int, q_part int, q_ids array<long>, q_vectors array<{kind}>, q_radius double, bound array<double>"))
+    q = _stored_in_small_batches(first.mapInArrow(bounded, f"q_cell int, q_part int, q_ids array<long>, q_vectors array<{kind}>, q_radius double, bound array<double>"))
 
     def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches, BLOCK_ROWS):  # each row meets all centres
             cell, part, radius, far = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             gap = np.linalg.norm(c[cell][:, None, :] - c[None, :, :], axis=2)
             row, to = np.nonzero(gap <= (radius + far)[:, None] + cells.radius[None, :] + 1e-9)
@@ -194,7 +216,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) ->
                 ok = np.isfinite(score) & (_slack(score) <= far[near][:, None] + 1e-5)
                 yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(a_ids[:, None], score.shape)[ok]), pa.array(of[ok]), pa.array(score[ok])], ["query_id", "vec_id", "score"])
 
-    found = both.mapInArrow(run, schema)
+    found = _stored_in_small_batches(both.mapInArrow(run, schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

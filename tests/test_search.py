@@ -41,3 +41,16 @@ def test_few_vectors(spark):
     assert retrieval.top_k(one, one, 3).count() == 0
     assert [tuple(r) for r in retrieval.top_k(one, two, 3).collect()] == [(1, 2, 0.0, 1)]
     assert retrieval.top_k(one, two.limit(0), 3).count() == 0 and retrieval.top_k(one.where(F.lit(False)), two, 3).count() == 0
+
+
+def test_blocks_reach_python_a_few_at_a_time(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(b)])], ["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    got = [r.n for r in retrieval._stored_in_small_batches(spark.range(0, 100, 1, 1).mapInArrow(sizes, "n long")).collect()]
+    assert sum(got) == 100 and max(got) <= retrieval.BLOCK_ROWS and spark.conf.get(name) == usual
