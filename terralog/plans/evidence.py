@@ -210,7 +210,7 @@ def without_sql(text: str) -> str:
 
 
 HTML = rf"""{references_sql()},
-    h0 AS (SELECT page_id, {without_sql("html")} AS t FROM pages),
+    h0 AS (SELECT page_id, {without_sql("coalesce(html, '')")} AS t FROM pages),
     h1 AS (SELECT page_id, regexp_replace(t, '(?s)<[^>]*>', chr(10), 'g') AS t FROM h0), {unescaped_sql("h2", "h1")},
     h AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\x{{a0}}]+', ' ', 'g'), ' ')), lambda x: x <> ''), chr(10)) AS text FROM h2)"""
 
@@ -219,7 +219,7 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", corpus.page(F.col("html"))["text"].alias("text"))
 
 
-TITLE = rf"""t0 AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t FROM pages), {unescaped_sql("t1", "t0")}"""
+TITLE = rf"""t0 AS (SELECT page_id, regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1) AS t FROM pages), {unescaped_sql("t1", "t0")}"""
 
 
 @query(rf"WITH {HTML}, {TITLE} SELECT page_id, trim(regexp_replace(t1.t, '[ \t\r\n\f\x{{a0}}]+', ' ', 'g'), ' ') AS title, h.text FROM h JOIN t1 USING (page_id)")
@@ -227,7 +227,7 @@ def corpus_html_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", corpus.page(F.col("html")).alias("p")).select("page_id", "p.title", "p.text")
 
 
-@query(rf"""WITH {HTML}, a AS (SELECT page_id, length(text) AS chars, round(length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) / nullif(length(text), 0), 3) AS alpha_ratio,
+@query(rf"""WITH {HTML}, a AS (SELECT page_id, length(text) AS chars, (2000 * length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) + length(text)) // nullif(2 * length(text), 0) / 1000 AS alpha_ratio,
         CASE WHEN length(text) < 500 THEN 'too short' WHEN contains(lower(substring(text, 1, 400)), 'page not found') THEN 'page not found' END AS r FROM h)
     SELECT page_id, chars::INT AS chars, alpha_ratio, CASE WHEN r IS NOT NULL THEN r WHEN coalesce(alpha_ratio, 0) < 0.5 THEN 'not text' END AS reason, r IS NULL AND coalesce(alpha_ratio, 0) >= 0.5 AS usable FROM a""")
 def corpus_gate(spark: SparkSession, sf: str) -> DataFrame:

@@ -77,3 +77,18 @@ def test_sql_resolves_references_as_the_tokenizer_does():
     title, text = con.execute(evidence.SQL["corpus_html_text"]).fetchall()[0][1:]
     assert (title, text) == markup.page(page)
     assert con.execute(evidence.SQL["corpus_gate"]).fetchall()[0][1] == len(text)
+
+
+def test_gate_rounds_ties_and_null_pages_as_its_sql_does(spark):
+    """Ratios that lie in the middle of two figures go up on both sides; a null page has an empty text."""
+    from terralog.operators import corpus
+
+    html = [None, "", "<p></p>", "short", "é" * 400 + "1" * 400, *(f"<p>{'a' * n}{'1' * (2000 - n)}</p>" for n in (*range(991, 1030), 1234, 1629)), *(f"{'b' * n}{'-' * (4000 - n)}" for n in range(1998, 2050, 2))]
+    rows = list(enumerate(html))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    df = spark.createDataFrame(rows, "page_id long, html string").select("page_id", corpus.page("html").alias("p")).select("page_id", "p.title", "p.text")
+    assert sorted(con.execute(evidence.SQL["corpus_html_text"]).fetchall()) == sorted(map(tuple, df.collect()))
+    got = corpus.gate(df).select("page_id", "chars", "alpha_ratio", "reason", "usable")
+    assert sorted(con.execute(evidence.SQL["corpus_gate"]).fetchall()) == sorted(map(tuple, got.collect()))
