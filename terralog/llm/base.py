@@ -41,6 +41,24 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that are sent to Python at a time, about; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def stored_in_small_batches(df: DataFrame) -> DataFrame:
+    """``stored``, with ``BATCH_BYTES`` a batch meanwhile: the usual 10,000 rows, of up to 64 MB, fill an executor's buffers and its workers."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = conf.get(name, None)
+    conf.set(name, BATCH_BYTES)
+    try:
+        return stored(df)
+    finally:
+        if usual is None:
+            conf.unset(name)
+        else:
+            conf.set(name, usual)
+
+
 def fold(column: str = "doc_id", parts: int = 5):
     """crc32 of the id as text, modulo ``parts``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts

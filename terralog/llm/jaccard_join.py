@@ -176,7 +176,7 @@ def _sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of ``pairs`` (``u, v``, a written table) those whose documents' sets have 100 * intersection >= 80 * union."""
+    """Of ``pairs`` (``u, v``, a written table) those whose documents' sets have 100 * intersection >= 80 * union, as a written table."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,7 +200,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     chosen = base.stored(nodes.join(wanted, "node").select("node", "doc_id"))
     s = docs.join(chosen, "doc_id").select("node", "text").mapInArrow(sets, "node long, hashes binary")
     both = pairs.join(s.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(s.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(test, "u long, v long")
+    return base.stored_in_small_batches(both.select("u", "v", "a", "b").mapInArrow(test, "u long, v long"))  # a row holds two whole sets
 
 
 def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -269,7 +269,7 @@ def _open_pairs(rows: DataFrame, nodes: DataFrame, tested: DataFrame) -> DataFra
 def rows_linked(docs: DataFrame) -> DataFrame:
     """``doc_id, digest, n_shingles, component_id``, one row per row of ``docs``; ``digest`` is a hash of the text."""
     docs = base.documents(docs)
-    prints = base.stored(fingerprints(docs))
+    prints = base.stored_in_small_batches(fingerprints(docs))
     rows = prints.select("doc_id", "digest", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
     out = rows.join(linked(docs, prints), "node", "left")
     return out.select("doc_id", "digest", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

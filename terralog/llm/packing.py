@@ -22,6 +22,8 @@ from . import base
 from .tokens import encoder
 
 GROUP_SEQUENCES, GROUP_PIECES = 500, 200_000
+#: Different pieces counted before a task counts anew.
+COUNTED = 10_000
 
 
 class Capacities:
@@ -77,13 +79,17 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, nth``: each document's ids and the end id, cut after every ``size`` ids.
 
-    ``nth`` numbers pieces that are the same in the first five within a batch, so that repeated rows can be dealt apart.
+    ``nth`` numbers pieces that are the same in the first five, of some ``COUNTED`` pieces in a task, so that repeated rows can
+    be dealt apart. At its end a task gives back what its worker remembers of words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        again: Counter = Counter()
         for batch in batches:
-            out, again = [[], [], [], [], [], []], Counter()
+            out = [[], [], [], [], [], []]
+            if len(again) > COUNTED:
+                again.clear()
             for doc, ids in zip(batch.column(0).to_pylist(), enc.ids(batch.column(1).to_pylist()), strict=True):
                 ids += end
                 for k in range(0, len(ids), 4 * size):
@@ -93,6 +99,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame
                         column.append(v)
                     again[one] += 1
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
+            pa.default_memory_pool().release_unused()
+        enc.forget()
+        pa.default_memory_pool().release_unused()
 
     return base.documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, nth long")
 
@@ -104,7 +113,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 4096, gro
     of over ``size`` ids are cut. Memory is bounded by the pieces of one group; the number of groups grows with the ids.
     Rows that repeat an id, or have none, are dealt over all groups like others.
     """
-    p = base.stored(pieces(docs, tokenizer, end_id, size))
+    p = base.stored_in_small_batches(pieces(docs, tokenizer, end_id, size))
     ids, count = p.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
     groups = max(1, -(-ids // (group_sequences * size)), -(-count // GROUP_PIECES))
 
